@@ -65,7 +65,10 @@ def _spearman(df: DataFrame, keys: list, x: str, y: str) -> DataFrame:
     """Average-rank Pearson; NaN (here NULL) when either side has std < 1e-9 (M7)."""
     ranked = df.select(*keys, x, y,
                        avg_rank(keys, x).alias("rx"), avg_rank(keys, y).alias("ry"))
-    g = ranked.groupBy(*keys).agg(F.corr("rx", "ry").alias("rho"),
+    # population covariance over the product of population sds; try_divide
+    # keeps a constant side from failing under ANSI mode (guarded just below)
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    g = ranked.groupBy(*keys).agg(rho.alias("rho"),
                                   F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
     rho = F.when((F.col("sx") < STD_EPS) | (F.col("sy") < STD_EPS), F.lit(float("nan"))) \
            .otherwise(F.col("rho"))

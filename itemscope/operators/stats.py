@@ -45,8 +45,9 @@ def to_probs(preds: DataFrame, col: str = "logits", mode: str = "auto",
 def _with_variants(probs: DataFrame, variants: DataFrame | None) -> tuple[DataFrame, list]:
     if variants is None:
         return probs, []
-    # variants(variant, model_id): one row per (variant, member model) - bounded
-    return probs.join(F.broadcast(variants), "model_id"), ["variant"]
+    # variants([split_id,] variant, model_id): one row per member model - bounded
+    on = [c for c in ("split_id", "model_id") if c in variants.columns and c in probs.columns]
+    return probs.join(F.broadcast(variants), on), ["variant"]
 
 
 def pds(probs: DataFrame, variants: DataFrame | None = None, col: str = "probs",
@@ -93,13 +94,15 @@ def guiding_models(train_models: DataFrame, n_guiding: int | None, seed: int = 0
 
     Returns (variant, model_id).  n_guiding=None keeps every model."""
     name = variant if variant is not None else ("all" if n_guiding is None else f"@{n_guiding}")
-    base = train_models.select("model_id").distinct()
+    sk = ["split_id"] if "split_id" in train_models.columns else []
+    base = train_models.select(*sk, "model_id").distinct()
     if n_guiding is None:
-        return base.select(F.lit(name).alias("variant"), "model_id")
-    w = Window.orderBy(md5_key(F.lit(seed), F.lit(name), F.col("model_id")), F.col("model_id"))
+        return base.select(*sk, F.lit(name).alias("variant"), "model_id")
+    w = Window.partitionBy(*sk).orderBy(md5_key(F.lit(seed), F.lit(name), F.col("model_id")),
+                                        F.col("model_id"))
     return (base.withColumn("_rn", F.row_number().over(w))
                 .filter(F.col("_rn") <= n_guiding)
-                .select(F.lit(name).alias("variant"), "model_id"))
+                .select(*sk, F.lit(name).alias("variant"), "model_id"))
 
 
 def variant_table(train_models: DataFrame, guiding_counts: list, seed: int = 0) -> DataFrame:

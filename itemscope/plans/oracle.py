@@ -212,3 +212,89 @@ SELECT t.split_id, t.model_id, s.sampling, s.n_items, s.iter, s.scenario,
        sum(s.weight * t.score) AS acc_hat
 FROM test_scores t JOIN ({sel}) s ON t.split_id = s.split_id AND t.item_id = s.item_id
 GROUP BY ALL"""
+
+
+# ----------------------------------------------------------------- F6 estimates
+cte("guide10", ("splits",), """
+SELECT split_id, model_id FROM (
+  SELECT split_id, model_id,
+         row_number() OVER (PARTITION BY split_id ORDER BY md5(concat_ws(':', 0, '@10', model_id)), model_id) AS rn
+  FROM splits WHERE role = 'train') WHERE rn <= 10""")
+
+cte("pds10", ("train_p", "guide10"), """
+SELECT split_id, item_id, sum(pmax) AS score
+FROM (SELECT t.split_id, t.item_id, t.class_id, max(t.p) AS pmax
+      FROM train_p t JOIN guide10 g ON t.split_id = g.split_id AND t.model_id = g.model_id
+      GROUP BY t.split_id, t.item_id, t.class_id)
+GROUP BY split_id, item_id""")
+
+
+def _sel_all_body(grid=(10, 20, 40), iters=3) -> str:
+    return "\nUNION ALL\n".join([
+        random_sel_sql(grid, iters),
+        disagreement_sel_sql(grid, "pds", True, True, iters),
+        disagreement_sel_sql(grid, "pds", False, True, iters),
+        disagreement_sel_sql(grid, "pds10", True, False, iters, name="high-disagreement@10"),
+    ])
+
+
+cte("sel_all", ("items", "pds", "pds10"), _sel_all_body())
+
+cte("naive_est", ("sel_all", "test_scores"), f"""
+SELECT split_id, model_id, sampling, 'naive' AS estimator, n_items, iter, scenario, acc_hat
+FROM ({naive_sql('SELECT * FROM sel_all')})""")
+
+cte("sigp", ("sel_all", "f1p", "splits"), """
+SELECT s.split_id, s.sampling, s.n_items, s.iter, p.model_id, sp.role, p.item_id, p.class_id, p.p
+FROM (SELECT DISTINCT split_id, sampling, n_items, iter, item_id FROM sel_all) s
+JOIN f1p p ON p.item_id = s.item_id
+JOIN splits sp ON sp.split_id = s.split_id AND sp.model_id = p.model_id""")
+
+cte("sig_norms", ("sigp",), """
+SELECT split_id, sampling, n_items, iter, model_id, greatest(sqrt(sum(p * p)), 1e-8) AS nrm
+FROM sigp GROUP BY split_id, sampling, n_items, iter, model_id""")
+
+cte("knn_est", ("sigp", "sig_norms", "train_truth"), """
+SELECT split_id, model_id, sampling, 'KNN' AS estimator, n_items, iter, scenario, acc AS acc_hat FROM (
+  SELECT d.split_id, d.model_id, d.sampling, d.n_items, d.iter, tt.scenario, tt.acc,
+         row_number() OVER (PARTITION BY d.split_id, d.model_id, d.sampling, d.n_items, d.iter, tt.scenario
+                            ORDER BY round(d.dot / (na.nrm * nb.nrm), 12) DESC, tt.model_pos ASC) AS rn
+  FROM (SELECT a.split_id, a.sampling, a.n_items, a.iter, a.model_id, b.model_id AS tr_model,
+               sum(a.p * b.p) AS dot
+        FROM sigp a JOIN sigp b
+          ON a.split_id = b.split_id AND a.sampling = b.sampling AND a.n_items = b.n_items
+         AND a.iter = b.iter AND a.item_id = b.item_id AND a.class_id = b.class_id
+        WHERE a.role = 'test' AND b.role = 'train'
+        GROUP BY a.split_id, a.sampling, a.n_items, a.iter, a.model_id, b.model_id) d
+  JOIN sig_norms na ON na.split_id = d.split_id AND na.sampling = d.sampling AND na.n_items = d.n_items
+                   AND na.iter = d.iter AND na.model_id = d.model_id
+  JOIN sig_norms nb ON nb.split_id = d.split_id AND nb.sampling = d.sampling AND nb.n_items = d.n_items
+                   AND nb.iter = d.iter AND nb.model_id = d.tr_model
+  JOIN train_truth tt ON tt.split_id = d.split_id AND tt.model_id = d.tr_model)
+WHERE rn = 1""")
+
+cte("cells", ("sel_all",), "SELECT DISTINCT split_id, n_items, iter FROM sel_all")
+
+cte("pknn", ("truth", "train_truth"), """
+SELECT split_id, model_id, scenario, tr_acc AS acc_hat FROM (
+  SELECT t.split_id, t.model_id, t.scenario, r.acc AS tr_acc,
+         row_number() OVER (PARTITION BY t.split_id, t.model_id, t.scenario
+                            ORDER BY round(abs(r.acc - t.acc), 12), r.model_pos) AS rn
+  FROM truth t JOIN train_truth r ON t.split_id = r.split_id AND t.scenario = r.scenario)
+WHERE rn = 1""")
+
+cte("pknn_est", ("pknn", "cells"), """
+SELECT p.split_id, p.model_id, '-' AS sampling, 'perfect_knn' AS estimator, c.n_items, c.iter,
+       p.scenario, p.acc_hat
+FROM pknn p JOIN cells c ON p.split_id = c.split_id""")
+
+cte("mts_est", ("truth", "train_scores", "cells"), """
+SELECT t.split_id, t.model_id, '-' AS sampling, 'mean_train_score' AS estimator, c.n_items, c.iter,
+       t.scenario, m.acc_hat
+FROM truth t JOIN (SELECT split_id, avg(score) AS acc_hat FROM train_scores GROUP BY split_id) m
+  ON t.split_id = m.split_id
+JOIN cells c ON t.split_id = c.split_id""")
+
+cte("estimates", ("naive_est", "knn_est", "pknn_est", "mts_est"), """
+SELECT * FROM naive_est UNION ALL SELECT * FROM knn_est
+UNION ALL SELECT * FROM pknn_est UNION ALL SELECT * FROM mts_est""")

@@ -76,3 +76,110 @@ sql("random_stratified", ("items",), _sel_out(random_sel_sql(GRID, ITERS)))
 sql("naive_estimate", ("items", "test_scores"), f"""
 SELECT split_id, model_id, sampling, n_items, iter, scenario, round(acc_hat, 6) AS acc_hat
 FROM ({naive_sql(random_sel_sql(GRID, ITERS))})""")
+
+
+# ------------------------------------------------------------ F6 estimates + metrics
+EST = "split_id, model_id, sampling, estimator, n_items, iter, scenario"
+METHOD = "split_id, sampling, estimator, n_items"
+
+sql("fixture_estimates", ("estimates",),
+    f"SELECT {EST}, round(acc_hat, 6) AS acc_hat FROM estimates")
+sql("knn_estimate", ("estimates",),
+    f"SELECT {EST}, round(acc_hat, 6) AS acc_hat FROM estimates WHERE estimator = 'KNN'")
+sql("perfect_knn", ("pknn",),
+    "SELECT split_id, model_id, scenario, round(acc_hat, 6) AS acc_hat FROM pknn")
+sql("mean_train_score", ("train_scores",),
+    "SELECT split_id, round(avg(score), 6) AS mean_train_score FROM train_scores GROUP BY split_id")
+sql("abs_error", ("estimates", "truth"), f"""
+SELECT e.split_id, e.model_id, e.sampling, e.estimator, e.n_items, e.iter, e.scenario,
+       round(e.acc_hat, 6) AS acc_hat, round(abs(e.acc_hat - t.acc), 6) AS abs_err
+FROM estimates e JOIN truth t ON e.split_id = t.split_id AND e.model_id = t.model_id
+ AND e.scenario = t.scenario""")
+
+LB_PER = f"""
+SELECT l.*, m.truth, abs(l.est - m.truth) AS err FROM
+  (SELECT {METHOD}, model_id, iter, avg(acc_hat) AS est FROM estimates
+   GROUP BY {METHOD}, model_id, iter) l
+JOIN (SELECT split_id, model_id, avg(acc) AS truth FROM truth GROUP BY split_id, model_id) m
+  ON l.split_id = m.split_id AND l.model_id = m.model_id"""
+
+SC_PER = f"""
+SELECT {METHOD}, e.model_id, iter, avg(abs(e.acc_hat - t.acc)) AS err
+FROM estimates e JOIN truth t USING (split_id, model_id, scenario)
+GROUP BY {METHOD}, e.model_id, iter"""
+
+
+def _mae(per: str, seed_stat: str = "avg") -> str:
+    return f"""
+SELECT {METHOD}, round(avg(e), 6) AS mae, round(stddev_pop(e), 6) AS spread FROM (
+  SELECT {METHOD}, model_id, {seed_stat}(err) AS e FROM ({per}) GROUP BY {METHOD}, model_id)
+GROUP BY {METHOD}"""
+
+
+sql("mae_leaderboard", ("estimates", "truth"), _mae(LB_PER))
+sql("mae_scenarios", ("estimates", "truth"), _mae(SC_PER))
+sql("mae_seed_std", ("estimates", "truth"), _mae(LB_PER, "stddev_pop"))
+sql("spread_seeds", ("estimates", "truth"), f"""
+SELECT a.split_id, a.sampling, a.estimator, a.n_items, a.mae, b.spread FROM
+ (SELECT {METHOD}, round(avg(e), 6) AS mae FROM (
+    SELECT {METHOD}, model_id, avg(err) AS e FROM ({LB_PER}) GROUP BY {METHOD}, model_id)
+  GROUP BY {METHOD}) a
+JOIN (SELECT {METHOD}, round(stddev_pop(m), 6) AS spread FROM (
+        SELECT {METHOD}, iter, avg(err) AS m FROM ({LB_PER}) GROUP BY {METHOD}, iter)
+      GROUP BY {METHOD}) b USING ({METHOD})""")
+
+
+def _spearman(per: str, keys: str, x: str = "est", y: str = "truth") -> str:
+    """Per-seed Spearman rows (keys include iter); NaN when a side is constant."""
+    return f"""
+SELECT {keys}, CASE WHEN sx < 1e-9 OR sy < 1e-9 THEN 'NaN'::DOUBLE ELSE rho END AS rho FROM (
+  SELECT {keys}, corr(rx, ry) AS rho, stddev_pop({x}) AS sx, stddev_pop({y}) AS sy FROM (
+    SELECT *,
+      rank() OVER (PARTITION BY {keys} ORDER BY {x})
+        + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0 AS rx,
+      rank() OVER (PARTITION BY {keys} ORDER BY {y})
+        + (count(*) OVER (PARTITION BY {keys}, {y}) - 1) / 2.0 AS ry
+    FROM ({per})) GROUP BY {keys})"""
+
+
+def _nan_null(x: str) -> str:
+    return f"round(CASE WHEN isnan({x}) THEN NULL ELSE {x} END, 6)"
+
+
+sql("spearman", ("estimates", "truth"), f"""
+SELECT {METHOD}, {_nan_null('avg(rho)')} AS rank_corr
+FROM ({_spearman(LB_PER, METHOD + ', iter')}) GROUP BY {METHOD}""")
+
+SC_PAIRS = f"""
+SELECT {METHOD}, e.scenario, iter, e.model_id, e.acc_hat AS est, t.acc AS truth
+FROM estimates e JOIN truth t USING (split_id, model_id, scenario)"""
+
+sql("spearman_scenarios", ("estimates", "truth"), f"""
+SELECT {METHOD}, scenario, {_nan_null('avg(rho)')} AS rank_corr
+FROM ({_spearman(SC_PAIRS, METHOD + ', scenario, iter')}) GROUP BY {METHOD}, scenario""")
+
+WR_PER = f"""
+SELECT e.*, t.truth FROM
+ (SELECT {METHOD}, iter, model_id, avg(wr) AS est FROM (
+    SELECT {METHOD}, iter, scenario, model_id,
+           (row_number() OVER (PARTITION BY {METHOD}, iter, scenario ORDER BY acc_hat, model_id) - 1)
+             / count(*) OVER (PARTITION BY {METHOD}, iter, scenario) AS wr
+    FROM estimates) GROUP BY {METHOD}, iter, model_id) e
+JOIN (SELECT split_id, model_id, avg(wr) AS truth FROM (
+        SELECT split_id, scenario, model_id,
+               (row_number() OVER (PARTITION BY split_id, scenario ORDER BY acc, model_id) - 1)
+                 / count(*) OVER (PARTITION BY split_id, scenario) AS wr
+        FROM truth) GROUP BY split_id, model_id) t
+  ON e.split_id = t.split_id AND e.model_id = t.model_id"""
+
+sql("win_rate", ("estimates", "truth"), f"""
+SELECT a.split_id, a.sampling, a.estimator, a.n_items, a.mae, b.rank_corr FROM
+ (SELECT {METHOD}, round(avg(e), 6) AS mae FROM (
+    SELECT {METHOD}, model_id, avg(abs(est - truth)) AS e FROM ({WR_PER}) GROUP BY {METHOD}, model_id)
+  GROUP BY {METHOD}) a
+JOIN (SELECT {METHOD}, {_nan_null('avg(rho)')} AS rank_corr
+      FROM ({_spearman(WR_PER, METHOD + ', iter')}) GROUP BY {METHOD}) b USING ({METHOD})""")
+
+sql("per_model_table", ("estimates", "truth"), f"""
+SELECT {METHOD}, model_id, round(avg(est), 6) AS estimate, round(any_value(truth), 6) AS truth
+FROM ({LB_PER}) GROUP BY {METHOD}, model_id""")

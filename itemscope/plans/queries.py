@@ -135,3 +135,105 @@ def q_naive(spark, sf_dir):
     est = estimate.naive(ctx.test(ctx.scores), sel)
     return est.select("split_id", "model_id", "sampling", "n_items", "iter", "scenario",
                       r6("acc_hat").alias("acc_hat"))
+
+
+# ------------------------------------------------------------ F6 estimates + metrics
+def _estimates(spark, sf_dir):
+    from itemscope.plans.evaluate import fixture_estimates
+    ctx = _ctx(spark, sf_dir)
+    return ctx, fixture_estimates(ctx)
+
+
+EST_COLS = ["split_id", "model_id", "sampling", "estimator", "n_items", "iter", "scenario"]
+
+
+@query("fixture_estimates")
+def q_fixture_estimates(spark, sf_dir):
+    _, est = _estimates(spark, sf_dir)
+    return est.select(*EST_COLS, r6("acc_hat").alias("acc_hat"))
+
+
+@query("knn_estimate")
+def q_knn(spark, sf_dir):
+    _, est = _estimates(spark, sf_dir)
+    return est.filter(F.col("estimator") == "KNN").select(*EST_COLS, r6("acc_hat").alias("acc_hat"))
+
+
+@query("perfect_knn")
+def q_perfect_knn(spark, sf_dir):
+    ctx = _ctx(spark, sf_dir)
+    pk = estimate.perfect_knn(ctx.truth("test"), ctx.truth("train"))
+    return pk.select("split_id", "model_id", "scenario", r6("acc_hat").alias("acc_hat"))
+
+
+@query("mean_train_score")
+def q_mean_train_score(spark, sf_dir):
+    ctx = _ctx(spark, sf_dir)
+    m = stats.mean_train_score(ctx.train(ctx.scores))
+    return m.select("split_id", r6("mean_train_score").alias("mean_train_score"))
+
+
+@query("abs_error")
+def q_abs_error(spark, sf_dir):
+    ctx, est = _estimates(spark, sf_dir)
+    e = metrics.abs_error(est, ctx.truth("test"))
+    return e.select(*EST_COLS, r6("acc_hat").alias("acc_hat"), r6("abs_err").alias("abs_err"))
+
+
+def _mae_out(df):
+    return df.select(*metrics.METHOD, r6("mae").alias("mae"), r6("spread").alias("spread"))
+
+
+@query("mae_leaderboard")
+def q_mae_lb(spark, sf_dir):
+    ctx, est = _estimates(spark, sf_dir)
+    return _mae_out(metrics.mae(est, ctx.truth("test"), "leaderboard"))
+
+
+@query("mae_scenarios")
+def q_mae_sc(spark, sf_dir):
+    ctx, est = _estimates(spark, sf_dir)
+    return _mae_out(metrics.mae(est, ctx.truth("test"), "scenarios"))
+
+
+@query("spread_seeds")
+def q_spread_seeds(spark, sf_dir):
+    ctx, est = _estimates(spark, sf_dir)
+    return _mae_out(metrics.mae(est, ctx.truth("test"), "leaderboard", std_across_models=False))
+
+
+@query("mae_seed_std")
+def q_mae_seed_std(spark, sf_dir):
+    ctx, est = _estimates(spark, sf_dir)
+    return _mae_out(metrics.mae(est, ctx.truth("test"), "leaderboard", agg_metric="std"))
+
+
+@query("spearman")
+def q_spearman(spark, sf_dir):
+    ctx, est = _estimates(spark, sf_dir)
+    s = metrics.spearman(est, ctx.truth("test"))
+    return s.select(*metrics.METHOD, r6(metrics.nan_to_null("rank_corr")).alias("rank_corr"))
+
+
+@query("spearman_scenarios")
+def q_spearman_sc(spark, sf_dir):
+    ctx, est = _estimates(spark, sf_dir)
+    s = metrics.spearman(est, ctx.truth("test"), per_scenario=True)
+    return s.select(*metrics.METHOD, "scenario",
+                    r6(metrics.nan_to_null("rank_corr")).alias("rank_corr"))
+
+
+@query("win_rate")
+def q_win_rate(spark, sf_dir):
+    ctx, est = _estimates(spark, sf_dir)
+    w = metrics.win_rate_metrics(est, ctx.truth("test"))
+    return w.select(*metrics.METHOD, r6("mae").alias("mae"),
+                    r6(metrics.nan_to_null("rank_corr")).alias("rank_corr"))
+
+
+@query("per_model_table")
+def q_per_model(spark, sf_dir):
+    ctx, est = _estimates(spark, sf_dir)
+    t = metrics.per_model_table(est, ctx.truth("test"))
+    return t.select(*metrics.METHOD, "model_id", r6("estimate").alias("estimate"),
+                    r6("truth").alias("truth"))
