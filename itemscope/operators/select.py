@@ -121,10 +121,12 @@ def unseen_items(items: DataFrame, selections: DataFrame) -> DataFrame:
     per sampling x n x iter x scenario); the complement is a keyed anti join.
     Estimators never need this table: sums over unseen items are computed as
     scenario total minus seen part."""
-    cells = F.broadcast(selections.select("sampling", "n_items", "iter", "scenario").distinct())
+    sk = ["split_id"] if "split_id" in selections.columns else []
+    cell = [*sk, "sampling", "n_items", "iter"]
+    cells = F.broadcast(selections.select(*cell, "scenario").distinct())
     per_cell = items.select("item_id", "scenario", "item_pos").join(cells, "scenario")
-    sel = selections.select("sampling", "n_items", "iter", "item_id")
-    return per_cell.join(sel, ["sampling", "n_items", "iter", "item_id"], "left_anti")
+    sel = selections.select(*cell, "item_id")
+    return per_cell.join(sel, [*cell, "item_id"], "left_anti")
 
 
 def nearest_anchor_weights(params: DataFrame, selections: DataFrame, items: DataFrame) -> DataFrame:
@@ -137,7 +139,8 @@ def nearest_anchor_weights(params: DataFrame, selections: DataFrame, items: Data
     it = items.select("item_id", "scenario", "bal_w").join(params, "item_id")
     norm = F.col("bal_w") / F.sum("bal_w").over(Window.partitionBy("scenario"))
     it = it.withColumn("nbw", norm)
-    anchors = selections.select("sampling", "n_items", "iter", "scenario",
+    sk = ["split_id"] if "split_id" in selections.columns else []
+    anchors = selections.select(*sk, "sampling", "n_items", "iter", "scenario",
                                 F.col("item_id").alias("anchor_id"),
                                 F.col("item_pos").alias("anchor_pos")) \
         .join(params.select(F.col("item_id").alias("anchor_id"), F.col("vec").alias("avec")),
@@ -146,8 +149,11 @@ def nearest_anchor_weights(params: DataFrame, selections: DataFrame, items: Data
     d2 = F.aggregate(F.zip_with("vec", "avec", lambda x, y: (x - y) * (x - y)),
                      F.lit(0.0), lambda acc, v: acc + v)
     pairs = pairs.withColumn("dist", r12(F.sqrt(d2)))
-    nearest = pairs.groupBy("sampling", "n_items", "iter", "scenario", "item_id", "nbw").agg(
+    nearest = pairs.groupBy(*sk, "sampling", "n_items", "iter", "scenario", "item_id", "nbw").agg(
         F.min_by("anchor_id", F.struct("dist", "anchor_pos")).alias("anchor_id"))
-    return (nearest.groupBy("sampling", "n_items", "iter", "scenario", "anchor_id")
-                   .agg(F.sum("nbw").alias("weight"))
+    cell = [*sk, "sampling", "n_items", "iter", "scenario"]
+    sums = nearest.groupBy(*cell, "anchor_id").agg(F.sum("nbw").alias("weight"))
+    # an anchor that attracts no item (a tie lost to a lower position) weighs 0
+    return (anchors.select(*cell, "anchor_id").join(sums, [*cell, "anchor_id"], "left")
+                   .fillna(0.0, ["weight"])
                    .withColumnRenamed("anchor_id", "item_id"))

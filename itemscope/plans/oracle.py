@@ -298,3 +298,54 @@ JOIN cells c ON t.split_id = c.split_id""")
 cte("estimates", ("naive_est", "knn_est", "pknn_est", "mts_est"), """
 SELECT * FROM naive_est UNION ALL SELECT * FROM knn_est
 UNION ALL SELECT * FROM pknn_est UNION ALL SELECT * FROM mts_est""")
+
+
+# ----------------------------------------------------------------- thresholds, F5
+cte("train_soft", ("f1_soft", "splits"), """
+SELECT s.split_id, f.model_id, f.item_id, f.scenario, f.score
+FROM f1_soft f JOIN splits s ON f.model_id = s.model_id AND s.role = 'train'""")
+
+cte("test_soft", ("f1_soft", "splits"), """
+SELECT s.split_id, f.model_id, f.item_id, f.scenario, f.score
+FROM f1_soft f JOIN splits s ON f.model_id = s.model_id AND s.role = 'test'""")
+
+cte("grid", (), """
+SELECT range::INT AS k,
+       CASE WHEN range = 999 THEN 0.99::DOUBLE
+            ELSE 0.01::DOUBLE + range::DOUBLE * ((0.99::DOUBLE - 0.01::DOUBLE) / 999.0::DOUBLE) END AS c
+FROM range(1000)""")
+
+cte("thresholds", ("train_soft", "grid"), """
+SELECT split_id, scenario, k, c AS threshold FROM (
+  SELECT e.split_id, e.scenario, e.k, g.c,
+         row_number() OVER (PARTITION BY e.split_id, e.scenario ORDER BY e.err, e.k) AS rn
+  FROM (SELECT fr.split_id, fr.scenario, fr.k, round(avg(abs(fr.fa - pm.ms)), 12) AS err
+        FROM (SELECT t.split_id, t.scenario, t.model_id, g.k,
+                     avg(CASE WHEN t.score > g.c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fa
+              FROM train_soft t, grid g GROUP BY t.split_id, t.scenario, t.model_id, g.k) fr
+        JOIN (SELECT split_id, scenario, model_id, avg(score) AS ms FROM train_soft
+              GROUP BY split_id, scenario, model_id) pm
+          ON fr.split_id = pm.split_id AND fr.scenario = pm.scenario AND fr.model_id = pm.model_id
+        GROUP BY fr.split_id, fr.scenario, fr.k) e
+  JOIN grid g ON g.k = e.k) WHERE rn = 1""")
+
+cte("f5", (), """
+SELECT m.model_id, e.vec_id AS item_id,
+       0.5::DOUBLE + (e.vec_id % 10)::DOUBLE / 10.0::DOUBLE AS a,
+       (((e.vec_id * 7) % 41) - 20)::DOUBLE / 10.0::DOUBLE AS b,
+       (m.model_id - 30)::DOUBLE / 15.0::DOUBLE AS theta
+FROM embeddings e, (SELECT range::INT AS model_id FROM range(60)) m""")
+
+cte("f5p", ("f5",), """
+SELECT model_id, item_id, a, b, theta, p,
+       CASE WHEN p > ('0x' || substr(md5(concat_ws(':', model_id, item_id)), 1, 8))::BIGINT
+                      / 4294967296.0::DOUBLE THEN 1 ELSE 0 END AS resp
+FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-least(greatest(a * theta - b, -30.0::DOUBLE), 30.0::DOUBLE))) AS p
+      FROM f5)""")
+
+cte("i6", ("f5p", "items"), """
+SELECT scenario, avg(abs(pred - tru)) AS b FROM (
+  SELECT f.model_id, i.scenario, avg(i.bal_w * f.p) AS pred, avg(f.resp::DOUBLE) AS tru
+  FROM f5p f JOIN items i USING (item_id)
+  WHERE f.model_id % 5 = 0 AND i.item_pos % 2 = 1
+  GROUP BY f.model_id, i.scenario) GROUP BY scenario""")

@@ -183,3 +183,60 @@ JOIN (SELECT {METHOD}, {_nan_null('avg(rho)')} AS rank_corr
 sql("per_model_table", ("estimates", "truth"), f"""
 SELECT {METHOD}, model_id, round(avg(est), 6) AS estimate, round(any_value(truth), 6) AS truth
 FROM ({LB_PER}) GROUP BY {METHOD}, model_id""")
+
+
+# ------------------------------------------------------------ thresholds, variance, IRT pieces
+sql("threshold_search", ("thresholds",),
+    "SELECT split_id, scenario, k, round(threshold, 6) AS threshold FROM thresholds")
+sql("binarize", ("thresholds", "test_soft"), """
+SELECT t.split_id, t.model_id, t.item_id, (t.score > h.threshold)::INT AS resp
+FROM test_soft t JOIN thresholds h ON t.split_id = h.split_id AND t.scenario = h.scenario""")
+sql("score_variance", ("train_soft",), """
+SELECT split_id, scenario, round(avg(v), 6) AS score_var FROM (
+  SELECT split_id, scenario, model_id, var_pop(score) AS v FROM train_soft
+  GROUP BY split_id, scenario, model_id) GROUP BY split_id, scenario""")
+sql("irt_validation_error", ("i6",), "SELECT scenario, round(b, 6) AS b FROM i6")
+sql("shrinkage_lambda", ("i6", "f5p", "items"), f"""
+SELECT v.scenario, g.n_items, k.kind,
+       round(e.b * e.b / (CASE WHEN k.kind = 'random' THEN v.score_var / g.n_items
+                               ELSE v.score_var / (4 * g.n_items) END + e.b * e.b), 6) AS lambda
+FROM (SELECT scenario, avg(vv) AS score_var FROM (
+        SELECT i.scenario, f.model_id, var_pop(f.resp::DOUBLE) AS vv
+        FROM f5p f JOIN items i USING (item_id) WHERE f.model_id % 5 <> 0
+        GROUP BY i.scenario, f.model_id) GROUP BY scenario) v
+JOIN i6 e USING (scenario),
+(SELECT unnest([10, 20, 40]) AS n_items) g, (SELECT unnest(['random', 'other']) AS kind) k""")
+sql("guided_pds", ("pds", "pds10"), """
+SELECT split_id, 'all' AS variant, item_id, round(score, 6) AS pds FROM pds
+UNION ALL SELECT split_id, '@10', item_id, round(score, 6) FROM pds10""")
+HIGH_SEL = disagreement_sel_sql(GRID, "pds", True, True)
+sql("unseen_items", ("items", "pds"), f"""
+SELECT c.split_id, c.sampling, c.n_items, c.iter, c.scenario, i.item_id
+FROM (SELECT DISTINCT split_id, sampling, n_items, iter, scenario FROM ({HIGH_SEL})) c
+JOIN items i ON i.scenario = c.scenario
+WHERE NOT EXISTS (SELECT 1 FROM ({HIGH_SEL}) s WHERE s.split_id = c.split_id AND s.sampling = c.sampling
+                  AND s.n_items = c.n_items AND s.iter = c.iter AND s.item_id = i.item_id)""")
+sql("nearest_anchor_weights", ("items", "pds", "f5"), f"""SELECT * FROM (
+WITH params AS (SELECT DISTINCT item_id, a, b FROM f5),
+sel AS ({HIGH_SEL}),
+it AS (SELECT i.item_id, i.scenario, i.bal_w / sum(i.bal_w) OVER (PARTITION BY i.scenario) AS nbw, p.a, p.b
+       FROM items i JOIN params p USING (item_id)),
+near AS (
+  SELECT split_id, sampling, n_items, iter, scenario, item_id, nbw, anchor_id FROM (
+    SELECT s.split_id, s.sampling, s.n_items, s.iter, s.scenario, it.item_id, it.nbw, s.item_id AS anchor_id,
+           row_number() OVER (PARTITION BY s.split_id, s.sampling, s.n_items, s.iter, s.scenario, it.item_id
+                              ORDER BY round(sqrt((it.a - ap.a) * (it.a - ap.a) + (it.b - ap.b) * (it.b - ap.b)), 12),
+                                       s.item_pos) AS rn
+    FROM sel s JOIN params ap ON ap.item_id = s.item_id JOIN it ON it.scenario = s.scenario) WHERE rn = 1)
+SELECT s.split_id, s.sampling, s.n_items, s.iter, s.scenario, s.item_id,
+       round(coalesce(w.weight, 0.0), 6) AS weight
+FROM sel s LEFT JOIN (SELECT split_id, sampling, n_items, iter, scenario, anchor_id, sum(nbw) AS weight
+                      FROM near GROUP BY ALL) w
+  ON s.split_id = w.split_id AND s.sampling = w.sampling AND s.n_items = w.n_items AND s.iter = w.iter
+ AND s.scenario = w.scenario AND s.item_id = w.anchor_id)""")
+sql("item_curve", ("f5p",), "SELECT model_id, item_id, round(p, 6) AS p, resp FROM f5p")
+sql("item_likelihood", ("f5p",), """
+SELECT model_id, round(sum(ln(CASE WHEN resp = 1 THEN p ELSE 1.0 - p END)), 6) AS loglik
+FROM f5p GROUP BY model_id""")
+sql("fisher_information", ("f5p",), """
+SELECT model_id, 0 AS i, 0 AS j, round(sum(p * (1.0 - p) * a * a), 6) AS info FROM f5p GROUP BY model_id""")

@@ -237,3 +237,107 @@ def q_per_model(spark, sf_dir):
     t = metrics.per_model_table(est, ctx.truth("test"))
     return t.select(*metrics.METHOD, "model_id", r6("estimate").alias("estimate"),
                     r6("truth").alias("truth"))
+
+
+# ------------------------------------------------------------ thresholds, variance, IRT pieces
+@query("threshold_search")
+def q_threshold(spark, sf_dir):
+    ctx = _ctx(spark, sf_dir)
+    t = stats.threshold_search(ctx.train(ctx.soft_scores))
+    return t.select("split_id", "scenario", "k", r6("threshold").alias("threshold"))
+
+
+@query("binarize")
+def q_binarize(spark, sf_dir):
+    ctx = _ctx(spark, sf_dir)
+    t = stats.threshold_search(ctx.train(ctx.soft_scores))
+    b = stats.binarize(ctx.test(ctx.soft_scores), t)
+    return b.select("split_id", "model_id", "item_id", "resp")
+
+
+@query("score_variance")
+def q_score_variance(spark, sf_dir):
+    ctx = _ctx(spark, sf_dir)
+    v = stats.score_variance(ctx.train(ctx.soft_scores))
+    return v.select("split_id", "scenario", r6("score_var").alias("score_var"))
+
+
+def _f5(spark, sf_dir):
+    from itemscope.sources import fixtures as fx
+    return fx.f5_responses(spark, sf_dir), fx.f5_item_params(spark, sf_dir), fx.f5_abilities(spark, sf_dir)
+
+
+def _i6(spark, sf_dir):
+    from itemscope.operators import irt
+    ctx = _ctx(spark, sf_dir)
+    resp, params, abil = _f5(spark, sf_dir)
+    val = resp.filter(F.col("model_id") % 5 == 0).select(
+        "model_id", "item_id", F.col("resp").cast("double").alias("score"))
+    unseen = ctx.items.filter(F.col("item_pos") % 2 == 1)
+    return ctx, resp, irt.validation_error(val, unseen, ctx.items, params, abil)
+
+
+@query("irt_validation_error")
+def q_irt_validation_error(spark, sf_dir):
+    _, _, err = _i6(spark, sf_dir)
+    return err.select("scenario", r6("b").alias("b"))
+
+
+@query("shrinkage_lambda")
+def q_shrinkage(spark, sf_dir):
+    ctx, resp, err = _i6(spark, sf_dir)
+    train = resp.filter(F.col("model_id") % 5 != 0).join(
+        ctx.items.select("item_id", "scenario"), "item_id").select(
+        "model_id", "scenario", F.col("resp").cast("double").alias("score"))
+    v = stats.score_variance(train, keys=())
+    lam = stats.shrinkage_lambda(v, err, GRID, keys=())
+    return lam.select("scenario", "n_items", "kind", r6("lambda").alias("lambda"))
+
+
+@query("guided_pds")
+def q_guided_pds(spark, sf_dir):
+    from itemscope.plans.evaluate import disagreement_variants
+    d = disagreement_variants(_ctx(spark, sf_dir), [None, 10])
+    return d.select("split_id", "variant", "item_id", r6("score").alias("pds"))
+
+
+@query("unseen_items")
+def q_unseen(spark, sf_dir):
+    ctx = _ctx(spark, sf_dir)
+    sel = select.select_disagreement(pds_by_split(ctx), ctx.items, GRID, True, True)
+    u = select.unseen_items(ctx.items, sel)
+    return u.select("split_id", "sampling", "n_items", "iter", "scenario", "item_id")
+
+
+@query("nearest_anchor_weights")
+def q_nearest_anchor(spark, sf_dir):
+    ctx = _ctx(spark, sf_dir)
+    _, params, _ = _f5(spark, sf_dir)
+    vec = params.select("item_id", F.concat("a", "b").alias("vec"))
+    sel = select.select_disagreement(pds_by_split(ctx), ctx.items, GRID, True, True)
+    w = select.nearest_anchor_weights(vec, sel, ctx.items)
+    return w.select("split_id", "sampling", "n_items", "iter", "scenario", "item_id",
+                    r6("weight").alias("weight"))
+
+
+@query("item_curve")
+def q_item_curve(spark, sf_dir):
+    resp, _, _ = _f5(spark, sf_dir)
+    return resp.select("model_id", "item_id", r6("p").alias("p"), "resp")
+
+
+@query("item_likelihood")
+def q_item_likelihood(spark, sf_dir):
+    from itemscope.operators import irt
+    resp, _, _ = _f5(spark, sf_dir)
+    lik = irt.likelihood(resp)
+    return lik.groupBy("model_id").agg(r6(F.sum(F.log("lik"))).alias("loglik"))
+
+
+@query("fisher_information")
+def q_fisher(spark, sf_dir):
+    from itemscope.operators import irt
+    resp, params, _ = _f5(spark, sf_dir)
+    df = resp.join(params, "item_id")
+    fi = irt.fisher_information(df, ["model_id"], 1)
+    return fi.select("model_id", "i", "j", r6("info").alias("info"))
