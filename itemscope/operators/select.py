@@ -84,17 +84,18 @@ def select_disagreement(scores: DataFrame, items: DataFrame, n_items_grid,
 
 
 def select_random(items: DataFrame, n_items_grid, iters: int = 1,
-                  split_ids: list | None = None) -> DataFrame:
+                  split_ids: list | None = None, seed: int = 0) -> DataFrame:
     """L2: stratified random sample, repeatable per iteration seed.
 
     Subs are shuffled by md5(iter, scenario, sub); the first n mod n_sub of
     the shuffled subs get one extra item; items inside a sub are drawn in
-    md5(iter, item_id) order, without replacement."""
+    md5(iter, item_id) order, without replacement.  ``seed`` offsets the
+    iteration seeds (a second, independent copy of the same grid)."""
     grid = [int(n) for n in dict.fromkeys(n_items_grid)]
     its = F.explode(F.sequence(F.lit(0), F.lit(iters - 1)))
     subs = items.select("scenario", "sub").distinct().select("*", its.alias("iter"))
     w_sub = Window.partitionBy("iter", "scenario").orderBy(
-        md5_key(F.col("iter"), F.lit("sub"), F.col("scenario"), F.col("sub")), F.col("sub"))
+        md5_key(F.col("iter") + seed, F.lit("sub"), F.col("scenario"), F.col("sub")), F.col("sub"))
     subs = subs.select("*", F.row_number().over(w_sub).alias("sub_rank"),
                        F.count(F.lit(1)).over(Window.partitionBy("iter", "scenario")).alias("n_sub"))
     subs = subs.select("*", _grid_col(grid).alias("n_items"))
@@ -103,7 +104,7 @@ def select_random(items: DataFrame, n_items_grid, iters: int = 1,
     subs = subs.select("iter", "scenario", "sub", "n_items", quota.alias("quota"))
     it = items.select("item_id", "scenario", "sub", "item_pos").select("*", its.alias("iter"))
     w_it = Window.partitionBy("iter", "scenario", "sub").orderBy(
-        md5_key(F.col("iter"), F.col("item_id")), F.col("item_id"))
+        md5_key(F.col("iter") + seed, F.col("item_id")), F.col("item_id"))
     ranked = it.withColumn("rank", F.row_number().over(w_it)).filter(F.col("rank") <= max(grid))
     ranked = ranked.join(F.broadcast(subs), ["iter", "scenario", "sub"]).filter(
         F.col("rank") <= F.col("quota")).withColumn("sampling", F.lit("random"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from itemscope.operators import items as items_ops
 from itemscope.operators import splits as split_ops
 from itemscope.operators import stats
+from itemscope.session import cut_lineage
 from itemscope.sources import fixtures as fx
 
 N_TEST = 12             # fixture design: iid = model_pos % 5 == 0, noniid = 12 newest
@@ -25,12 +26,20 @@ ITERS = 3
 
 class EvalContext:
     def __init__(self, spark: SparkSession, sf_dir: str, n_test: int = N_TEST,
-                 n_models: int = fx.F1_MODELS, input_mode: str = "auto"):
+                 n_models: int = fx.F1_MODELS, input_mode: str = "auto",
+                 materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.n_test = n_test
         self.n_models = n_models
         self.input_mode = input_mode
+        # small derived tables (one row per item, model or model x scenario) are
+        # checkpointed once: later plans read them instead of re-deriving them
+        self.materialize = materialize
+        self._truth = {}
+
+    def _m(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.materialize else df
 
     # ---------------------------------------------------------------- items
     @cached_property
@@ -39,7 +48,7 @@ class EvalContext:
 
     @cached_property
     def items(self) -> DataFrame:
-        return items_ops.build_items(fx.f1_items(self.spark, self.sf_dir), self.catalog)
+        return self._m(items_ops.build_items(fx.f1_items(self.spark, self.sf_dir), self.catalog))
 
     # ---------------------------------------------------------------- models
     @cached_property
@@ -50,7 +59,7 @@ class EvalContext:
     def splits(self) -> DataFrame:
         iid = split_ops.split_systematic(self.models, self.n_test, "iid", n_models=self.n_models)
         noniid = split_ops.split_chronological(self.models, self.n_test, "noniid")
-        return iid.unionByName(noniid)
+        return self._m(iid.unionByName(noniid))
 
     def role(self, role: str) -> DataFrame:
         return self.splits.filter(F.col("role") == role).select("split_id", "model_id", "model_pos")
@@ -82,7 +91,9 @@ class EvalContext:
 
     # ---------------------------------------------------------------- truth
     def truth(self, role: str = "test") -> DataFrame:
-        sc = split_ops.project(self.scores, self.splits, role)
-        acc = stats.true_accuracy(sc, self.items, keys=("split_id", "model_id"))
-        return acc.join(self.role(role).select("split_id", "model_id", "model_pos"),
-                        ["split_id", "model_id"])
+        if role not in self._truth:
+            sc = split_ops.project(self.scores, self.splits, role)
+            acc = stats.true_accuracy(sc, self.items, keys=("split_id", "model_id"))
+            self._truth[role] = self._m(acc.join(
+                self.role(role).select("split_id", "model_id", "model_pos"), ["split_id", "model_id"]))
+        return self._truth[role]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from itemscope.operators import estimate, select, stats
 from itemscope.plans.context import GRID, ITERS, EvalContext
+from itemscope.session import cut_lineage
 
 SAMPLINGS = ("random", "high-disagreement", "low-disagreement",
              "high-disagreement@10+nonstratified")
@@ -28,7 +29,7 @@ def disagreement_variants(ctx: EvalContext, guiding=(None, 10), kind: str = "pds
 
 
 def run_selections(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID, iters: int = ITERS,
-                   kind: str = "pds") -> DataFrame:
+                   kind: str = "pds", seed: int = 0) -> DataFrame:
     """Every requested sampling x n_items x iteration, one table."""
     parts = []
     guiding = set()
@@ -41,7 +42,7 @@ def run_selections(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID, iters: int
     for s in samplings:
         if s == "random":
             parts.append(select.select_random(ctx.items, grid, iters,
-                                              split_ids=["iid", "noniid"]))
+                                              split_ids=["iid", "noniid"], seed=seed))
             continue
         if "disagreement" not in s:
             raise NotImplementedError(s)
@@ -57,9 +58,11 @@ def run_selections(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID, iters: int
 
 
 def fixture_estimates(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID,
-                      iters: int = ITERS) -> DataFrame:
+                      iters: int = ITERS, seed: int = 0) -> DataFrame:
     """F6 estimates: naive + KNN per sampling, mean_train_score + perfect_knn."""
-    sel = run_selections(ctx, samplings, grid, iters)
+    sel = run_selections(ctx, samplings, grid, iters, seed=seed)
+    if ctx.materialize:
+        sel = cut_lineage(sel)   # bounded: sum(n) x iterations x samplings x splits rows
     test_scores = ctx.test(ctx.scores)
     nv = estimate.naive(test_scores, sel)
     logits = ctx.predictions.select("model_id", "item_id", "logits")
@@ -71,4 +74,12 @@ def fixture_estimates(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID,
     pk = estimate.expand_constant(estimate.perfect_knn(test_truth, train_truth), sel, "perfect_knn")
     mts = estimate.expand_constant(
         estimate.mean_train_score_est(ctx.train(ctx.scores), test_truth), sel, "mean_train_score")
-    return estimate.estimator_union(nv, kn, pk, mts)
+    est = estimate.estimator_union(nv, kn, pk, mts)
+    return cut_lineage(est) if ctx.materialize else est
+
+
+def summaries(ctx: EvalContext, estimates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaderboard MAE (mae, spread) and Spearman (rank_corr) per method cell."""
+    from itemscope.operators import metrics
+    truth = ctx.truth("test")
+    return metrics.mae(estimates, truth, "leaderboard"), metrics.spearman(estimates, truth)

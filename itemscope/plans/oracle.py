@@ -180,11 +180,11 @@ FROM (SELECT r.split_id, {samp} AS sampling, r.n_items, it.iter, r.scenario, r.i
       FROM ({joined}) r, (SELECT range::INT AS iter FROM range({iters})) it)"""
 
 
-def random_sel_sql(grid, iters: int, split_ids=("iid", "noniid")) -> str:
+def random_sel_sql(grid, iters: int, split_ids=("iid", "noniid"), seed: int = 0) -> str:
     subs = f"""
 SELECT it.iter, s.scenario, s.sub,
        row_number() OVER (PARTITION BY it.iter, s.scenario
-                          ORDER BY md5(concat_ws(':', it.iter, 'sub', s.scenario, s.sub)), s.sub) AS sub_rank,
+                          ORDER BY md5(concat_ws(':', it.iter + {seed}, 'sub', s.scenario, s.sub)), s.sub) AS sub_rank,
        count(*) OVER (PARTITION BY it.iter, s.scenario) AS n_sub
 FROM (SELECT DISTINCT scenario, sub FROM items) s, (SELECT range::INT AS iter FROM range({iters})) it"""
     q = f"""
@@ -194,7 +194,7 @@ FROM ({subs}) s, {grid_values(grid)} g"""
     ranked = f"""
 SELECT it.iter, i.item_id, i.scenario, i.sub, i.item_pos,
        row_number() OVER (PARTITION BY it.iter, i.scenario, i.sub
-                          ORDER BY md5(concat_ws(':', it.iter, i.item_id)), i.item_id) AS rank
+                          ORDER BY md5(concat_ws(':', it.iter + {seed}, i.item_id)), i.item_id) AS rank
 FROM items i, (SELECT range::INT AS iter FROM range({iters})) it"""
     splits = "(SELECT unnest([" + ", ".join(f"'{s}'" for s in split_ids) + "]) AS split_id)"
     return f"""
@@ -229,51 +229,88 @@ FROM (SELECT t.split_id, t.item_id, t.class_id, max(t.p) AS pmax
 GROUP BY split_id, item_id""")
 
 
-def _sel_all_body(grid=(10, 20, 40), iters=3) -> str:
+def _sel_all_body(grid=(10, 20, 40), iters=3, seed=0) -> str:
     return "\nUNION ALL\n".join([
-        random_sel_sql(grid, iters),
+        random_sel_sql(grid, iters, seed=seed),
         disagreement_sel_sql(grid, "pds", True, True, iters),
         disagreement_sel_sql(grid, "pds", False, True, iters),
         disagreement_sel_sql(grid, "pds10", True, False, iters, name="high-disagreement@10"),
     ])
 
 
-cte("sel_all", ("items", "pds", "pds10"), _sel_all_body())
-
-cte("naive_est", ("sel_all", "test_scores"), f"""
+def register_f6(sfx: str = "", seed: int = 0) -> None:
+    """F6 estimates chain; ``sfx`` names a second copy with another random seed."""
+    cte(f"sel_all{sfx}", ("items", "pds", "pds10"), _sel_all_body(seed=seed))
+    cte(f"naive_est{sfx}", (f"sel_all{sfx}", "test_scores"), f"""
 SELECT split_id, model_id, sampling, 'naive' AS estimator, n_items, iter, scenario, acc_hat
-FROM ({naive_sql('SELECT * FROM sel_all')})""")
-
-cte("sigp", ("sel_all", "f1p", "splits"), """
+FROM ({naive_sql(f'SELECT * FROM sel_all{sfx}')})""")
+    cte(f"sigp{sfx}", (f"sel_all{sfx}", "f1p", "splits"), f"""
 SELECT s.split_id, s.sampling, s.n_items, s.iter, p.model_id, sp.role, p.item_id, p.class_id, p.p
-FROM (SELECT DISTINCT split_id, sampling, n_items, iter, item_id FROM sel_all) s
+FROM (SELECT DISTINCT split_id, sampling, n_items, iter, item_id FROM sel_all{sfx}) s
 JOIN f1p p ON p.item_id = s.item_id
 JOIN splits sp ON sp.split_id = s.split_id AND sp.model_id = p.model_id""")
-
-cte("sig_norms", ("sigp",), """
+    cte(f"sig_norms{sfx}", (f"sigp{sfx}",), f"""
 SELECT split_id, sampling, n_items, iter, model_id, greatest(sqrt(sum(p * p)), 1e-8) AS nrm
-FROM sigp GROUP BY split_id, sampling, n_items, iter, model_id""")
-
-cte("knn_est", ("sigp", "sig_norms", "train_truth"), """
+FROM sigp{sfx} GROUP BY split_id, sampling, n_items, iter, model_id""")
+    cte(f"knn_est{sfx}", (f"sigp{sfx}", f"sig_norms{sfx}", "train_truth"), f"""
 SELECT split_id, model_id, sampling, 'KNN' AS estimator, n_items, iter, scenario, acc AS acc_hat FROM (
   SELECT d.split_id, d.model_id, d.sampling, d.n_items, d.iter, tt.scenario, tt.acc,
          row_number() OVER (PARTITION BY d.split_id, d.model_id, d.sampling, d.n_items, d.iter, tt.scenario
                             ORDER BY round(d.dot / (na.nrm * nb.nrm), 12) DESC, tt.model_pos ASC) AS rn
   FROM (SELECT a.split_id, a.sampling, a.n_items, a.iter, a.model_id, b.model_id AS tr_model,
                sum(a.p * b.p) AS dot
-        FROM sigp a JOIN sigp b
+        FROM sigp{sfx} a JOIN sigp{sfx} b
           ON a.split_id = b.split_id AND a.sampling = b.sampling AND a.n_items = b.n_items
          AND a.iter = b.iter AND a.item_id = b.item_id AND a.class_id = b.class_id
         WHERE a.role = 'test' AND b.role = 'train'
         GROUP BY a.split_id, a.sampling, a.n_items, a.iter, a.model_id, b.model_id) d
-  JOIN sig_norms na ON na.split_id = d.split_id AND na.sampling = d.sampling AND na.n_items = d.n_items
+  JOIN sig_norms{sfx} na ON na.split_id = d.split_id AND na.sampling = d.sampling AND na.n_items = d.n_items
                    AND na.iter = d.iter AND na.model_id = d.model_id
-  JOIN sig_norms nb ON nb.split_id = d.split_id AND nb.sampling = d.sampling AND nb.n_items = d.n_items
+  JOIN sig_norms{sfx} nb ON nb.split_id = d.split_id AND nb.sampling = d.sampling AND nb.n_items = d.n_items
                    AND nb.iter = d.iter AND nb.model_id = d.tr_model
   JOIN train_truth tt ON tt.split_id = d.split_id AND tt.model_id = d.tr_model)
 WHERE rn = 1""")
+    cte(f"cells{sfx}", (f"sel_all{sfx}",), f"SELECT DISTINCT split_id, n_items, iter FROM sel_all{sfx}")
+    cte(f"pknn_est{sfx}", ("pknn", f"cells{sfx}"), f"""
+SELECT p.split_id, p.model_id, '-' AS sampling, 'perfect_knn' AS estimator, c.n_items, c.iter,
+       p.scenario, p.acc_hat
+FROM pknn p JOIN cells{sfx} c ON p.split_id = c.split_id""")
+    cte(f"mts_est{sfx}", ("truth", "train_scores", f"cells{sfx}"), f"""
+SELECT t.split_id, t.model_id, '-' AS sampling, 'mean_train_score' AS estimator, c.n_items, c.iter,
+       t.scenario, m.acc_hat
+FROM truth t JOIN (SELECT split_id, avg(score) AS acc_hat FROM train_scores GROUP BY split_id) m
+  ON t.split_id = m.split_id
+JOIN cells{sfx} c ON t.split_id = c.split_id""")
+    cte(f"estimates{sfx}", (f"naive_est{sfx}", f"knn_est{sfx}", f"pknn_est{sfx}", f"mts_est{sfx}"), f"""
+SELECT * FROM naive_est{sfx} UNION ALL SELECT * FROM knn_est{sfx}
+UNION ALL SELECT * FROM pknn_est{sfx} UNION ALL SELECT * FROM mts_est{sfx}""")
+    # leaderboard MAE and Spearman summaries
+    per = f"""
+SELECT l.*, m.truth, abs(l.est - m.truth) AS err FROM
+  (SELECT split_id, sampling, estimator, n_items, model_id, iter, avg(acc_hat) AS est FROM estimates{sfx}
+   GROUP BY split_id, sampling, estimator, n_items, model_id, iter) l
+JOIN (SELECT split_id, model_id, avg(acc) AS truth FROM truth GROUP BY split_id, model_id) m
+  ON l.split_id = m.split_id AND l.model_id = m.model_id"""
+    cte(f"lb_per{sfx}", (f"estimates{sfx}", "truth"), per)
+    cte(f"lb_mae{sfx}", (f"lb_per{sfx}",), f"""
+SELECT split_id, sampling, estimator, n_items, avg(e) AS mae, stddev_pop(e) AS spread FROM (
+  SELECT split_id, sampling, estimator, n_items, model_id, avg(err) AS e FROM lb_per{sfx}
+  GROUP BY split_id, sampling, estimator, n_items, model_id)
+GROUP BY split_id, sampling, estimator, n_items""")
+    keys = "split_id, sampling, estimator, n_items, iter"
+    cte(f"lb_rank{sfx}", (f"lb_per{sfx}",), f"""
+SELECT split_id, sampling, estimator, n_items,
+       CASE WHEN isnan(avg(rho)) THEN NULL ELSE avg(rho) END AS rank_corr FROM (
+  SELECT {keys}, CASE WHEN sx < 1e-9 OR sy < 1e-9 THEN 'NaN'::DOUBLE ELSE rho END AS rho FROM (
+    SELECT {keys}, corr(rx, ry) AS rho, stddev_pop(est) AS sx, stddev_pop(truth) AS sy FROM (
+      SELECT *,
+        rank() OVER (PARTITION BY {keys} ORDER BY est)
+          + (count(*) OVER (PARTITION BY {keys}, est) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY {keys} ORDER BY truth)
+          + (count(*) OVER (PARTITION BY {keys}, truth) - 1) / 2.0 AS ry
+      FROM lb_per{sfx}) GROUP BY {keys}))
+GROUP BY split_id, sampling, estimator, n_items""")
 
-cte("cells", ("sel_all",), "SELECT DISTINCT split_id, n_items, iter FROM sel_all")
 
 cte("pknn", ("truth", "train_truth"), """
 SELECT split_id, model_id, scenario, tr_acc AS acc_hat FROM (
@@ -283,21 +320,8 @@ SELECT split_id, model_id, scenario, tr_acc AS acc_hat FROM (
   FROM truth t JOIN train_truth r ON t.split_id = r.split_id AND t.scenario = r.scenario)
 WHERE rn = 1""")
 
-cte("pknn_est", ("pknn", "cells"), """
-SELECT p.split_id, p.model_id, '-' AS sampling, 'perfect_knn' AS estimator, c.n_items, c.iter,
-       p.scenario, p.acc_hat
-FROM pknn p JOIN cells c ON p.split_id = c.split_id""")
-
-cte("mts_est", ("truth", "train_scores", "cells"), """
-SELECT t.split_id, t.model_id, '-' AS sampling, 'mean_train_score' AS estimator, c.n_items, c.iter,
-       t.scenario, m.acc_hat
-FROM truth t JOIN (SELECT split_id, avg(score) AS acc_hat FROM train_scores GROUP BY split_id) m
-  ON t.split_id = m.split_id
-JOIN cells c ON t.split_id = c.split_id""")
-
-cte("estimates", ("naive_est", "knn_est", "pknn_est", "mts_est"), """
-SELECT * FROM naive_est UNION ALL SELECT * FROM knn_est
-UNION ALL SELECT * FROM pknn_est UNION ALL SELECT * FROM mts_est""")
+register_f6("")
+register_f6("_b", seed=100)
 
 
 # ----------------------------------------------------------------- thresholds, F5
@@ -349,3 +373,68 @@ SELECT scenario, avg(abs(pred - tru)) AS b FROM (
   FROM f5p f JOIN items i USING (item_id)
   WHERE f.model_id % 5 = 0 AND i.item_pos % 2 = 1
   GROUP BY f.model_id, i.scenario) GROUP BY scenario""")
+
+
+# ----------------------------------------------------------------- result tables
+cte("long_a", ("lb_mae",), "SELECT split_id, n_items, sampling, estimator, mae AS value FROM lb_mae")
+cte("long_b", ("lb_mae_b",), "SELECT split_id, n_items, sampling, estimator, mae AS value FROM lb_mae_b")
+cte("rlong_a", ("lb_rank",), "SELECT split_id, n_items, sampling, estimator, rank_corr AS value FROM lb_rank")
+cte("rlong_b", ("lb_rank_b",), "SELECT split_id, n_items, sampling, estimator, rank_corr AS value FROM lb_rank_b")
+
+cte("meta", ("lb_mae",), r"""
+SELECT sampling,
+       CASE WHEN contains(sampling, 'disagreement') THEN
+            CASE WHEN contains(sampling, '@') THEN regexp_extract(sampling, '@(\d+)', 1) ELSE 'all' END END
+         AS guiding_models,
+       CASE WHEN contains(sampling, 'disagreement') THEN
+            CASE WHEN contains(sampling, 'high') THEN 'highest' ELSE 'lowest' END END AS pds_type,
+       CASE WHEN contains(sampling, 'disagreement') THEN NOT contains(sampling, '+nonstratified') END
+         AS stratified
+FROM (SELECT DISTINCT sampling FROM lb_mae)""")
+
+
+def best_sql(long: str, key: str = "pds_type", lower: bool = True) -> str:
+    agg = "min" if lower else "max"
+    return f"""
+SELECT l.split_id, l.n_items, m.{key}::VARCHAR AS row_label, l.estimator, {agg}(l.value) AS value
+FROM {long} l JOIN meta m USING (sampling) WHERE m.{key} IS NOT NULL
+GROUP BY l.split_id, l.n_items, m.{key}, l.estimator
+UNION ALL
+SELECT l.split_id, l.n_items, l.sampling, l.estimator, l.value
+FROM {long} l JOIN meta m USING (sampling) WHERE m.{key} IS NULL"""
+
+
+def report_sql(src: str, tgt: str, key: str = "pds_type", lower: bool = True) -> str:
+    order = "ASC" if lower else "DESC"
+    return f"""
+SELECT p.split_id, p.n_items, p.grp AS row_label, p.estimator, t.value FROM (
+  SELECT split_id, n_items, grp, estimator, sampling FROM (
+    SELECT l.*, m.{key}::VARCHAR AS grp,
+           row_number() OVER (PARTITION BY l.split_id, l.n_items, m.{key}, l.estimator
+                              ORDER BY l.value {order}, l.sampling) AS rn
+    FROM {src} l JOIN meta m USING (sampling) WHERE m.{key} IS NOT NULL AND l.value IS NOT NULL)
+  WHERE rn = 1) p
+LEFT JOIN {tgt} t ON t.split_id = p.split_id AND t.n_items = p.n_items AND t.sampling = p.sampling
+ AND t.estimator = p.estimator
+UNION ALL
+SELECT l.split_id, l.n_items, l.sampling, l.estimator, l.value
+FROM {tgt} l JOIN meta m USING (sampling) WHERE m.{key} IS NULL"""
+
+
+def fit_sql(src_best: str, tgt_best: str, cands=("naive", "KNN"), lower: bool = True,
+            keep: bool = False) -> str:
+    worst = "'inf'::DOUBLE" if lower else "'-inf'::DOUBLE"
+    order = "ASC" if lower else "DESC"
+    inl = ", ".join(f"'{c}'" for c in cands)
+    idx = "CASE estimator " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(cands)) + " END"
+    keep_rows = f"SELECT * FROM ({tgt_best})" + ("" if keep else f" WHERE estimator NOT IN ({inl})")
+    return f"""
+{keep_rows}
+UNION ALL
+SELECT p.split_id, p.n_items, p.row_label, 'fit' AS estimator, t.value FROM (
+  SELECT split_id, n_items, row_label, estimator FROM (
+    SELECT *, row_number() OVER (PARTITION BY split_id, n_items, row_label
+                                 ORDER BY coalesce(value, {worst}) {order}, {idx}) AS rn
+    FROM ({src_best}) WHERE estimator IN ({inl})) WHERE rn = 1) p
+LEFT JOIN ({tgt_best}) t ON t.split_id = p.split_id AND t.n_items = p.n_items
+ AND t.row_label = p.row_label AND t.estimator = p.estimator"""

@@ -240,3 +240,127 @@ SELECT model_id, round(sum(ln(CASE WHEN resp = 1 THEN p ELSE 1.0 - p END)), 6) A
 FROM f5p GROUP BY model_id""")
 sql("fisher_information", ("f5p",), """
 SELECT model_id, 0 AS i, 0 AS j, round(sum(p * (1.0 - p) * a * a), 6) AS info FROM f5p GROUP BY model_id""")
+
+
+# ------------------------------------------------------------ result tables
+from itemscope.plans.oracle import best_sql, fit_sql, report_sql  # noqa: E402
+
+PIVOT = """
+SELECT split_id, n_items, sampling,
+       round(max(CASE WHEN estimator = 'naive' THEN mae END), 6) AS naive,
+       round(max(CASE WHEN estimator = 'KNN' THEN mae END), 6) AS KNN,
+       round(max(CASE WHEN estimator = 'mean_train_score' THEN mae END), 6) AS mean_train_score,
+       round(max(CASE WHEN estimator = 'perfect_knn' THEN mae END), 6) AS perfect_knn
+FROM lb_mae GROUP BY split_id, n_items, sampling"""
+LONG_OUT = "split_id, n_items, row_label, estimator, round(value, 6) AS value"
+
+sql("perf_pivot", ("lb_mae",), PIVOT)
+sql("sampling_metadata", ("meta",), "SELECT * FROM meta")
+sql("text_cells", ("lb_mae",), """
+SELECT split_id, n_items, sampling,
+       max(CASE WHEN estimator = 'naive' THEN printf('%.6f+-%.6f', mae, spread) END) AS naive,
+       max(CASE WHEN estimator = 'KNN' THEN printf('%.6f+-%.6f', mae, spread) END) AS KNN,
+       max(CASE WHEN estimator = 'mean_train_score' THEN printf('%.6f+-%.6f', mae, spread) END)
+         AS mean_train_score,
+       max(CASE WHEN estimator = 'perfect_knn' THEN printf('%.6f+-%.6f', mae, spread) END) AS perfect_knn
+FROM lb_mae GROUP BY split_id, n_items, sampling""")
+sql("display_table", ("lb_mae", "meta", "splits"), f"""
+SELECT p.split_id, p.n_items,
+       row_number() OVER (PARTITION BY p.split_id, p.n_items
+                          ORDER BY m.pds_type ASC NULLS LAST, m.stratified ASC NULLS LAST,
+                                   (CASE WHEN m.guiding_models = 'all' THEN n.n_train
+                                         ELSE m.guiding_models::INT END)::INT ASC NULLS LAST,
+                                   p.sampling)::INT AS row_order,
+       p.sampling,
+       (CASE WHEN m.guiding_models = 'all' THEN n.n_train ELSE m.guiding_models::INT END)::INT
+         AS guiding_count,
+       m.pds_type, m.stratified, p.naive, p.KNN, p.mean_train_score, p.perfect_knn
+FROM ({PIVOT}) p JOIN meta m USING (sampling)
+JOIN (SELECT split_id, count(*) AS n_train FROM splits WHERE role = 'train' GROUP BY split_id) n
+  USING (split_id)""")
+sql("merge_results", ("lb_mae", "lb_mae_b"), """
+SELECT split_id, sampling, estimator, n_items, round(mae, 6) AS mae, round(spread, 6) AS spread FROM (
+  SELECT * FROM lb_mae WHERE estimator IN ('naive', 'KNN')
+  UNION ALL
+  SELECT b.* FROM lb_mae_b b WHERE NOT EXISTS (
+    SELECT 1 FROM lb_mae a WHERE a.estimator IN ('naive', 'KNN') AND a.split_id = b.split_id
+      AND a.sampling = b.sampling AND a.estimator = b.estimator AND a.n_items = b.n_items))""")
+sql("best_per_group", ("long_a", "meta"), f"SELECT {LONG_OUT} FROM ({best_sql('long_a')})")
+sql("select_on_source_report_target", ("long_a", "long_b", "meta"),
+    f"SELECT {LONG_OUT} FROM ({report_sql('long_a', 'long_b')})")
+DROPPED = "estimator NOT IN ('MLP3_e700_lr0.001', 'Ridge_10', 'Lasso_e-4', 'GradientBoostingRegressor_200')"
+
+
+def _fit(a, b, lower, keep):
+    src = f"SELECT * FROM ({best_sql(a, 'pds_type', lower)}) WHERE {DROPPED}"
+    tgt = f"SELECT * FROM ({report_sql(a, b, 'pds_type', lower)}) WHERE {DROPPED}"
+    return fit_sql(src, tgt, ("naive", "KNN"), lower, keep)
+
+
+sql("rowwise_best", ("long_a", "long_b", "meta"), f"SELECT {LONG_OUT} FROM ({_fit('long_a', 'long_b', True, False)})")
+
+ROWS = """(VALUES (1, 'Baseline', 'Random', 'Eval', 'random', 'naive'),
+ (2, 'IRT baseline', 'Random', 'gp-IRT', 'random', 'gpirt'),
+ (3, 'IRT baseline', 'anchor-IRT', 'gp-IRT', 'anchor-irt', 'gpirt'),
+ (4, 'IRT baseline', 'anchor-correctness', 'gp-IRT', 'anchor', 'gpirt'),
+ (5, 'Baseline', 'Random', 'kNN', 'random', 'KNN'),
+ (6, 'Baseline', 'Random', 'fit', 'random', 'fit'),
+ (7, 'Disagreement', 'High PDS', 'kNN', 'highest', 'KNN'),
+ (8, 'Disagreement', 'High PDS', 'fit', 'highest', 'fit'))
+ AS spec(row_no, approach, condensation, prediction, row_label, estimator)"""
+sql("main_table", ("long_a", "long_b", "rlong_a", "rlong_b", "meta"), f"""
+SELECT spec.row_no::INT AS row_no, spec.approach, spec.condensation, spec.prediction,
+       max(CASE WHEN m.split_id = 'iid' THEN round(m.value * 100, 2) END) AS iid_mae,
+       max(CASE WHEN r.split_id = 'iid' THEN round(r.value, 3) END) AS iid_rank,
+       max(CASE WHEN m.split_id = 'noniid' THEN round(m.value * 100, 2) END) AS noniid_mae,
+       max(CASE WHEN r.split_id = 'noniid' THEN round(r.value, 3) END) AS noniid_rank,
+       40 AS n_items
+FROM {ROWS}
+LEFT JOIN (SELECT * FROM ({_fit('long_a', 'long_b', True, True)}) WHERE n_items = 40) m
+  ON m.row_label = spec.row_label AND m.estimator = spec.estimator
+LEFT JOIN (SELECT * FROM ({_fit('rlong_a', 'rlong_b', False, True)}) WHERE n_items = 40) r
+  ON r.row_label = spec.row_label AND r.estimator = spec.estimator
+ AND (m.split_id IS NULL OR r.split_id = m.split_id)
+GROUP BY spec.row_no, spec.approach, spec.condensation, spec.prediction""")
+sql("result_fanout", ("lb_mae", "lb_rank"), """
+SELECT split_id, sampling, estimator, n_items, round(m.mae, 6) AS mae, round(m.spread, 6) AS spread,
+       round(r.rank_corr, 6) AS rank_corr
+FROM lb_mae m JOIN lb_rank r USING (split_id, sampling, estimator, n_items)""")
+sql("stratification_ablation", ("long_a", "meta"), f"SELECT {LONG_OUT} FROM ({best_sql('long_a', 'stratified')})")
+sql("display_names", ("lb_mae",), """
+SELECT split_id, n_items, method, coalesce(lut.label, method) AS label, round(mae, 6) AS mae FROM (
+  SELECT *, CASE WHEN estimator IN ('mean_train_score', 'perfect_knn') THEN estimator
+                 ELSE concat_ws('_', sampling, estimator) END AS method FROM lb_mae) x
+LEFT JOIN (VALUES ('anchor', 'correct.'), ('anchor-irt', 'IRT'), ('anchor-irt_gpirt', 'IRT++'),
+                  ('anchor-irt_naive', 'IRT'), ('anchor-irt_pirt', 'IRT+'), ('anchor_gpirt', 'correct.++'),
+                  ('anchor_naive', 'correct.'), ('anchor_pirt', 'correct.+'),
+                  ('mean_train_score', 'mean train score'), ('random_gpirt', 'random++'),
+                  ('random_naive', 'random'), ('random_pirt', 'random+')) AS lut(m, label)
+  ON lut.m = x.method""")
+sql("largest_n_table", ("lb_mae",), f"SELECT * FROM ({PIVOT}) WHERE n_items = 40")
+
+
+def _diff_sql(a: str, b: str, keys: list, cols: list) -> str:
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    ktxt = "concat_ws('|', " + ", ".join(f"coalesce(a.{k}, b.{k})::VARCHAR" for k in keys) + ")"
+    parts = []
+    for c in cols:
+        diff = f"(a.__in AND b.__in AND a.{c} IS DISTINCT FROM b.{c})"
+        parts.append(f"""
+SELECT '{c}' AS "column", sum(CASE WHEN b.__in IS NULL THEN 1 ELSE 0 END)::BIGINT AS only_a,
+       sum(CASE WHEN a.__in IS NULL THEN 1 ELSE 0 END)::BIGINT AS only_b,
+       sum(CASE WHEN {diff} THEN 1 ELSE 0 END)::BIGINT AS n_diff,
+       coalesce(list_sort(list_slice(list_sort(list({ktxt}) FILTER (WHERE {diff})), 1, 3)), []::VARCHAR[])
+         AS examples
+FROM (SELECT *, true AS __in FROM ({a})) a FULL JOIN (SELECT *, true AS __in FROM ({b})) b ON {on}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+EST_A = f"SELECT {EST}, round(acc_hat, 6) AS acc_hat FROM estimates"
+EST_B = f"SELECT {EST}, round(acc_hat, 6) AS acc_hat FROM estimates_b"
+sql("table_diff", ("estimates", "estimates_b"),
+    _diff_sql(EST_A, EST_B, EST.split(", "), ["acc_hat"]))
+sql("consistency_check", ("long_a", "meta"),
+    _diff_sql(f"SELECT {LONG_OUT} FROM ({report_sql('long_a', 'long_a')})",
+              f"SELECT {LONG_OUT} FROM ({best_sql('long_a')})",
+              ["split_id", "n_items", "row_label", "estimator"], ["value"]))

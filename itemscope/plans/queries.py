@@ -341,3 +341,154 @@ def q_fisher(spark, sf_dir):
     df = resp.join(params, "item_id")
     fi = irt.fisher_information(df, ["model_id"], 1)
     return fi.select("model_id", "i", "j", r6("info").alias("info"))
+
+
+# ------------------------------------------------------------ result tables
+PREDICTORS = ["naive", "KNN", "mean_train_score", "perfect_knn"]
+LONG = ["split_id", "n_items", "row_label", "estimator"]
+
+
+def _tables(spark, sf_dir):
+    from itemscope.plans.evaluate import fixture_estimates, summaries
+    ctx = _ctx(spark, sf_dir)
+    est_a = fixture_estimates(ctx)
+    est_b = fixture_estimates(ctx, seed=100)
+    mae_a, rank_a = summaries(ctx, est_a)
+    mae_b, rank_b = summaries(ctx, est_b)
+    return ctx, est_a, est_b, mae_a, rank_a, mae_b, rank_b
+
+
+def _r6_cols(df, cols):
+    return df.select(*[r6(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@query("perf_pivot")
+def q_perf_pivot(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, *_ = _tables(spark, sf_dir)
+    return _r6_cols(tables.perf_pivot(tables.summary_long(mae_a, "mae"), PREDICTORS), PREDICTORS)
+
+
+@query("sampling_metadata")
+def q_sampling_metadata(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, *_ = _tables(spark, sf_dir)
+    return tables.sampling_metadata(mae_a)
+
+
+@query("text_cells")
+def q_text_cells(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, *_ = _tables(spark, sf_dir)
+    return tables.text_cells(mae_a, PREDICTORS)
+
+
+@query("display_table")
+def q_display_table(spark, sf_dir):
+    from itemscope.operators import tables
+    ctx, _, _, mae_a, *_ = _tables(spark, sf_dir)
+    piv = _r6_cols(tables.perf_pivot(tables.summary_long(mae_a, "mae"), PREDICTORS), PREDICTORS)
+    n_train = ctx.role("train").groupBy("split_id").agg(F.count(F.lit(1)).alias("n_train"))
+    return tables.display_table(piv, n_train)
+
+
+@query("merge_results")
+def q_merge_results(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, _, mae_b, _ = _tables(spark, sf_dir)
+    base = mae_a.filter(F.col("estimator").isin("naive", "KNN"))
+    m = tables.merge_results(base, mae_b, metrics.METHOD)
+    return m.select(*metrics.METHOD, r6("mae").alias("mae"), r6("spread").alias("spread"))
+
+
+def _long_out(df):
+    return df.select(*LONG, r6("value").alias("value"))
+
+
+@query("best_per_group")
+def q_best_per_group(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, *_ = _tables(spark, sf_dir)
+    return _long_out(tables.best_per_group(tables.summary_long(mae_a, "mae"), "pds_type", True))
+
+
+@query("select_on_source_report_target")
+def q_select_report(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, _, mae_b, _ = _tables(spark, sf_dir)
+    return _long_out(tables.select_report(tables.summary_long(mae_a, "mae"),
+                                          tables.summary_long(mae_b, "mae"), "pds_type", True))
+
+
+def _fit_table(mae_a, mae_b, value, lower_better, keep):
+    from itemscope.operators import tables
+    la, lb = tables.summary_long(mae_a, value), tables.summary_long(mae_b, value)
+    src = tables.drop_predictors(tables.best_per_group(la, "pds_type", lower_better))
+    tgt = tables.drop_predictors(tables.select_report(la, lb, "pds_type", lower_better))
+    return tables.rowwise_best(src, tgt, ["naive", "KNN"], lower_better, keep_candidates=keep)
+
+
+@query("rowwise_best")
+def q_rowwise_best(spark, sf_dir):
+    _, _, _, mae_a, _, mae_b, _ = _tables(spark, sf_dir)
+    return _long_out(_fit_table(mae_a, mae_b, "mae", True, False))
+
+
+@query("main_table")
+def q_main_table(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, rank_a, mae_b, rank_b = _tables(spark, sf_dir)
+    m = _fit_table(mae_a, mae_b, "mae", True, True)
+    r = _fit_table(rank_a.withColumnRenamed("rank_corr", "value"),
+                   rank_b.withColumnRenamed("rank_corr", "value"), "value", False, True)
+    return tables.main_table(m, r, ["iid", "noniid"], max(GRID))
+
+
+@query("result_fanout")
+def q_fanout(spark, sf_dir):
+    _, _, _, mae_a, rank_a, _, _ = _tables(spark, sf_dir)
+    j = mae_a.join(rank_a, metrics.METHOD)
+    return j.select(*metrics.METHOD, r6("mae").alias("mae"), r6("spread").alias("spread"),
+                    r6(metrics.nan_to_null("rank_corr")).alias("rank_corr"))
+
+
+@query("stratification_ablation")
+def q_ablation(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, *_ = _tables(spark, sf_dir)
+    return _long_out(tables.best_per_group(tables.summary_long(mae_a, "mae"), "stratified", True))
+
+
+@query("display_names")
+def q_display_names(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, *_ = _tables(spark, sf_dir)
+    m = mae_a.withColumn("method", estimate.method_name("sampling", "estimator"))
+    d = tables.display_names(m, "method")
+    return d.select("split_id", "n_items", "method", "label", r6("mae").alias("mae"))
+
+
+@query("largest_n_table")
+def q_largest_n(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, *_ = _tables(spark, sf_dir)
+    piv = _r6_cols(tables.perf_pivot(tables.summary_long(mae_a, "mae"), PREDICTORS), PREDICTORS)
+    return tables.largest_n(piv)
+
+
+@query("table_diff")
+def q_table_diff(spark, sf_dir):
+    from itemscope.operators import tables
+    _, est_a, est_b, *_ = _tables(spark, sf_dir)
+    a = est_a.select(*EST_COLS, r6("acc_hat").alias("acc_hat"))
+    b = est_b.select(*EST_COLS, r6("acc_hat").alias("acc_hat"))
+    return tables.table_diff(a, b, EST_COLS)
+
+
+@query("consistency_check")
+def q_consistency(spark, sf_dir):
+    from itemscope.operators import tables
+    _, _, _, mae_a, *_ = _tables(spark, sf_dir)
+    la = tables.summary_long(mae_a, "mae")
+    return tables.table_diff(_long_out(tables.select_report(la, la, "pds_type", True)),
+                             _long_out(tables.best_per_group(la, "pds_type", True)), LONG)
