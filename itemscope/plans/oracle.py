@@ -438,3 +438,36 @@ SELECT p.split_id, p.n_items, p.row_label, 'fit' AS estimator, t.value FROM (
     FROM ({src_best}) WHERE estimator IN ({inl})) WHERE rn = 1) p
 LEFT JOIN ({tgt_best}) t ON t.split_id = p.split_id AND t.n_items = p.n_items
  AND t.row_label = p.row_label AND t.estimator = p.estimator"""
+
+
+# ----------------------------------------------------------------- raw logs (F4), F2
+cte("f4a", ("f1", "f1_scores"), """
+SELECT a.model_id, a.sub, a.item_id, s.score, a.n_answers, a.logit_sum,
+       (row_number() OVER (PARTITION BY a.model_id, a.sub ORDER BY a.item_id) - 1)::INT AS item_no
+FROM (SELECT model_id, item_id, any_value(sub) AS sub, count(*)::INT AS n_answers,
+             sum(round(logit, 6)) AS logit_sum
+      FROM f1 WHERE model_id BETWEEN 0 AND 39 AND (sub <> 0 OR class_id < 3)
+        AND NOT (model_id % 10 = 7 AND sub = 3)
+      GROUP BY model_id, item_id) a
+JOIN f1_scores s ON s.model_id = a.model_id AND s.item_id = a.item_id""")
+
+cte("f4_cells", ("f1_scores",), """
+SELECT model_id, sub, CASE WHEN model_id <= 39 THEN 'A' ELSE 'B' END AS snapshot,
+       CASE WHEN model_id % 10 = 7 AND sub = 3 THEN 0 ELSE count(*) END::INT AS n_items,
+       CASE WHEN model_id % 10 = 7 AND sub = 3 THEN NULL
+            WHEN model_id <= 39 THEN sum(score)
+            ELSE sum(0.25::DOUBLE + score * 0.5::DOUBLE) END AS score_sum
+FROM f1_scores GROUP BY model_id, sub""")
+
+cte("f2", (), """
+SELECT l_suppkey::BIGINT AS model_id, l_partkey::BIGINT AS item_id, p_brand AS scenario, p_type AS sub,
+       round(max(l_discount) * 10, 6) AS score, min(l_shipdate) AS run_ts, count(*) AS n_obs
+FROM lineitem JOIN part ON l_partkey = p_partkey
+GROUP BY l_suppkey, l_partkey, p_brand, p_type""")
+
+cte("f2_metric", ("f2",), """
+SELECT model_id, sub,
+       CASE WHEN contains(sub, 'arc') THEN 'acc_norm' WHEN contains(sub, 'hellaswag') THEN 'acc_norm'
+            WHEN contains(sub, 'truthfulqa') THEN 'mc2' ELSE 'acc' END AS metric,
+       count(*) AS n, sum(score) AS s_acc, sum(round(score * 0.9, 6)) AS s_norm
+FROM f2 GROUP BY model_id, sub""")

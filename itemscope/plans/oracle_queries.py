@@ -364,3 +364,45 @@ sql("consistency_check", ("long_a", "meta"),
     _diff_sql(f"SELECT {LONG_OUT} FROM ({report_sql('long_a', 'long_a')})",
               f"SELECT {LONG_OUT} FROM ({best_sql('long_a')})",
               ["split_id", "n_items", "row_label", "estimator"], ["value"]))
+
+
+# ------------------------------------------------------------ ETL over nested raw logs
+sql("parse_and_pad", ("f4a",), """
+SELECT model_id, sub, item_no, round(score, 6) AS score, n_answers, (4 - n_answers)::INT AS pad_count,
+       round(logit_sum, 6) AS logit_sum FROM f4a""")
+sql("snapshot_merge", ("f4_cells",),
+    "SELECT model_id, sub, snapshot, n_items, round(score_sum, 6) AS score_sum FROM f4_cells")
+sql("completeness_filter", ("f4_cells",), """
+SELECT model_id FROM f4_cells GROUP BY model_id
+HAVING count(*) FILTER (WHERE score_sum IS NOT NULL) = (SELECT count(DISTINCT label) FROM embeddings)""")
+sql("model_run_dates", ("models",), "SELECT model_id, run_date, model_pos FROM models")
+sql("drop_models", ("models",), "SELECT model_id FROM models WHERE model_id NOT IN (1, 2, 3)")
+sql("dedupe_models", ("f4_cells",), """
+SELECT model_id, (count(*) + CASE WHEN model_id BETWEEN 30 AND 39 THEN count(*) ELSE 0 END)::BIGINT AS n_rows
+FROM f4_cells GROUP BY model_id""")
+sql("answer_width", ("f4a",), "SELECT sub, max(n_answers)::INT AS max_answers FROM f4a GROUP BY sub")
+sql("width_violations", ("f4a",),
+    "SELECT model_id, sub, item_no, n_answers AS width FROM f4a WHERE n_answers > 3")
+sql("optional_columns", ("f4_cells",), """
+SELECT model_id, sub, NULL::VARCHAR AS example, 1 AS n_dates FROM f4_cells WHERE model_id <= 39""")
+sql("catalog_sample", ("f2",), """
+SELECT model_id, bench FROM (
+  SELECT model_id, bench, row_number() OVER (ORDER BY model_id) AS rn FROM (
+    SELECT s.s_suppkey::BIGINT AS model_id, coalesce(b.bench, 0.0) AS bench
+    FROM supplier s LEFT JOIN (SELECT model_id, round(avg(score) * 100, 6) AS bench FROM f2 GROUP BY model_id) b
+      ON b.model_id = s.s_suppkey) WHERE bench > 30)
+WHERE (rn - 1) % 5 = 0""")
+sql("metric_choice", ("f2",), """
+SELECT sub, CASE WHEN contains(sub, 'arc') THEN 'acc_norm' WHEN contains(sub, 'hellaswag') THEN 'acc_norm'
+                 WHEN contains(sub, 'truthfulqa') THEN 'mc2' ELSE 'acc' END AS metric
+FROM (SELECT DISTINCT sub FROM f2)""")
+sql("correctness_extraction", ("f2_metric",), """
+SELECT model_id, sub, metric,
+       CASE WHEN model_id % 9 = 2 THEN 0
+            WHEN metric = 'mc2' AND model_id % 4 = 1 THEN 0 ELSE n END::INT AS n_items,
+       round(CASE WHEN model_id % 9 = 2 THEN NULL WHEN metric = 'acc' THEN s_acc
+                  WHEN metric = 'acc_norm' THEN s_norm ELSE NULL END, 6) AS score_sum
+FROM f2_metric""")
+sql("skipped_models", ("f2",), """
+SELECT count(DISTINCT model_id) FILTER (WHERE model_id % 9 = 2)::BIGINT AS n_skipped,
+       count(DISTINCT model_id) AS n_models FROM f2""")

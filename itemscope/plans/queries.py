@@ -492,3 +492,129 @@ def q_consistency(spark, sf_dir):
     la = tables.summary_long(mae_a, "mae")
     return tables.table_diff(_long_out(tables.select_report(la, la, "pds_type", True)),
                              _long_out(tables.best_per_group(la, "pds_type", True)), LONG)
+
+
+# ------------------------------------------------------------ ETL over nested raw logs
+def _raw(spark, sf_dir, snap):
+    from itemscope.sources.raw import f4_raw_runs
+    return f4_raw_runs(spark, sf_dir, snap)
+
+
+def _long_a(spark, sf_dir):
+    from itemscope.operators import etl
+    return etl.to_long(etl.parse_predictions(_raw(spark, sf_dir, "A")))
+
+
+def _merged(spark, sf_dir):
+    from itemscope.operators import etl
+    # both snapshots are parsed to typed arrays first (E4), then merged
+    return etl.merge_snapshots(etl.parse_predictions(_raw(spark, sf_dir, "A")),
+                               etl.parse_predictions(_raw(spark, sf_dir, "B")))
+
+
+@query("parse_and_pad")
+def q_parse_and_pad(spark, sf_dir):
+    from itemscope.operators import etl
+    long = etl.pad_answers(_long_a(spark, sf_dir), "logits", 4)
+    finite = F.filter("logits", lambda x: x > F.lit(float("-inf")))
+    return long.select("model_id", "sub", "item_no", r6("score").alias("score"), "n_answers",
+                       (F.size("logits") - F.size(finite)).alias("pad_count"),
+                       r6(F.aggregate(finite, F.lit(0.0), lambda a, x: a + x)).alias("logit_sum"))
+
+
+@query("snapshot_merge")
+def q_snapshot_merge(spark, sf_dir):
+    m = _merged(spark, sf_dir)
+    return m.select("model_id", "sub", "snapshot",
+                    F.coalesce(F.size("correctness"), F.lit(0)).alias("n_items"),
+                    r6(F.aggregate("correctness", F.lit(0.0), lambda a, x: a + x)).alias("score_sum"))
+
+
+@query("completeness_filter")
+def q_completeness(spark, sf_dir):
+    from itemscope.operators import etl
+    subs = _ctx(spark, sf_dir).items.select("sub")
+    return etl.complete_models(_merged(spark, sf_dir), subs)
+
+
+@query("model_run_dates")
+def q_run_dates(spark, sf_dir):
+    from itemscope.operators import etl
+    from itemscope.operators import splits as split_ops
+    return split_ops.model_order(etl.run_dates(_merged(spark, sf_dir)))
+
+
+@query("drop_models")
+def q_drop_models(spark, sf_dir):
+    from itemscope.operators import etl
+    return etl.drop_models(_merged(spark, sf_dir).select("model_id").distinct(), [1, 2, 3])
+
+
+@query("dedupe_models")
+def q_dedupe_models(spark, sf_dir):
+    from itemscope.operators import etl
+    raw = etl.parse_predictions(_raw(spark, sf_dir, "A")).unionByName(
+        etl.parse_predictions(_raw(spark, sf_dir, "B")))
+    return etl.distinct_models(raw)
+
+
+@query("answer_width")
+def q_answer_width(spark, sf_dir):
+    from itemscope.operators import etl
+    return etl.max_answers(_long_a(spark, sf_dir))
+
+
+@query("width_violations")
+def q_width_violations(spark, sf_dir):
+    from itemscope.operators import etl
+    v = etl.width_violations(_long_a(spark, sf_dir), "logits", 3)
+    return v.select("model_id", "sub", "item_no", "width")
+
+
+@query("optional_columns")
+def q_optional(spark, sf_dir):
+    from itemscope.operators import etl
+    d = etl.with_optional(_raw(spark, sf_dir, "A"), ["example"])
+    return d.select("model_id", "sub", "example", F.size("run_dates").alias("n_dates"))
+
+
+@query("catalog_sample")
+def q_catalog_sample(spark, sf_dir):
+    import uuid
+    from itemscope.operators import etl
+    from itemscope.session import checkpoint_dir
+    from itemscope.sources import fixtures as fx
+    from itemscope.sources import io as sio
+    sup = fx.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("model_id"))
+    per = fx.f2_log(spark, sf_dir).groupBy("model_id").agg(
+        F.round(F.avg("score") * 100, 6).alias("bench"))
+    cat = sup.join(per, "model_id", "left").fillna(0.0, ["bench"])
+    path = f"{checkpoint_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    sio.write_csv(cat.orderBy("model_id"), path)
+    back = sio.read_csv(spark, path, "model_id bigint, bench double")
+    return etl.catalog_sample(back, "bench", "model_id", threshold=30.0, every=5)
+
+
+@query("metric_choice")
+def q_metric_choice(spark, sf_dir):
+    from itemscope.operators import etl
+    from itemscope.sources import fixtures as fx
+    subs = fx.f2_log(spark, sf_dir).select("sub").distinct()
+    return subs.select("sub", etl.metric_for("sub").alias("metric"))
+
+
+@query("correctness_extraction")
+def q_correctness(spark, sf_dir):
+    from itemscope.operators import etl
+    from itemscope.sources.raw import raw_metrics
+    c = etl.extract_correctness(raw_metrics(spark, sf_dir))
+    return c.select("model_id", "sub", "metric",
+                    F.coalesce(F.size("correctness"), F.lit(0)).alias("n_items"),
+                    r6(F.aggregate("correctness", F.lit(0.0), lambda a, x: a + x)).alias("score_sum"))
+
+
+@query("skipped_models")
+def q_skipped(spark, sf_dir):
+    from itemscope.operators import etl
+    from itemscope.sources.raw import raw_metrics
+    return etl.skipped_models(etl.extract_correctness(raw_metrics(spark, sf_dir)))
