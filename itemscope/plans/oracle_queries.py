@@ -406,3 +406,12 @@ FROM f2_metric""")
 sql("skipped_models", ("f2",), """
 SELECT count(DISTINCT model_id) FILTER (WHERE model_id % 9 = 2)::BIGINT AS n_skipped,
        count(DISTINCT model_id) AS n_models FROM f2""")
+
+
+# ------------------------------------------------------------ IRT chain
+sql("irt_jsonl", ("f5p", "items"), """
+SELECT model_id::VARCHAR AS subject_id,
+       '{"subject_id":"' || model_id::VARCHAR || '","responses":{'
+         || string_agg('"q' || i.item_pos::VARCHAR || '":' || f.resp::VARCHAR, ',' ORDER BY i.item_pos)
+         || '}}' AS line
+FROM f5p f JOIN items i USING (item_id) GROUP BY model_id""")

@@ -618,3 +618,105 @@ def q_skipped(spark, sf_dir):
     from itemscope.operators import etl
     from itemscope.sources.raw import raw_metrics
     return etl.skipped_models(etl.extract_correctness(raw_metrics(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ IRT chain (F5 planted world)
+def _f5_world(spark, sf_dir):
+    """Planted responses scored on the F1 item dimension (same item ids)."""
+    ctx = _ctx(spark, sf_dir)
+    resp, params, abil = _f5(spark, sf_dir)
+    return ctx, resp, params, abil
+
+
+@query("irt_jsonl")
+def q_irt_jsonl(spark, sf_dir):
+    from itemscope.sources import io as sio
+    ctx, resp, _, _ = _f5_world(spark, sf_dir)
+    fr = sio.irt_jsonl_frame(resp, ctx.items)
+    return fr.select("subject_id", F.to_json(F.struct("subject_id", "responses")).alias("line"))
+
+
+@query("ability_estimate")
+def q_ability(spark, sf_dir):
+    """Abilities of all planted models from their even-position items."""
+    from itemscope.operators import irt
+    ctx, resp, params, _ = _f5_world(spark, sf_dir)
+    seen = resp.join(ctx.items.filter(F.col("item_pos") % 2 == 0).select("item_id"), "item_id")
+    th = irt.estimate_abilities(seen.select("model_id", "item_id", "resp"), params, ["model_id"], 1)
+    return th.select("model_id", r6(F.element_at("theta", 1)).alias("theta"))
+
+
+@query("irt_fit")
+def q_irt_fit(spark, sf_dir):
+    """I4: D=1 2PL fitted by alternating MAP on the planted responses."""
+    from itemscope.operators import irt
+    _, resp, _, _ = _f5_world(spark, sf_dir)
+    items, _ = irt.fit_irt(resp.select("model_id", "item_id", "resp"), dims=1, rounds=10)
+    return items.select("item_id", r6(F.element_at("a", 1)).alias("a"), r6(F.element_at("b", 1)).alias("b"))
+
+
+def _irt_estimates(spark, sf_dir, thresh=None):
+    """A5/A6 on the planted world: test = every 5th model, selections from F1 PDS."""
+    from itemscope.operators import irt
+    ctx, resp, params, _ = _f5_world(spark, sf_dir)
+    scores = resp.select("model_id", "item_id", F.col("resp").cast("double").alias("score"))
+    test_scores = scores.filter(F.col("model_id") % 5 == 0).withColumn("split_id", F.lit("planted"))
+    sel = select.select_disagreement(pds_by_split(ctx).filter(F.col("split_id") == "iid"),
+                                     ctx.items, GRID, True, True).withColumn("split_id", F.lit("planted"))
+    sel = sel.unionByName(select.select_random(ctx.items, GRID, 1, split_ids=["planted"]))
+    seen = test_scores.join(F.broadcast(sel.select("split_id", "sampling", "n_items", "iter", "item_id")),
+                            ["split_id", "item_id"]).withColumnRenamed("score", "resp")
+    keys = ["split_id", "model_id", "sampling", "n_items", "iter"]
+    ab = irt.estimate_abilities(seen, params, keys, 1, rounds=8)
+    return ctx, test_scores, sel, params, ab, estimate.pirt(test_scores, sel, ctx.items, params, ab, thresh)
+
+
+@query("pirt_estimate")
+def q_pirt(spark, sf_dir):
+    *_, est = _irt_estimates(spark, sf_dir)
+    return est.select("split_id", "model_id", "sampling", "n_items", "iter", "scenario",
+                      r6("acc_hat").alias("acc_hat"))
+
+
+@query("cirt_estimate")
+def q_cirt(spark, sf_dir):
+    *_, est = _irt_estimates(spark, sf_dir, thresh=0.5)
+    return est.select("split_id", "model_id", "sampling", "n_items", "iter", "scenario",
+                      r6("acc_hat").alias("acc_hat"))
+
+
+@query("gpirt_estimate")
+def q_gpirt(spark, sf_dir):
+    """A7 with lambdas from T7 (variance of train responses, bias from I6)."""
+    ctx, test_scores, sel, params, ab, pi = _irt_estimates(spark, sf_dir)
+    _, resp, err = _i6(spark, sf_dir)
+    train = resp.filter(F.col("model_id") % 5 != 0).join(
+        ctx.items.select("item_id", "scenario"), "item_id").select(
+        "model_id", "scenario", F.col("resp").cast("double").alias("score"))
+    lam = stats.shrinkage_lambda(stats.score_variance(train, keys=()), err, GRID, keys=()) \
+               .withColumn("split_id", F.lit("planted"))
+    nv = estimate.naive(test_scores, sel)
+    g = estimate.gpirt(nv, pi, lam)
+    return g.select("split_id", "model_id", "sampling", "n_items", "iter", "scenario",
+                    r6("acc_hat").alias("acc_hat"))
+
+
+@query("irt_dims_choice")
+def q_dims(spark, sf_dir):
+    """Validation error for D in {1, 2} fitted on non-validation planted
+    models; the simplest D within 0.0025 of the best."""
+    from itemscope.operators import irt
+    ctx, resp, _, _ = _f5_world(spark, sf_dir)
+    fit_resp = resp.filter(F.col("model_id") % 5 != 0).select("model_id", "item_id", "resp")
+    val = resp.filter(F.col("model_id") % 5 == 0)
+    even = ctx.items.filter(F.col("item_pos") % 2 == 0).select("item_id")
+    odd = ctx.items.filter(F.col("item_pos") % 2 == 1).select("item_id")
+    errs = None
+    for d in (1, 2):
+        items_p, _ = irt.fit_irt(fit_resp, dims=d, rounds=6)
+        th = irt.estimate_abilities(val.join(even, "item_id").select("model_id", "item_id", "resp"),
+                                    items_p, ["model_id"], d, rounds=6)
+        e = irt.validation_error(val.select("model_id", "item_id", F.col("resp").cast("double").alias("score")),
+                                 odd, ctx.items, items_p, th).withColumn("dims", F.lit(d))
+        errs = e if errs is None else errs.unionByName(e)
+    return irt.choose_dims(errs).select("dims", r6("err").alias("err"))
