@@ -720,3 +720,118 @@ def q_dims(spark, sf_dir):
                                  odd, ctx.items, items_p, th).withColumn("dims", F.lit(d))
         errs = e if errs is None else errs.unionByName(e)
     return irt.choose_dims(errs).select("dims", r6("err").alias("err"))
+
+
+# ------------------------------------------------------------ MLlib: anchors, PCA, regressors
+FIT_SAMPLINGS = ("random", "high-disagreement")
+
+
+@query("kmeans_anchors")
+def q_kmeans_anchors(spark, sf_dir):
+    """Correctness anchors on the iid split's train scores."""
+    from itemscope.operators import anchors
+    ctx = _ctx(spark, sf_dir)
+    tr = ctx.train(ctx.scores).filter(F.col("split_id") == "iid")
+    feats = anchors.score_features(tr, ctx.role("train").filter(F.col("split_id") == "iid"))
+    sel = anchors.kmeans_anchors(feats, ctx.items, GRID, iters=1)
+    return sel.select("sampling", "n_items", "iter", "scenario", "item_id", "item_pos",
+                      r6("weight").alias("weight"))
+
+
+@query("irt_anchors")
+def q_irt_anchors(spark, sf_dir):
+    """Anchors in item-parameter space (planted parameters)."""
+    from itemscope.operators import anchors
+    ctx = _ctx(spark, sf_dir)
+    _, params, _ = _f5(spark, sf_dir)
+    sel = anchors.kmeans_anchors(anchors.irt_features(params), ctx.items, GRID, iters=1,
+                                 sampling="anchor-irt")
+    return sel.select("sampling", "n_items", "iter", "scenario", "item_id", "item_pos",
+                      r6("weight").alias("weight"))
+
+
+def _fit_inputs(spark, sf_dir, pca_k=None):
+    from itemscope.operators import regress
+    from itemscope.plans.evaluate import run_selections
+    from itemscope.session import cut_lineage
+    ctx = _ctx(spark, sf_dir)
+    sel = cut_lineage(run_selections(ctx, FIT_SAMPLINGS, GRID, ITERS))
+    dedup = estimate.dedupe_cells(sel)
+    rep = regress.representative_cells(dedup)
+    sel_rep = sel.join(F.broadcast(rep), regress.CELL, "left_semi")
+    logits = ctx.predictions.select("model_id", "item_id", "logits")
+    tr = estimate.signatures(ctx.train(logits), sel_rep, softmax=True, col="logits")
+    te = estimate.signatures(ctx.test(logits), sel_rep, softmax=True, col="logits")
+    if pca_k:
+        p = regress.pca_signatures(tr, te, pca_k)
+        tr = p.filter(F.col("role") == "train").drop("role")
+        te = p.filter(F.col("role") == "test").drop("role")
+    return ctx, dedup, cut_lineage(tr), cut_lineage(te)
+
+
+@query("pca_signature")
+def q_pca(spark, sf_dir):
+    """Signatures reduced to 8 principal components per cell."""
+    _, _, tr, te = _fit_inputs(spark, sf_dir, pca_k=8)
+    both = tr.withColumn("role", F.lit("train")).unionByName(te.withColumn("role", F.lit("test")))
+    return both.select("split_id", "sampling", "n_items", "iter", "model_id", "role",
+                       F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+def _linear(spark, sf_dir, methods):
+    from itemscope.operators import regress
+    ctx, dedup, tr, te = _fit_inputs(spark, sf_dir, pca_k=16)
+    est, rmse = regress.linear_estimates(tr, te, ctx.truth("train"), methods)
+    return regress.expand_to_cells(est, dedup), regress.expand_to_cells(rmse, dedup)
+
+
+def _est_out(est):
+    return est.select("split_id", "model_id", "sampling", "estimator", "n_items", "iter", "scenario",
+                      r6("acc_hat").alias("acc_hat"))
+
+
+@query("ridge_estimate")
+def q_ridge(spark, sf_dir):
+    """A8 Ridge (alpha 10) on PCA-16 signatures, closed form per cell."""
+    est, _ = _linear(spark, sf_dir, {"Ridge_10": ("ridge", 10.0)})
+    return _est_out(est)
+
+
+@query("ols_estimate")
+def q_ols(spark, sf_dir):
+    est, _ = _linear(spark, sf_dir, {"LinearRegression": ("ols", 0.0)})
+    return _est_out(est)
+
+
+@query("lasso_estimate")
+def q_lasso(spark, sf_dir):
+    """A8 Lasso (alpha 1e-4) by coordinate descent per cell."""
+    est, _ = _linear(spark, sf_dir, {"Lasso_e-4": ("lasso", 1e-4)})
+    return _est_out(est)
+
+
+@query("fit_rmse")
+def q_fit_rmse(spark, sf_dir):
+    """Train RMSE of every linear method per cell and scenario."""
+    _, rmse = _linear(spark, sf_dir, None)
+    return rmse.select("split_id", "sampling", "n_items", "iter", "scenario", "estimator",
+                       r6("rmse").alias("rmse"))
+
+
+def _trees(spark, sf_dir, kind, n):
+    from itemscope.operators import regress
+    ctx, dedup, tr, te = _fit_inputs(spark, sf_dir, pca_k=16)
+    est = regress.tree_estimates(tr, te, ctx.truth("train"), kind, n)
+    return _est_out(regress.expand_to_cells(est, dedup))
+
+
+@query("forest_estimate")
+def q_forest(spark, sf_dir):
+    """100-tree random forest per distinct cell (MLlib)."""
+    return _trees(spark, sf_dir, "forest", 100)
+
+
+@query("gbt_estimate")
+def q_gbt(spark, sf_dir):
+    """A10: gradient-boosted trees, 50 rounds, per distinct cell (MLlib)."""
+    return _trees(spark, sf_dir, "gbt", 50)
