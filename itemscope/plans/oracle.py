@@ -471,3 +471,8 @@ SELECT model_id, sub,
             WHEN contains(sub, 'truthfulqa') THEN 'mc2' ELSE 'acc' END AS metric,
        count(*) AS n, sum(score) AS s_acc, sum(round(score * 0.9, 6)) AS s_norm
 FROM f2 GROUP BY model_id, sub""")
+
+
+cte("f3", (), """
+SELECT event_id, ts, user_id AS model_id, json_extract_string(props, '$.k')::INT AS item_id,
+       round(least(value, 100.0) / 100.0, 6) AS score FROM events""")

@@ -415,3 +415,13 @@ SELECT model_id::VARCHAR AS subject_id,
          || string_agg('"q' || i.item_pos::VARCHAR || '":' || f.resp::VARCHAR, ',' ORDER BY i.item_pos)
          || '}}' AS line
 FROM f5p f JOIN items i USING (item_id) GROUP BY model_id""")
+
+
+# ------------------------------------------------------------ streaming twins (batch semantics)
+sql("stream_pds", ("f3",), """
+SELECT item_id, round(max(score) + max(1.0 - score), 6) AS pds, count(*) AS n_rows
+FROM f3 GROUP BY item_id""")
+sql("stream_window_accuracy", ("f3",), """
+SELECT model_id, epoch(date_trunc('day', ts))::BIGINT AS window_start, count(*) AS n,
+       round(avg(score), 6) AS accuracy
+FROM f3 GROUP BY model_id, date_trunc('day', ts)""")

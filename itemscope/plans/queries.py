@@ -835,3 +835,60 @@ def q_forest(spark, sf_dir):
 def q_gbt(spark, sf_dir):
     """A10: gradient-boosted trees, 50 rounds, per distinct cell (MLlib)."""
     return _trees(spark, sf_dir, "gbt", 50)
+
+
+# ------------------------------------------------------------ streaming (F3 events)
+def _stage_events(spark, sf_dir, n_files: int = 3):
+    """Write the response events as ``n_files`` time-ordered Parquet files under
+    the checkpoint folder, so a file stream sees them arrive in order."""
+    import uuid
+    from itemscope.session import checkpoint_dir
+    from itemscope.sources import fixtures as fx
+    root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    ev = fx.f3_events(spark, sf_dir)
+    bounds = ev.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")),
+                                           [i / n_files for i in range(1, n_files)], 10000)
+                       .alias("q")).first().q
+    edges = [None, *bounds, None]
+    for i in range(n_files):
+        lo, hi = edges[i], edges[i + 1]
+        t = F.unix_micros(F.col("ts").cast("timestamp"))
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (t > lo)
+        if hi is not None:
+            cond = cond & (t <= hi)
+        ev.filter(cond).write.mode("overwrite").parquet(f"{root}/in/part{i}")
+    return root, ev.schema
+
+
+@query("stream_pds")
+def q_stream_pds(spark, sf_dir):
+    """PDS over events arriving in three files; probabilities [score, 1 - score]."""
+    from itemscope.streaming import changelog_sink, latest, pds_from_state, pds_stream
+    from itemscope.streaming.incremental import run_to_end
+    root, schema = _stage_events(spark, sf_dir)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
+               .option("recursiveFileLookup", True).parquet(f"{root}/in")
+    probs = src.select("model_id", "item_id",
+                       F.array(F.col("score"), F.lit(1.0) - F.col("score")).alias("probs"))
+    q = changelog_sink(pds_stream(probs, 2), f"{root}/out", f"{root}/ckpt")
+    run_to_end(spark, q)
+    state = latest(spark.read.parquet(f"{root}/out"), ["item_id"])
+    return pds_from_state(state, 2).select("item_id", r6("pds").alias("pds"), "n_rows")
+
+
+@query("stream_window_accuracy")
+def q_stream_accuracy(spark, sf_dir):
+    """Running accuracy per model and day of event time, watermark 2 days."""
+    from itemscope.streaming import accuracy_stream, changelog_sink, latest
+    from itemscope.streaming.incremental import run_to_end
+    root, schema = _stage_events(spark, sf_dir)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
+               .option("recursiveFileLookup", True).parquet(f"{root}/in")
+    src = src.withColumn("ts", F.col("ts").cast("timestamp"))
+    q = changelog_sink(accuracy_stream(src), f"{root}/out", f"{root}/ckpt")
+    run_to_end(spark, q)
+    state = latest(spark.read.parquet(f"{root}/out"), ["model_id", "win"])
+    return state.select("model_id", F.unix_seconds("win.start").alias("window_start"),
+                        "n", r6(F.col("wsum") / F.col("w")).alias("accuracy"))
