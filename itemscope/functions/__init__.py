@@ -3,6 +3,10 @@ whole-stage codegen); none is a Python UDF."""
 
 from itemscope.functions.columns import (  # noqa: F401
     argmax_array,
+    broadcast_scalar,
+    exp_shifted,
+    normalise,
+    with_softmax,
     avg_rank,
     clip,
     hex_uniform,

@@ -28,13 +28,41 @@ def sum_array(x) -> Column:
     return F.aggregate(_c(x), F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
-def softmax_array(x) -> Column:
-    """Stable softmax over an ARRAY<DOUBLE>; -inf entries become 0."""
+def broadcast_scalar(arr, scalar) -> Column:
+    """``scalar`` repeated to the length of ``arr``.
+
+    A row-level value used inside a lambda would be re-evaluated for every
+    element (Catalyst inlines it); as a higher-order-function *argument* it is
+    evaluated once per row.  Pair it with ``zip_with``."""
+    return F.array_repeat(scalar, F.size(arr))
+
+
+def exp_shifted(x) -> Column:
+    """exp(x - max(x)) elementwise: the numerator of a stable softmax."""
+    arr = _c(x)
+    return F.zip_with(arr, broadcast_scalar(arr, F.array_max(arr)), lambda v, m: F.exp(v - m))
+
+
+def normalise(x) -> Column:
+    """x / sum(x) elementwise, the sum computed once per row."""
     arr = _c(x)
-    m = F.array_max(arr)
-    ex = F.transform(arr, lambda v: F.exp(v - m))
-    s = sum_array(ex)
-    return F.transform(ex, lambda v: v / s)
+    return F.zip_with(arr, broadcast_scalar(arr, sum_array(arr)), lambda v, s: v / s)
+
+
+def softmax_array(x) -> Column:
+    """Stable softmax over an ARRAY<DOUBLE>; -inf entries become 0.
+
+    Linear in the width.  For the cheapest plan materialise ``exp_shifted``
+    as its own column first (see ``with_softmax``)."""
+    return normalise(exp_shifted(x))
+
+
+def with_softmax(df, col: str, out: str):
+    """DataFrame step: ``out`` = softmax(``col``) with the exponentials computed
+    exactly once per element (an intermediate column that Catalyst keeps,
+    because the next projection references it more than once)."""
+    tmp = f"__ex_{out}"
+    return df.withColumn(tmp, exp_shifted(col)).withColumn(out, normalise(tmp)).drop(tmp)
 
 
 def argmax_array(x) -> Column:

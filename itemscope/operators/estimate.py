@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemscope.functions import item_curve, r12, softmax_array, sum_array
+from itemscope.functions import item_curve, r12, sum_array, with_softmax
 
 CELL = ["sampling", "n_items", "iter"]
 CONSTANT_ESTIMATORS = ("mean_train_score", "perfect_knn")
@@ -76,8 +76,8 @@ def signatures(probs: DataFrame, selections: DataFrame, softmax: bool = False,
     concatenated in anchor (position) order.  A group holds n_items arrays."""
     sk = _split_keys(probs, selections)
     sel = _sel(selections.select(*sk, *CELL, "item_id", "item_pos").distinct())
-    v = softmax_array(col) if softmax else F.col(col)
-    j = probs.select(*sk, "model_id", "item_id", v.alias("v")).join(sel, [*sk, "item_id"])
+    base = probs.select(*sk, "model_id", "item_id", col).join(sel, [*sk, "item_id"])
+    j = with_softmax(base, col, "v") if softmax else base.withColumnRenamed(col, "v")
     g = j.groupBy(*sk, *CELL, "model_id").agg(
         F.array_sort(F.collect_list(F.struct("item_pos", "v"))).alias("_parts"))
     return g.select(*sk, *CELL, "model_id",

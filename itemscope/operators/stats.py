@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemscope.functions import md5_key, r12, softmax_array, sum_array
+from itemscope.functions import md5_key, normalise, r12, sum_array, with_softmax
 
 EPS_JSD = 1e-12
 # The threshold grid is linspace(0.01, 0.99, 1000).
@@ -37,8 +37,10 @@ def to_probs(preds: DataFrame, col: str = "logits", mode: str = "auto",
     if mode not in ("auto", "logits", "probs"):
         raise ValueError(f"unknown input mode {mode!r}")
     use_softmax = mode == "logits" or (mode == "auto" and not probs_are_normalised(preds, col))
-    expr = softmax_array(col) if use_softmax else F.col(col)
-    return preds.withColumn(out, expr).drop(col) if col != out else preds.withColumn(out, expr)
+    if not use_softmax:
+        return preds.withColumnRenamed(col, out) if col != out else preds
+    df = with_softmax(preds, col, out)
+    return df.drop(col) if col != out else df
 
 
 # ------------------------------------------------------------------ T10-T14
@@ -54,7 +56,8 @@ def pds(probs: DataFrame, variants: DataFrame | None = None, col: str = "probs",
         keys=("item_id",)) -> DataFrame:
     """PDS(item) = sum over answers of the max over models of P(answer)."""
     df, vk = _with_variants(probs, variants)
-    ex = df.select(*vk, *keys, F.posexplode(col).alias("class_id", "p"))
+    # posexplode_outer: no inferred size() > 0 filter re-evaluating the input array
+    ex = df.select(*vk, *keys, F.posexplode_outer(col).alias("class_id", "p"))
     per_class = ex.groupBy(*vk, *keys, "class_id").agg(F.max("p").alias("pmax"))
     return per_class.groupBy(*vk, *keys).agg(F.sum("pmax").alias("pds"))
 
@@ -67,9 +70,8 @@ def jsd(probs: DataFrame, variants: DataFrame | None = None, col: str = "probs",
     + (sum_c m_raw) ln (sum_c clamp(m_raw)), where m_raw = avg_models(p)."""
     df, vk = _with_variants(probs, variants)
     clamped = F.transform(col, lambda v: F.greatest(v, F.lit(eps)))
-    df = df.select(*vk, *keys, clamped.alias("_pc"))
-    df = df.select(*vk, *keys, F.transform("_pc", lambda v: v / sum_array("_pc")).alias("_pn"))
-    ex = df.select(*vk, *keys, F.posexplode("_pn").alias("class_id", "p"))
+    df = df.select(*vk, *keys, normalise(clamped).alias("_pn"))
+    ex = df.select(*vk, *keys, F.posexplode_outer("_pn").alias("class_id", "p"))
     per_class = ex.groupBy(*vk, *keys, "class_id").agg(
         F.avg("p").alias("m_raw"), F.avg(F.col("p") * F.log("p")).alias("plogp"))
     return per_class.groupBy(*vk, *keys).agg(

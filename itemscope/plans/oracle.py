@@ -476,3 +476,18 @@ FROM f2 GROUP BY model_id, sub""")
 cte("f3", (), """
 SELECT event_id, ts, user_id AS model_id, json_extract_string(props, '$.k')::INT AS item_id,
        round(least(value, 100.0) / 100.0, 6) AS score FROM events""")
+
+
+cte("sp_items", ("f2",), """
+SELECT i.item_id, i.scenario, i.sub, p.n_i, p.n_scenario, p.n_sub,
+       (row_number() OVER (ORDER BY c.scenario_ord, c.sub_ord, i.item_id) - 1)::BIGINT AS item_pos,
+       p.n_scenario::DOUBLE / (p.n_sub * p.n_i)::DOUBLE AS bal_w
+FROM (SELECT DISTINCT item_id, scenario, sub FROM f2) i
+JOIN (SELECT scenario, sub, dense_rank() OVER (ORDER BY scenario) - 1 AS scenario_ord,
+             dense_rank() OVER (PARTITION BY scenario ORDER BY sub) - 1 AS sub_ord
+      FROM (SELECT DISTINCT scenario, sub FROM f2)) c USING (scenario, sub)
+JOIN (SELECT scenario, sub, count(*) AS n_i,
+             (sum(count(*)) OVER (PARTITION BY scenario))::BIGINT AS n_scenario,
+             count(*) OVER (PARTITION BY scenario) AS n_sub
+      FROM (SELECT DISTINCT item_id, scenario, sub FROM f2) GROUP BY scenario, sub) p
+  USING (scenario, sub)""")

@@ -425,3 +425,15 @@ sql("stream_window_accuracy", ("f3",), """
 SELECT model_id, epoch(date_trunc('day', ts))::BIGINT AS window_start, count(*) AS n,
        round(avg(score), 6) AS accuracy
 FROM f3 GROUP BY model_id, date_trunc('day', ts)""")
+
+
+# ------------------------------------------------------------ sparse scale log
+sql("sparse_balance_weights", ("sp_items",),
+    "SELECT item_id, scenario, sub, item_pos, round(bal_w, 6) AS bal_w FROM sp_items")
+sql("sparse_true_accuracy", ("sp_items", "f2"), """
+SELECT f.model_id, i.scenario, round(avg(i.bal_w * f.score), 6) AS acc
+FROM f2 f JOIN sp_items i USING (item_id) GROUP BY f.model_id, i.scenario""")
+sql("sparse_model_order", ("f2",), """
+SELECT model_id, epoch(run_date)::BIGINT AS run_epoch,
+       (row_number() OVER (ORDER BY run_date DESC, model_id) - 1)::INT AS model_pos
+FROM (SELECT model_id, min(run_ts) AS run_date FROM f2 GROUP BY model_id)""")

@@ -7,7 +7,7 @@ Non-integer outputs are rounded to 6 places.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemscope.functions import r6
@@ -892,3 +892,42 @@ def q_stream_accuracy(spark, sf_dir):
     state = latest(spark.read.parquet(f"{root}/out"), ["model_id", "win"])
     return state.select("model_id", F.unix_seconds("win.start").alias("window_start"),
                         "n", r6(F.col("wsum") / F.col("w")).alias("accuracy"))
+
+
+# ------------------------------------------------------------ sparse scale log (F2)
+def _sparse_items(spark, sf_dir):
+    from itemscope.operators import items as items_ops
+    from itemscope.sources import fixtures as fx
+    log = fx.f2_log(spark, sf_dir)
+    it = log.select("item_id", "scenario", "sub").distinct()
+    subs = it.select("scenario", "sub").distinct()
+    cat = subs.select("scenario", "sub",
+                      (F.dense_rank().over(Window.orderBy("scenario")) - 1).alias("scenario_ord"),
+                      (F.dense_rank().over(Window.partitionBy("scenario").orderBy("sub")) - 1)
+                      .alias("sub_ord"))
+    return log, items_ops.build_items(it, cat)
+
+
+@query("sparse_balance_weights")
+def q_sparse_bw(spark, sf_dir):
+    _, it = _sparse_items(spark, sf_dir)
+    return it.select("item_id", "scenario", "sub", "item_pos", r6("bal_w").alias("bal_w"))
+
+
+@query("sparse_true_accuracy")
+def q_sparse_acc(spark, sf_dir):
+    """T1 on the sparse log: mean of bal_w * score over each model's observed items."""
+    log, it = _sparse_items(spark, sf_dir)
+    acc = stats.true_accuracy(log.select("model_id", "item_id", "score"), it)
+    return acc.select("model_id", "scenario", r6("acc").alias("acc"))
+
+
+@query("sparse_model_order")
+def q_sparse_order(spark, sf_dir):
+    """E10 on the sparse log: first run time per model, newest first."""
+    from itemscope.operators import splits as split_ops
+    from itemscope.sources import fixtures as fx
+    m = fx.f2_log(spark, sf_dir).groupBy("model_id").agg(F.min("run_ts").alias("run_date"))
+    o = split_ops.model_order(m)
+    return o.select("model_id", F.unix_seconds(F.col("run_date").cast("timestamp")).alias("run_epoch"),
+                    "model_pos")
