@@ -437,3 +437,33 @@ sql("sparse_model_order", ("f2",), """
 SELECT model_id, epoch(run_date)::BIGINT AS run_epoch,
        (row_number() OVER (ORDER BY run_date DESC, model_id) - 1)::INT AS model_pos
 FROM (SELECT model_id, min(run_ts) AS run_date FROM f2 GROUP BY model_id)""")
+
+
+# ------------------------------------------------------------ adaptive start (D = 1, planted)
+sql("adaptive_start", ("f5p", "items"), """
+SELECT i.item_id, m.item_pos, m.draw FROM (
+  SELECT subset, item_pos, draw FROM (
+    SELECT subset, item_pos, min(draw) AS draw FROM (
+      SELECT s.range AS subset, d.range::INT AS draw,
+             (('0x' || substr(md5(concat_ws(':', 42, s.range, d.range)), 1, 12))::BIGINT
+               % (SELECT count(*) FROM items))::BIGINT AS item_pos
+      FROM range(200) s, range(12) d)
+    GROUP BY subset, item_pos)
+  QUALIFY row_number() OVER (PARTITION BY subset ORDER BY draw) <= 6) m
+JOIN items i ON i.item_pos = m.item_pos
+WHERE m.subset = (
+  SELECT subset FROM (
+    SELECT mm.subset, sum(inf.info) AS value, count(*) AS n FROM (
+      SELECT subset, item_pos FROM (
+        SELECT subset, item_pos, min(draw) AS draw FROM (
+          SELECT s.range AS subset, d.range::INT AS draw,
+                 (('0x' || substr(md5(concat_ws(':', 42, s.range, d.range)), 1, 12))::BIGINT
+                   % (SELECT count(*) FROM items))::BIGINT AS item_pos
+          FROM range(200) s, range(12) d)
+        GROUP BY subset, item_pos)
+      QUALIFY row_number() OVER (PARTITION BY subset ORDER BY draw) <= 6) mm
+    JOIN (SELECT i.item_pos, sum(f.p * (1.0 - f.p) * f.a * f.a) AS info
+          FROM f5p f JOIN items i USING (item_id) WHERE f.model_id % 5 <> 0 GROUP BY i.item_pos) inf
+      ON inf.item_pos = mm.item_pos
+    GROUP BY mm.subset) WHERE n = 6
+  ORDER BY value DESC, subset ASC LIMIT 1)""")

@@ -931,3 +931,28 @@ def q_sparse_order(spark, sf_dir):
     o = split_ops.model_order(m)
     return o.select("model_id", F.unix_seconds(F.col("run_date").cast("timestamp")).alias("run_epoch"),
                     "model_pos")
+
+
+# ------------------------------------------------------------ adaptive selection
+@query("adaptive_start")
+def q_adaptive_start(spark, sf_dir):
+    """D-optimal initial subset among 200 random subsets of 6 items, scored
+    with the train models' planted abilities."""
+    from itemscope.operators import adaptive
+    ctx, _, params, abil = _f5_world(spark, sf_dir)
+    train_ab = abil.filter(F.col("model_id") % 5 != 0)
+    st = adaptive.initial_items(ctx.items, params, train_ab, n_init=6, try_size=200)
+    return st.select("item_id", "item_pos", "draw")
+
+
+@query("adaptive_selection")
+def q_adaptive(spark, sf_dir):
+    """Per test model, items chosen one by one (round-robin over
+    scenarios) up to 4 per scenario, with snapshots at 2 and 4."""
+    from itemscope.operators import adaptive
+    ctx, resp, params, abil = _f5_world(spark, sf_dir)
+    train_ab = abil.filter(F.col("model_id") % 5 != 0)
+    st = adaptive.initial_items(ctx.items, params, train_ab, n_init=6, try_size=200)
+    test = resp.filter(F.col("model_id") % 5 == 0).select("model_id", "item_id", "resp")
+    sel = adaptive.adaptive_run(test, ctx.items, params, st, [2, 4])
+    return sel.select("model_id", "n_items", "scenario", "item_id", "item_pos", r6("weight").alias("weight"))
