@@ -467,3 +467,34 @@ WHERE m.subset = (
       ON inf.item_pos = mm.item_pos
     GROUP BY mm.subset) WHERE n = 6
   ORDER BY value DESC, subset ASC LIMIT 1)""")
+
+
+# ------------------------------------------------------------ splits, persistence, catalogue
+sql("validation_split", ("splits",), """
+SELECT split_id, model_id, CASE WHEN role = 'test' THEN NULL ELSE role END AS role FROM (
+  SELECT split_id, model_id,
+         CASE WHEN rn <= (SELECT count(*) FROM splits t WHERE t.split_id = r.split_id AND t.role = 'test')
+              THEN 'val' ELSE 'train' END AS role
+  FROM (SELECT split_id, model_id,
+               row_number() OVER (PARTITION BY split_id ORDER BY
+                 CASE WHEN split_id = 'iid' THEN md5(concat_ws(':', 0, model_id))
+                      ELSE lpad(model_pos::VARCHAR, 12, '0') END, model_id) AS rn
+        FROM splits WHERE role = 'train') r)""")
+sql("limit_train", ("splits",), """
+SELECT split_id, model_id, role FROM (
+  SELECT *, row_number() OVER (PARTITION BY split_id, role ORDER BY model_pos) AS rn FROM splits)
+WHERE role <> 'train' OR rn <= 20""")
+sql("first_models", ("models",), "SELECT model_id, model_pos FROM models WHERE model_pos < 30")
+sql("irt_params_roundtrip", ("f5", "items"), """
+SELECT DISTINCT i.item_pos, round(f.a, 6) AS a, round(f.b, 6) AS b
+FROM f5 f JOIN items i USING (item_id)""")
+sql("saved_anchors_apply", ("items", "pds", "f1_scores"), f"""
+SELECT f.model_id, s.scenario, round(sum(s.weight * f.score), 6) AS acc_hat
+FROM f1_scores f JOIN (SELECT * FROM ({disagreement_sel_sql((10,), 'pds', True, True)})
+                       WHERE split_id = 'iid') s ON s.item_id = f.item_id
+GROUP BY f.model_id, s.scenario""")
+sql("run_catalog_results", ("estimates",), """
+SELECT 'f1' AS bench, split_id, family, estimator, count(*) AS n, round(avg(acc_hat), 6) AS mean_acc_hat
+FROM (SELECT *, CASE WHEN estimator IN ('naive', 'KNN') THEN 'ours' ELSE 'constants' END AS family
+      FROM estimates) GROUP BY split_id, family, estimator""")
+sql("stage_cache", ("pds",), "SELECT split_id, item_id, round(score, 6) AS pds FROM pds")

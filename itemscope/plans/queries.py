@@ -956,3 +956,108 @@ def q_adaptive(spark, sf_dir):
     test = resp.filter(F.col("model_id") % 5 == 0).select("model_id", "item_id", "resp")
     sel = adaptive.adaptive_run(test, ctx.items, params, st, [2, 4])
     return sel.select("model_id", "n_items", "scenario", "item_id", "item_pos", r6("weight").alias("weight"))
+
+
+# ------------------------------------------------------------ splits, persistence, catalogue
+@query("validation_split")
+def q_validation(spark, sf_dir):
+    """Validation models carved from the train side (md5-random for iid,
+    the first ones for noniid)."""
+    from itemscope.operators import splits as split_ops
+    ctx = _ctx(spark, sf_dir)
+    iid = split_ops.validation_carve_out(ctx.splits.filter(F.col("split_id") == "iid"), random=True)
+    non = split_ops.validation_carve_out(ctx.splits.filter(F.col("split_id") == "noniid"), random=False)
+    return iid.unionByName(non).select("split_id", "model_id", "role")
+
+
+@query("limit_train")
+def q_limit_train(spark, sf_dir):
+    """P5: only the first 20 train models (model order) stay as sources."""
+    from itemscope.operators import splits as split_ops
+    return split_ops.limit_train(_ctx(spark, sf_dir).splits, 20).select("split_id", "model_id", "role")
+
+
+@query("first_models")
+def q_first_models(spark, sf_dir):
+    """The first 30 models of the newest-first order."""
+    from itemscope.operators import splits as split_ops
+    return split_ops.first_models(_ctx(spark, sf_dir).models, 30).select("model_id", "model_pos")
+
+
+@query("irt_params_roundtrip")
+def q_params_roundtrip(spark, sf_dir):
+    """Parameters written as one JSON document (disc/diff/ability lists)
+    and read back into keyed tables."""
+    import uuid
+    from itemscope.session import checkpoint_dir
+    from itemscope.sources import io as sio
+    ctx, _, params, abil = _f5_world(spark, sf_dir)
+    models = abil.select("model_id", F.col("model_id").alias("model_pos"))
+    path = f"{checkpoint_dir(spark)}/irt-params-{uuid.uuid4().hex}"
+    sio.write_irt_params(params, abil, ctx.items, models, path)
+    items_p, abil_p = sio.read_irt_params(spark, path)
+    return items_p.select("item_pos", r6(F.element_at("a", 1)).alias("a"), r6(F.element_at("b", 1)).alias("b"))
+
+
+@query("saved_anchors_apply")
+def q_saved_anchors(spark, sf_dir):
+    """Anchors and weights of the iid split saved to Parquet, read back and
+    applied to every model (a new model needs only its answers on them)."""
+    import uuid
+    from itemscope.session import checkpoint_dir
+    from itemscope.sources import io as sio
+    ctx = _ctx(spark, sf_dir)
+    sel = select.select_disagreement(pds_by_split(ctx).filter(F.col("split_id") == "iid"),
+                                     ctx.items, [10], True, True)
+    path = f"{checkpoint_dir(spark)}/anchors-{uuid.uuid4().hex}"
+    sio.write_table(sel, path, partition_by=["scenario"])
+    saved = sio.read_table(spark, path).drop("split_id")
+    est = estimate.naive(ctx.scores, saved)
+    return est.select("model_id", "scenario", r6("acc_hat").alias("acc_hat"))
+
+
+@query("run_catalog_results")
+def q_run_catalog(spark, sf_dir):
+    """S8 + S11: estimates written partitioned by (split, family); a JSON run
+    catalogue names each (bench, split, family); results are read back with a
+    partition filter per entry and summarised."""
+    import json
+    import uuid
+    from itemscope.plans.evaluate import fixture_estimates
+    from itemscope.session import checkpoint_dir
+    from itemscope.sources import io as sio
+    ctx = _ctx(spark, sf_dir)
+    est = fixture_estimates(ctx).withColumn(
+        "family", F.when(F.col("estimator").isin("naive", "KNN"), "ours").otherwise("constants"))
+    root = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    sio.write_table(est, f"{root}/results", partition_by=["split_id", "family"])
+    splits = [r.split_id for r in ctx.splits.select("split_id").distinct().collect()]
+    cat = {"f1": {s: {"ours": f"{root}/results", "constants": f"{root}/results"} for s in splits}}
+    # the catalogue is written through Spark, so it lands on the shared store
+    spark.createDataFrame([(json.dumps(cat),)], "value string").coalesce(1) \
+         .write.mode("overwrite").text(f"{root}/catalog.json")
+    entries = sio.read_run_catalog(spark, f"{root}/catalog.json").collect()
+    parts = []
+    for e in entries:
+        r = sio.read_table(spark, e.suffix).filter(
+            (F.col("split_id") == e.split) & (F.col("family") == e.family))
+        parts.append(r.withColumn("bench", F.lit(e.bench)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("bench", "split_id", "family", "estimator").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("acc_hat")).alias("mean_acc_hat"))
+
+
+@query("stage_cache")
+def q_stage_cache(spark, sf_dir):
+    """C4: PDS scores materialised once under a parameter hash and reused."""
+    import uuid
+    from itemscope.session import checkpoint_dir
+    from itemscope.sources import io as sio
+    ctx = _ctx(spark, sf_dir)
+    root = f"{checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}"
+    first = sio.cached_stage(spark, root, "pds", lambda: pds_by_split(ctx), sf=sf_dir, kind="pds")
+    again = sio.cached_stage(spark, root, "pds", lambda: 1 / 0, sf=sf_dir, kind="pds")
+    del first
+    return again.select("split_id", "item_id", r6("score").alias("pds"))
