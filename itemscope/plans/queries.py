@@ -897,8 +897,11 @@ def q_stream_accuracy(spark, sf_dir):
 # ------------------------------------------------------------ sparse scale log (F2)
 def _sparse_items(spark, sf_dir):
     from itemscope.operators import items as items_ops
+    from itemscope.session import cut_lineage
     from itemscope.sources import fixtures as fx
-    log = fx.f2_log(spark, sf_dir)
+    # the aggregated log is read five times below (items, catalogue, positions,
+    # weights, facts): materialise it once instead of re-aggregating lineitem
+    log = cut_lineage(fx.f2_log(spark, sf_dir))
     it = log.select("item_id", "scenario", "sub").distinct()
     subs = it.select("scenario", "sub").distinct()
     cat = subs.select("scenario", "sub",
