@@ -12,6 +12,8 @@ from itemscope.functions.columns import (  # noqa: F401
     hex_uniform,
     item_curve,
     md5_key,
+    ntz_epoch_micros,
+    ntz_to_instant,
     r6,
     r12,
     sigmoid,

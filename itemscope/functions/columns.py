@@ -110,3 +110,19 @@ def avg_rank(partition_cols, value) -> Column:
     w = Window.partitionBy(*partition_cols).orderBy(v)
     ties = Window.partitionBy(*partition_cols, v)
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
+
+
+def ntz_epoch_micros(x) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ wall-clock value read
+    as UTC - plain calendar arithmetic, independent of the session time zone."""
+    ts = _c(x)
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    secs = F.hour(ts) * 3600 + F.minute(ts) * 60
+    micros = (F.date_part(F.lit("SECOND"), ts) * F.lit(1000000)).cast("long")
+    return days * F.lit(86400000000) + secs.cast("long") * F.lit(1000000) + micros
+
+
+def ntz_to_instant(x) -> Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP (instant) taking the wall clock as UTC, so
+    event-time windows do not move with the session time zone."""
+    return F.timestamp_micros(ntz_epoch_micros(x))

@@ -846,13 +846,14 @@ def _stage_events(spark, sf_dir, n_files: int = 3):
     from itemscope.sources import fixtures as fx
     root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     ev = fx.f3_events(spark, sf_dir)
-    bounds = ev.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")),
+    from itemscope.functions import ntz_epoch_micros
+    bounds = ev.select(F.percentile_approx(ntz_epoch_micros("ts"),
                                            [i / n_files for i in range(1, n_files)], 10000)
                        .alias("q")).first().q
     edges = [None, *bounds, None]
     for i in range(n_files):
         lo, hi = edges[i], edges[i + 1]
-        t = F.unix_micros(F.col("ts").cast("timestamp"))
+        t = ntz_epoch_micros("ts")
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (t > lo)
@@ -886,7 +887,8 @@ def q_stream_accuracy(spark, sf_dir):
     root, schema = _stage_events(spark, sf_dir)
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
                .option("recursiveFileLookup", True).parquet(f"{root}/in")
-    src = src.withColumn("ts", F.col("ts").cast("timestamp"))
+    from itemscope.functions import ntz_to_instant
+    src = src.withColumn("ts", ntz_to_instant("ts"))
     q = changelog_sink(accuracy_stream(src), f"{root}/out", f"{root}/ckpt")
     run_to_end(spark, q)
     state = latest(spark.read.parquet(f"{root}/out"), ["model_id", "win"])
@@ -932,8 +934,9 @@ def q_sparse_order(spark, sf_dir):
     from itemscope.sources import fixtures as fx
     m = fx.f2_log(spark, sf_dir).groupBy("model_id").agg(F.min("run_ts").alias("run_date"))
     o = split_ops.model_order(m)
-    return o.select("model_id", F.unix_seconds(F.col("run_date").cast("timestamp")).alias("run_epoch"),
-                    "model_pos")
+    from itemscope.functions import ntz_epoch_micros
+    return o.select("model_id", F.floor(ntz_epoch_micros("run_date") / 1000000).cast("bigint")
+                    .alias("run_epoch"), "model_pos")
 
 
 # ------------------------------------------------------------ adaptive selection
