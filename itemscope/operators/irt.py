@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemscope.functions import item_curve
+from itemscope.functions import hex_uniform, item_curve
 from itemscope.session import cut_lineage
 
 CLIP = 30.0
@@ -150,7 +150,10 @@ def fit_irt(responses: DataFrame, dims: int = 1, rounds: int = 20,
     frac = resp.groupBy("model_id").agg(F.avg("x").alias("f"))
     z = (F.col("f") - F.avg("f").over(Window.partitionBy())) / \
         F.greatest(F.stddev_pop("f").over(Window.partitionBy()), F.lit(1e-6))
-    abil = frac.select("model_id", F.array_repeat(z, dims).alias("theta"))
+    # dimension 0 starts at the standardised share; further dimensions get a
+    # repeatable md5 perturbation so the dimensions are not born identical
+    starts = [z] + [z + (hex_uniform(F.col("model_id"), F.lit(d)) - F.lit(0.5)) for d in range(1, dims)]
+    abil = frac.select("model_id", F.array(*starts).alias("theta"))
     prior_prec = np.array([1.0 / a_sd ** 2] * dims + [1.0 / b_sd ** 2])
     prior_mean = np.array([a_mean] * dims + [0.0])
     for r in range(rounds):

@@ -83,3 +83,20 @@ def summaries(ctx: EvalContext, estimates: DataFrame) -> tuple[DataFrame, DataFr
     from itemscope.operators import metrics
     truth = ctx.truth("test")
     return metrics.mae(estimates, truth, "leaderboard"), metrics.spearman(estimates, truth)
+
+
+def timed_selections(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID, iters: int = ITERS):
+    """Materialise each sampling's selections and record the wall time per
+    sampling and iteration (the reference reports mean seconds per iteration).
+    Returns (selections, timings as a list of (sampling, seconds_per_iter))."""
+    import time
+    parts, times = [], []
+    for s in samplings:
+        t0 = time.time()
+        sel = cut_lineage(run_selections(ctx, [s], grid, iters))
+        times.append((s, (time.time() - t0) / iters))
+        parts.append(sel)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, times

@@ -498,3 +498,11 @@ SELECT 'f1' AS bench, split_id, family, estimator, count(*) AS n, round(avg(acc_
 FROM (SELECT *, CASE WHEN estimator IN ('naive', 'KNN') THEN 'ours' ELSE 'constants' END AS family
       FROM estimates) GROUP BY split_id, family, estimator""")
 sql("stage_cache", ("pds",), "SELECT split_id, item_id, round(score, 6) AS pds FROM pds")
+
+
+sql("stacked_scores", ("f1_scores", "items"), """
+SELECT f.model_id, i.item_pos, i.scenario, i.sub, round(f.score, 6) AS score
+FROM f1_scores f JOIN items i USING (item_id)""")
+sql("scenario_lookup", ("items", "pds"), f"""
+SELECT s.split_id, s.n_items, s.item_id, i.scenario
+FROM ({disagreement_sel_sql(GRID, 'pds', True, False)}) s LEFT JOIN items i USING (item_id)""")

@@ -1067,3 +1067,22 @@ def q_stage_cache(spark, sf_dir):
     again = sio.cached_stage(spark, root, "pds", lambda: 1 / 0, sf=sf_dir, kind="pds")
     del first
     return again.select("split_id", "item_id", r6("score").alias("pds"))
+
+
+@query("stacked_scores")
+def q_stacked(spark, sf_dir):
+    """Scores of every model stacked over all chosen subs, by item position."""
+    from itemscope.operators import items as items_ops
+    ctx = _ctx(spark, sf_dir)
+    st = items_ops.stack_attribute(ctx.scores.select("model_id", "item_id", "score"), ctx.items, "score")
+    return st.select("model_id", "item_pos", "scenario", "sub", r6("score").alias("score"))
+
+
+@query("scenario_lookup")
+def q_scenario_lookup(spark, sf_dir):
+    """Scenario of each selected item (NULL when not in any scenario)."""
+    from itemscope.operators import items as items_ops
+    ctx = _ctx(spark, sf_dir)
+    sel = select.select_disagreement(pds_by_split(ctx), ctx.items, GRID, True, False)
+    j = items_ops.scenario_of(sel.select("split_id", "n_items", "item_id"), ctx.items)
+    return j.select("split_id", "n_items", "item_id", "scenario")

@@ -137,3 +137,19 @@ def test_information_is_positive(spark):
     assert len(start) == 6 and len({r.item_id for r in start}) == 6
     _ = adaptive  # module imported for its public API
     assert math.isfinite(sum(r.info for r in info))
+
+
+def test_timed_selections_reports_each_sampling(spark):
+    from itemscope.plans.evaluate import timed_selections
+    ctx = q._ctx(spark, SF01)
+    sel, times = timed_selections(ctx, ["random", "high-disagreement"], [10], 2)
+    assert [s for s, _ in times] == ["random", "high-disagreement"]
+    assert all(t > 0 for _, t in times)
+    assert sel.select("sampling").distinct().count() == 2
+
+
+def test_two_dimensional_fit_is_not_degenerate(spark):
+    resp = fx.f5_responses(spark, SF01).select("model_id", "item_id", "resp")
+    items_p, abil = irt.fit_irt(resp, dims=2, rounds=4)
+    th = np.stack(abil.toPandas().theta.to_numpy())
+    assert abs(np.corrcoef(th[:, 0], th[:, 1])[0, 1]) < 0.999
