@@ -177,31 +177,39 @@ def threshold_search(train_scores: DataFrame, keys=("split_id",)) -> DataFrame:
     """Per scenario, the grid threshold c minimising the mean over models of
     |mean(score > c) - mean(score)|; the first minimum wins.
 
-    Responses are read once: each score maps to its grid bucket, bucket counts
-    per (model, scenario) are reverse-cumulated over the 1000 thresholds."""
+    Responses are read once and never joined: each score maps to its grid
+    bucket; per (model, scenario) the bucket histogram (at most 1001 rows) is
+    reverse-cumulated, and each present bucket b emits the span of thresholds
+    k in [previous bucket, b - 1] on which #(score > c_k) is constant, plus a
+    zero tail after the last bucket.  The spans tile k = 0..999 exactly once
+    per model, so the final grouped mean over models is a partial aggregate."""
     s = train_scores.select(*keys, "scenario", "model_id", "score")
-    per_model = s.groupBy(*keys, "scenario", "model_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
+    grp = [*keys, "scenario", "model_id"]
     hist = (s.withColumn("bucket", _bucket(F.col("score")))
-              .groupBy(*keys, "scenario", "model_id", "bucket")
-              .agg(F.count(F.lit(1)).alias("cnt")))
-    # dense (model, k) grid: k in 0..GRID_SIZE-1, above(k) = #scores with bucket > k
-    grid = per_model.select(*keys, "scenario", "model_id", "n", "mean_score",
-                            F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))).alias("k"))
-    w = Window.partitionBy(*keys, "scenario", "model_id").orderBy(F.col("bucket").desc()) \
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.withColumn("at_or_above", F.sum("cnt").over(w))
-    # above(k) = at_or_above(smallest bucket >= k+1): fill gaps by a lookup
-    # on the next present bucket.
-    w2 = Window.partitionBy(*keys, "scenario", "model_id").orderBy("bucket")
-    cum = cum.withColumn("prev_bucket", F.coalesce(F.lag("bucket").over(w2), F.lit(-1)))
-    # bucket b covers k in [prev_bucket, b-1]: above(k) = at_or_above(b)
-    spans = cum.select(*keys, "scenario", "model_id", "at_or_above",
-                       F.explode(F.sequence(F.col("prev_bucket"), F.col("bucket") - 1)).alias("k"))
-    spans = spans.filter((F.col("k") >= 0) & (F.col("k") < GRID_SIZE))
-    full = grid.join(spans, [*keys, "scenario", "model_id", "k"], "left").fillna(0, ["at_or_above"])
-    diff = F.abs(F.col("at_or_above") / F.col("n") - F.col("mean_score"))
-    per_k = full.groupBy(*keys, "scenario", "k").agg(r12(F.avg(diff)).alias("err"))
+              .groupBy(*grp, "bucket")
+              .agg(F.count(F.lit(1)).alias("cnt"), F.sum("score").alias("ssum")))
+    whole = Window.partitionBy(*grp)
+    down = Window.partitionBy(*grp).orderBy(F.col("bucket").desc()) \
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy(*grp).orderBy("bucket")
+    h = hist.select(
+        *grp, "bucket",
+        F.sum("cnt").over(down).alias("at_or_above"),
+        F.sum("cnt").over(whole).alias("n"),
+        (F.sum("ssum").over(whole) / F.sum("cnt").over(whole)).alias("mean_score"),
+        F.coalesce(F.lag("bucket").over(up), F.lit(-1)).alias("prev"),
+        F.lead("bucket").over(up).isNull().alias("last"))
+    spans = F.array(
+        F.struct(F.col("prev").alias("lo"), (F.col("bucket") - 1).alias("hi"),
+                 F.col("at_or_above").alias("above")),
+        F.when(F.col("last"), F.struct(F.col("bucket").alias("lo"),
+                                       F.lit(GRID_SIZE - 1).alias("hi"),
+                                       F.lit(0).cast("long").alias("above"))))
+    per = h.select(*grp, "n", "mean_score", F.explode(spans).alias("sp")).filter(F.col("sp").isNotNull())
+    per = per.select(*grp, "n", "mean_score", "sp.above",
+                     F.explode(F.sequence(F.greatest(F.col("sp.lo"), F.lit(0)), F.col("sp.hi"))).alias("k"))
+    diff = F.abs(F.col("above") / F.col("n") - F.col("mean_score"))
+    per_k = per.groupBy(*keys, "scenario", "k").agg(r12(F.avg(diff)).alias("err"))
     best = per_k.groupBy(*keys, "scenario").agg(
         F.min_by("k", F.struct("err", "k")).alias("k"))
     return best.select(*keys, "scenario", "k", grid_value(F.col("k")).alias("threshold"))

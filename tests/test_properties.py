@@ -255,3 +255,19 @@ def test_merge_prefers_primary(spark):
     b = spark.createDataFrame([(1, 0, [0.0]), (2, 0, [0.5])], "model_id int, sub int, correctness array<double>")
     m = {r.model_id: (r.snapshot, r.correctness) for r in etl.merge_snapshots(a, b).collect()}
     assert m == {1: ("A", [1.0]), 2: ("B", [0.5])}
+
+
+def test_threshold_search_equals_direct_form(spark):
+    rng = np.random.default_rng(5)
+    step = (0.99 - 0.01) / 999
+    grid = np.array([0.01 + k * step for k in range(999)] + [0.99])
+    rows = []
+    for m in range(7):
+        vals = list(rng.uniform(0, 1, size=25)) + [float(grid[rng.integers(0, 1000)]) for _ in range(5)]
+        rows += [("s", "a", m, float(v)) for v in vals]
+    df = spark.createDataFrame(rows, "split_id string, scenario string, model_id int, score double")
+    got = stats.threshold_search(df).first()
+    sc = np.array([[r[3] for r in rows if r[2] == m] for m in range(7)])
+    err = np.array([np.mean(np.abs((sc > c).mean(1) - sc.mean(1))) for c in grid])
+    want = int(np.argmin(np.round(err, 12)))
+    assert got.k == want and math.isclose(got.threshold, grid[want], rel_tol=1e-15)
