@@ -96,17 +96,19 @@ def adaptive_run(test_resp: DataFrame, items: DataFrame, item_params: DataFrame,
             if count >= max_count:
                 return _snapshots_to_selections(snapshots, it, n_scen)
             step += 1
-            resp = seen.join(test_resp, ["model_id", "item_id"])
+            # seen is bounded (test models x steps): broadcast it into both joins
+            resp = test_resp.join(F.broadcast(seen.select("model_id", "item_id")), ["model_id", "item_id"])
             theta = estimate_abilities(resp.select("model_id", "item_id", "resp"), item_params,
                                        ["model_id"], 1, rounds=newton_rounds, checkpoint_every=10 ** 6)
             cand = _pair(it.filter(F.col("scenario") == scen) if balance else it, theta)
-            cand = cand.join(seen.select("model_id", "item_id"), ["model_id", "item_id"], "left_anti")
+            cand = cand.join(F.broadcast(seen.select("model_id", "item_id")), ["model_id", "item_id"],
+                             "left_anti")
             cand = cand.withColumn("gain", F.round(_info_col(), 12))
             nxt = cand.groupBy("model_id").agg(F.max_by("item_id", F.struct(
                 "gain", (-F.col("item_pos")).alias("neg"))).alias("item_id"))
             seen = seen.unionByName(nxt.withColumn("step", F.lit(step)))
             if step % checkpoint_every == 0:
-                seen = cut_lineage(seen)
+                seen = cut_lineage(seen.coalesce(1))
             count += 1
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from itemscope.functions import r12
 
+POINTS_PER_PARTITION = 50000
+
 
 def score_features(train_scores: DataFrame, models: DataFrame) -> DataFrame:
     """L8 input: per item the vector of train-model scores in model order.
@@ -57,9 +59,14 @@ def kmeans_anchors(features: DataFrame, items: DataFrame, n_items_grid, iters: i
     jobs = [(s, int(n), i) for s in scenarios for n in dict.fromkeys(n_items_grid) for i in range(iters)
             if int(n) <= sizes[s]]
 
+    def points(s):
+        # k-means jobs run one task per partition per iteration: size the
+        # partitions to the scenario (items, not responses), ~50k points each
+        return it.filter(F.col("scenario") == s).coalesce(max(1, -(-sizes[s] // POINTS_PER_PARTITION)))
+
     def run(job):
         s, n, i = job
-        pts = it.filter(F.col("scenario") == s)
+        pts = points(s)
         best = min((_fit_one(pts, n, 1000 * t + i) for t in range(restarts)), key=lambda r: r[0])
         model = best[1]
         centres = [c.tolist() for c in model.clusterCenters()]
@@ -70,7 +77,7 @@ def kmeans_anchors(features: DataFrame, items: DataFrame, n_items_grid, iters: i
 
     parts = []
     for s, n, i, model, centres in fitted:
-        pts = it.filter(F.col("scenario") == s)
+        pts = points(s)
         pred = model.transform(pts).select("item_id", "item_pos", "vec", "nbw",
                                            F.col("prediction").alias("cluster"))
         # centres of one fit (k x dims numbers) travel as a literal; each item

@@ -873,7 +873,7 @@ def q_stream_pds(spark, sf_dir):
                .option("recursiveFileLookup", True).parquet(f"{root}/in")
     probs = src.select("model_id", "item_id",
                        F.array(F.col("score"), F.lit(1.0) - F.col("score")).alias("probs"))
-    q = changelog_sink(pds_stream(probs, 2), f"{root}/out", f"{root}/ckpt")
+    q = changelog_sink(pds_stream(probs, 2), f"{root}/out", f"{root}/ckpt", state_partitions=8)
     run_to_end(spark, q)
     state = latest(spark.read.parquet(f"{root}/out"), ["item_id"])
     return pds_from_state(state, 2).select("item_id", r6("pds").alias("pds"), "n_rows")
@@ -889,7 +889,7 @@ def q_stream_accuracy(spark, sf_dir):
                .option("recursiveFileLookup", True).parquet(f"{root}/in")
     from itemscope.functions import ntz_to_instant
     src = src.withColumn("ts", ntz_to_instant("ts"))
-    q = changelog_sink(accuracy_stream(src), f"{root}/out", f"{root}/ckpt")
+    q = changelog_sink(accuracy_stream(src), f"{root}/out", f"{root}/ckpt", state_partitions=8)
     run_to_end(spark, q)
     state = latest(spark.read.parquet(f"{root}/out"), ["model_id", "win"])
     return state.select("model_id", F.unix_seconds("win.start").alias("window_start"),

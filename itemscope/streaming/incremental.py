@@ -47,8 +47,13 @@ def accuracy_stream(events: DataFrame, window: str = "1 day", watermark: str = "
 
 
 def changelog_sink(agg: DataFrame, out_path: str, checkpoint: str,
-                   trigger_once: bool = True) -> StreamingQuery:
-    """Start ``agg`` in update mode writing a batch-tagged changelog to Parquet."""
+                   trigger_once: bool = True, state_partitions: int | None = None) -> StreamingQuery:
+    """Start ``agg`` in update mode writing a batch-tagged changelog to Parquet.
+
+    ``state_partitions`` fixes the number of state-store partitions of a new
+    query (it is recorded in the checkpoint and cannot change afterwards);
+    size it to the key cardinality of the stream.  The session setting is only
+    changed while the query starts."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
@@ -56,7 +61,15 @@ def changelog_sink(agg: DataFrame, out_path: str, checkpoint: str,
                 .option("checkpointLocation", checkpoint)
     if trigger_once:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    if state_partitions is None:
+        return writer.start()
+    conf = agg.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def latest(changelog: DataFrame, keys: list) -> DataFrame:
