@@ -52,7 +52,8 @@ def kmeans_anchors(features: DataFrame, items: DataFrame, n_items_grid, iters: i
     """L8/L9 (L10 with IRT features): selections
     (sampling, n_items, iter, scenario, item_id, item_pos, weight)."""
     it = items.select("item_id", "item_pos", "scenario", "bal_w").join(features, "item_id")
-    it = it.withColumn("nbw", F.col("bal_w") / F.sum("bal_w").over(Window.partitionBy("scenario")))
+    tot = items.groupBy("scenario").agg(F.sum("bal_w").alias("_tot"))   # one row per scenario
+    it = it.join(F.broadcast(tot), "scenario").withColumn("nbw", F.col("bal_w") / F.col("_tot"))
     it = it.withColumn("features", array_to_vector("vec")).persist()
     scenarios = [r.scenario for r in it.select("scenario").distinct().collect()]
     sizes = dict(it.groupBy("scenario").count().collect())

@@ -1,10 +1,10 @@
 """Item dimension: positions (E14), balance weights (E16), sub filters (E3, E13),
 scenario lookup (L15), stacking an attribute by position (E15).
 
-The item table has one row per item (never per response), so windows here
-run over items only.  Positions are numbered without a global single-task
-window: per-sub counts (one row per sub) give offsets, and the row number
-inside each sub is a window partitioned by sub.
+The item table has one row per item (never per response).  Positions are
+numbered without any single-task window: a range-partitioned sort spreads
+even a sub holding a third of the items over many tasks, and per-partition
+counts give the offsets.
 """
 
 from __future__ import annotations
@@ -12,27 +12,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from itemscope.session import cut_lineage
+
+
+def global_row_number(df: DataFrame, order_cols: list, out: str) -> DataFrame:
+    """0-based position in a total order, computed without a single-task window.
+
+    ``orderBy`` range-partitions on sampled bounds, so a key holding a third of
+    the rows is spread over many tasks; each task numbers its sorted slice
+    (``monotonically_increasing_id`` low bits), and a tiny per-partition count
+    table supplies the offsets.  ``order_cols`` must be a total order."""
+    s = df.orderBy(*order_cols).select(
+        "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    s = cut_lineage(s)     # both uses below must see the same partitioning
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return s.join(F.broadcast(offsets), "_pid").withColumn(
+        out, (F.col("_off") + local).cast("bigint")).drop("_pid", "_mid", "_off")
+
 
 def item_positions(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """items(item_id, scenario, sub) + catalog(scenario, sub, scenario_ord, sub_ord)
     -> items with scenario_ord, sub_ord, item_pos (0-based, ordered by
     scenario_ord, sub_ord, item_id).  Items whose sub is not in the catalog
-    are dropped (E13 semantics)."""
+    are dropped (E13 semantics).  The offsets table has one row per output
+    partition of the sort (bounded), so it is broadcast."""
     cat = catalog.select("scenario", "sub", "scenario_ord", "sub_ord")
-    it = items.join(cat, ["scenario", "sub"], "inner")
-    counts = it.groupBy("scenario", "sub", "scenario_ord", "sub_ord").agg(
-        F.count(F.lit(1)).alias("n_i"))
-    # offsets over the (small) per-sub table
-    w_all = Window.orderBy("scenario_ord", "sub_ord").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "scenario", "sub",
-        F.coalesce(F.sum("n_i").over(w_all), F.lit(0)).alias("offset"))
-    w_sub = Window.partitionBy("scenario", "sub").orderBy("item_id")
-    return (it.join(F.broadcast(offsets), ["scenario", "sub"])
-              .withColumn("item_pos",
-                          (F.col("offset") + F.row_number().over(w_sub) - 1).cast("bigint"))
-              .drop("offset"))
+    it = items.join(F.broadcast(cat), ["scenario", "sub"], "inner")
+    return global_row_number(it, ["scenario_ord", "sub_ord", "item_id"], "item_pos")
 
 
 def balance_weights(items: DataFrame) -> DataFrame:

@@ -138,8 +138,10 @@ def nearest_anchor_weights(params: DataFrame, selections: DataFrame, items: Data
     params(item_id, vec ARRAY<DOUBLE>).  The anchors of one cell are few
     (<= n_items), so they are broadcast against all items of the scenario."""
     it = items.select("item_id", "scenario", "bal_w").join(params, "item_id")
-    norm = F.col("bal_w") / F.sum("bal_w").over(Window.partitionBy("scenario"))
-    it = it.withColumn("nbw", norm)
+    # per-scenario totals: one row per scenario, aggregated then broadcast
+    # (a window partitioned by scenario would put a hot scenario in one task)
+    tot = items.groupBy("scenario").agg(F.sum("bal_w").alias("_tot"))
+    it = it.join(F.broadcast(tot), "scenario").withColumn("nbw", F.col("bal_w") / F.col("_tot"))
     sk = ["split_id"] if "split_id" in selections.columns else []
     anchors = selections.select(*sk, "sampling", "n_items", "iter", "scenario",
                                 F.col("item_id").alias("anchor_id"),

@@ -271,3 +271,15 @@ def test_threshold_search_equals_direct_form(spark):
     err = np.array([np.mean(np.abs((sc > c).mean(1) - sc.mean(1))) for c in grid])
     want = int(np.argmin(np.round(err, 12)))
     assert got.k == want and math.isclose(got.threshold, grid[want], rel_tol=1e-15)
+
+
+def test_global_row_number_across_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("k"),
+                                       (F.col("id") % 3).alias("g")).repartition(13)
+        out = items_ops.global_row_number(df, ["g", "k"], "pos").toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    out = out.sort_values(["g", "k"]).reset_index(drop=True)
+    assert out.pos.tolist() == list(range(20000))
