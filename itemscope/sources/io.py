@@ -41,15 +41,21 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S6, S7
-def irt_jsonl_frame(responses: DataFrame, items: DataFrame) -> DataFrame:
-    """One JSON object per model: {"subject_id": "<id>", "responses": {"q<pos>": 0/1}}.
+MAX_DOCUMENT_ROWS = 2_000_000     # items or models in one parameter document
+JSONL_CHUNK = 10000
 
-    The responses map of one model holds one entry per item (the record the
-    external format needs); it is built by a grouped aggregate per model."""
+
+def irt_jsonl_frame(responses: DataFrame, items: DataFrame, chunk: int = JSONL_CHUNK) -> DataFrame:
+    """JSON objects {"subject_id": "<id>", "responses": {"q<pos>": 0/1}}.
+
+    One record per model and block of ``chunk`` item positions, so no group
+    grows with the number of items; with fewer items than ``chunk`` that is
+    exactly one record per model, and a reader merges records by subject_id."""
     j = responses.select("model_id", "item_id", "resp").join(
         items.select("item_id", "item_pos"), "item_id")
-    g = j.groupBy("model_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.col("item_pos"), F.col("resp").cast("int"))))).alias("_m"))
+    g = j.groupBy("model_id", F.floor(F.col("item_pos") / chunk).alias("_chunk")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(
+            F.struct(F.col("item_pos"), F.col("resp").cast("int"))))).alias("_m"))
     keyed = F.transform_keys("_m", lambda k, v: F.concat(F.lit("q"), k.cast("string")))
     return g.select(F.col("model_id").cast("string").alias("subject_id"), keyed.alias("responses"))
 
@@ -76,8 +82,14 @@ def write_irt_params(item_params: DataFrame, abilities: DataFrame, items: DataFr
                      models: DataFrame, path: str) -> None:
     """Inverse of S7: one JSON document with position-ordered parameter lists.
 
-    Used for exchange with external IRT tools; the arrays are as long as the
-    item and model tables, so this is only for moderate sizes."""
+    Used for exchange with external IRT tools.  The document's arrays are as
+    long as the item and model tables and a JSON document is written by one
+    task, so the sizes are checked first; beyond the bound keep the Parquet
+    parameter tables (``write_table``)."""
+    n = max(item_params.count(), abilities.count())
+    if n > MAX_DOCUMENT_ROWS:
+        raise ValueError(f"{n} rows exceed the single-document bound {MAX_DOCUMENT_ROWS}; "
+                         "write the parameter tables as Parquet instead")
     ip = item_params.join(items.select("item_id", "item_pos"), "item_id")
     ab = abilities.join(models.select("model_id", "model_pos"), "model_id")
     disc = ip.agg(F.transform(F.array_sort(F.collect_list(F.struct("item_pos", "a", "b"))),
@@ -86,7 +98,9 @@ def write_irt_params(item_params: DataFrame, abilities: DataFrame, items: DataFr
                               lambda s: s["b"]).alias("diff"))
     th = ab.agg(F.transform(F.array_sort(F.collect_list(F.struct("model_pos", "theta"))),
                             lambda s: s["theta"]).alias("ability"))
-    disc.join(th, how="cross").coalesce(1).write.mode("overwrite").json(path)
+    # both sides are single-row aggregates
+    disc.withColumn("_k", F.lit(1)).join(th.withColumn("_k", F.lit(1)), "_k").drop("_k") \
+        .coalesce(1).write.mode("overwrite").json(path)
 
 
 # ------------------------------------------------------------------ S11, C4
