@@ -39,6 +39,9 @@ def run_selections(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID, iters: int
     dis = None
     if any("disagreement" in s for s in samplings):
         dis = disagreement_variants(ctx, [None, *sorted(guiding)], kind)
+        if ctx.materialize:
+            # one row per item x variant x split, read by several selections
+            dis = cut_lineage(dis)
     for s in samplings:
         if s == "random":
             parts.append(select.select_random(ctx.items, grid, iters,
