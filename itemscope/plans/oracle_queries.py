@@ -506,3 +506,26 @@ FROM f1_scores f JOIN items i USING (item_id)""")
 sql("scenario_lookup", ("items", "pds"), f"""
 SELECT s.split_id, s.n_items, s.item_id, i.scenario
 FROM ({disagreement_sel_sql(GRID, 'pds', True, False)}) s LEFT JOIN items i USING (item_id)""")
+
+
+def _pirt_sql(p_expr: str, name: str) -> str:
+    sel = random_sel_sql(GRID, 1, split_ids=("planted",))
+    return f"""
+SELECT s.model_id, '{name}' AS estimator, s.sampling, s.n_items, s.iter, s.scenario,
+       round((s.n_seen::DOUBLE / n.N) * s.data_part
+             + (1.0 - s.n_seen::DOUBLE / n.N)
+               * CASE WHEN n.N > s.n_seen THEN (t.p_all - s.p_seen) / (n.N - s.n_seen) ELSE 0.0 END, 6)
+         AS acc_hat
+FROM (SELECT f.model_id, c.sampling, c.n_items, c.iter, c.scenario, count(*) AS n_seen,
+             avg(i.bal_w * f.resp::DOUBLE) AS data_part, sum(i.bal_w * {p_expr}) AS p_seen
+      FROM ({sel}) c JOIN f5p f ON f.item_id = c.item_id JOIN items i ON i.item_id = c.item_id
+      WHERE f.model_id % 5 = 0
+      GROUP BY f.model_id, c.sampling, c.n_items, c.iter, c.scenario) s
+JOIN (SELECT f.model_id, i.scenario, sum(i.bal_w * {p_expr}) AS p_all
+      FROM f5p f JOIN items i USING (item_id) WHERE f.model_id % 5 = 0
+      GROUP BY f.model_id, i.scenario) t ON t.model_id = s.model_id AND t.scenario = s.scenario
+JOIN (SELECT scenario, count(*) AS N FROM items GROUP BY scenario) n ON n.scenario = s.scenario"""
+
+
+sql("pirt_planted", ("f5p", "items"),
+    _pirt_sql("f.p", "pirt") + "\nUNION ALL\n" + _pirt_sql("CASE WHEN f.p >= 0.5 THEN 1.0 ELSE 0.0 END", "cirt"))

@@ -1086,3 +1086,20 @@ def q_scenario_lookup(spark, sf_dir):
     sel = select.select_disagreement(pds_by_split(ctx), ctx.items, GRID, True, False)
     j = items_ops.scenario_of(sel.select("split_id", "n_items", "item_id"), ctx.items)
     return j.select("split_id", "n_items", "item_id", "scenario")
+
+
+@query("pirt_planted")
+def q_pirt_planted(spark, sf_dir):
+    """A5/A6 with the planted abilities: every part of the estimator is a
+    keyed aggregate, so it has an exact SQL twin."""
+    ctx, resp, params, abil = _f5_world(spark, sf_dir)
+    test_scores = resp.filter(F.col("model_id") % 5 == 0).select(
+        F.lit("planted").alias("split_id"), "model_id", "item_id", F.col("resp").cast("double").alias("score"))
+    sel = select.select_random(ctx.items, GRID, 1, split_ids=["planted"])
+    cells = sel.select("split_id", "sampling", "n_items", "iter").distinct()
+    ab = test_scores.select("split_id", "model_id").distinct().join(cells, "split_id") \
+                    .join(abil, "model_id")
+    p = estimate.pirt(test_scores, sel, ctx.items, params, ab)
+    c = estimate.pirt(test_scores, sel, ctx.items, params, ab, thresh=0.5)
+    return p.unionByName(c).select("model_id", "estimator", "sampling", "n_items", "iter", "scenario",
+                                   r6("acc_hat").alias("acc_hat"))
