@@ -21,6 +21,7 @@ from itemscope.session import checkpoint_dir
 
 #: Text handled at once inside a task; bounds numpy's temporary arrays.
 SLICE_BYTES = 1 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _rng = np.random.Generator(np.random.PCG64(20240517))
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,7 +32,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def stash(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     Cuts the lineage with a table every executor can read again, so a lost
@@ -40,7 +41,12 @@ def stash(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/itemscope-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the written table replaces the shuffle files behind it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

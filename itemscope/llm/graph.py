@@ -32,8 +32,11 @@ def _small_star(e: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
-def _mark(e: DataFrame):
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every edge leads from a leaf with no other edge to a root."""
+    root = e.select(F.col("v").alias("r")).distinct()
+    return (e.join(root, F.col("u") == F.col("r"), "left_semi").select("u")
+            .union(e.groupBy("u").count().where("count > 1").select("u")).isEmpty())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -45,12 +48,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = stash(edges.select("u", "v").where("u <> v")
               .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(e)
-    while True:
+    while not _are_stars(e):
         e = stash(_small_star(_large_star(e)))
-        after = _mark(e)
-        if after == mark:
-            break
-        mark = after
     return (e.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())

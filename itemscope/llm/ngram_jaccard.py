@@ -13,6 +13,10 @@ A document's set holds its distinct k-word shingles.  Two documents link when
 * the boundary is the size with the least cost, counted over the size
   histogram: subsets enumerated below it against list entries above it.
 
+Before whole sets are compared, a pair must pass an exact test on parity bitmaps:
+the bits in which two bitmaps differ never outnumber the shingles in which the
+sets differ, so no link is lost.
+
 Shingles are ordered by a count sketch of fixed size over the whole corpus,
 which puts frequent lines and passages last; any order gives the same links.
 
@@ -41,6 +45,8 @@ from itemscope.llm.graph import connected_components
 SKETCH = 1 << 18
 #: Largest set size that may be light; the histogram brought to the driver ends here.
 MAX_LIGHT = 48
+#: 64-bit words of a class's parity bitmap.
+BITMAP = 8
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -113,11 +119,16 @@ def _set_id(s: np.ndarray) -> int:
     return int(mix(np.array([v], np.uint64)).view(np.int64)[0])
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _features(k: int, percent: int, x: int, counts):
     def run(batches):
         seen = counts.value
         for part in slices(batches):
-            sid, size, score, keys = [], [], [], []
+            sid, size, score, keys, bits = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for _, s in shingle_sets(words(part.column("text")), k):
                     rank = seen[(s >> np.uint64(46)).astype(np.int64)]
@@ -125,14 +136,16 @@ def _features(k: int, percent: int, x: int, counts):
                     size.append(len(s))
                     score.append(float(np.log1p(rank).mean()) if len(s) else 0.0)
                     keys.append(signed(_keys(s, rank, x, percent)))
+                    bits.append(_parity(s))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sid, pa.int64()), pa.array(size, pa.int64()),
-                 pa.array(score, pa.float32()), lists(keys)], names=["doc_id", "node", "n", "score", "keys"])
+                 pa.array(score, pa.float32()), lists(keys), lists(bits)],
+                names=["doc_id", "node", "n", "score", "keys", "bits"])
     return run
 
 
-def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(features of each row, one representative row per class, list entries with a partner)."""
+def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(features of each row, list entries of classes that have a partner)."""
     spark = docs.sparkSession
     docs = clean_names(docs, ["doc_id", "text"])
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -147,17 +160,22 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     x = boundary(histogram, percent)
     counts = spark.sparkContext.broadcast(seen)
     feats = stash(docs.mapInArrow(_features(k, percent, x, counts),
-                                  f"doc_id {kind}, node bigint, n bigint, score float, keys array<bigint>"))
-    classes = feats.where("n > 0").groupBy("node").agg(
-        F.min_by(F.struct("doc_id", "n", "score", "keys"), F.struct("doc_id")).alias("r")).select("node", "r.*")
-    posts = classes.select("node", "n", "score", F.explode("keys").alias("key"))
-    posts = stash(posts)
+                                  f"doc_id {kind}, node bigint, n bigint, score float, "
+                                  "keys array<bigint>, bits array<bigint>"))
+    classes = feats.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"))
+    posts = classes.select("node", F.explode("keys").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return feats, posts, stash(posts.join(shared, "key", "left_semi"))
+    entries = stash(posts.join(shared, "key", "left_semi"))
+    about = feats.where("n > 0").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("score").alias("score"), F.first("bits").alias("bits"))
+    return feats, stash(entries.join(about, "node"))
 
 
-def _near(a: str, b: str, percent: int):
-    return (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
+def _near(na: str, nb: str, xa: str, xb: str, percent: int):
+    """Sizes and parity bitmaps allow a link."""
+    apart = sum(F.bit_count(F.get(xa, F.lit(i)).bitwiseXOR(F.get(xb, F.lit(i)))) for i in range(BITMAP))
+    return ((F.col(na) * percent <= F.col(nb) * 100) & (F.col(nb) * percent <= F.col(na) * 100)
+            & (apart * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,13 +188,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(F.col("common") * 100 >= F.col("together") * percent))
 
 
-def _candidate_sets(docs: DataFrame, feats: DataFrame, lists_: DataFrame, k: int) -> DataFrame:
-    """Whole shingle sets of the classes that share a key, from one row of each."""
-    wanted = feats.join(lists_.select("node").distinct(), "node", "left_semi")
-    one = wanted.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+def _whole_sets(docs: DataFrame, feats: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Whole shingle sets of the classes in ``nodes``, each from the text of one row."""
+    one = feats.where("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"))
     texts = clean_names(docs, ["doc_id", "text"]).join(one, "doc_id").select("node", "text")
-    got = texts.mapInArrow(_sets_checked(k), "node bigint, items array<bigint>")
-    return stash(got.dropDuplicates(["node"]))
+    return stash(texts.mapInArrow(_sets_checked(k), "node bigint, items array<bigint>"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def _sets_checked(k: int):
@@ -199,13 +220,13 @@ def similar_pairs(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataF
     with a < b, one row per link; members ``(doc_id, node, n_shingles)``, one row
     per document (rows with equal sets share ``node``; n_shingles 0: in no link).
     """
-    feats, _, entries = _prepare(docs, k, percent)
-    left = entries.select("key", F.col("node").alias("a"), F.col("n").alias("na"))
-    right = entries.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = (left.join(right, "key").where((F.col("a") < F.col("b")) & _near("na", "nb", percent))
-             .select("a", "b").distinct())
-    sets = _candidate_sets(docs.where("doc_id is not null"), feats.where("doc_id is not null"), entries, k)
-    return (_verified(pairs, sets, percent),
+    feats, entries = _prepare(docs, k, percent)
+    left = entries.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = entries.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    pairs = stash(left.join(right, "key").where((F.col("a") < F.col("b")) & _near("na", "nb", "xa", "xb", percent))
+                  .select("a", "b").distinct())
+    sets = _whole_sets(docs, feats, _ends(pairs), k)
+    return (_verified(pairs, sets, percent).distinct(),
             feats.select("doc_id", "node", F.col("n").alias("n_shingles")))
 
 
@@ -219,28 +240,29 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     only such rows hold take part as equal sets only.  An empty table gives an
     empty table; columns other than doc_id and text are ignored.
     """
-    feats, _, entries = _prepare(docs, k, percent)
-    named = feats.where("doc_id is not null")
-    sets = _candidate_sets(docs.where("doc_id is not null"), named, entries, k)
-    lead = entries.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("l")).select(
-        "key", F.col("l.node").alias("leader"), F.col("l.n").alias("ln"))
-    pairs = (entries.join(lead, "key").where((F.col("node") != F.col("leader")) & _near("n", "ln", percent))
-             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    first = stash(_verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    comp = stash(connected_components(first))
-
-    member = (entries.join(comp.select("node", F.col("root").alias("c")), "node", "left")
-              .withColumn("c", F.coalesce("c", "node")))
+    feats, entries = _prepare(docs, k, percent)
+    lead = entries.groupBy("key").agg(F.max(F.struct("score", "node", "n", "bits")).alias("l")).select(
+        "key", F.col("l.node").alias("leader"), F.col("l.n").alias("ln"), F.col("l.bits").alias("lbits"))
+    pairs = stash(entries.join(lead, "key")
+                  .where((F.col("node") != F.col("leader")) & _near("n", "ln", "bits", "lbits", percent))
+                  .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    sets = _whole_sets(docs, feats, _ends(pairs), k)
+    first = stash(_verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+
+    comp = connected_components(first).select("node", F.col("root").alias("c"))
+    member = stash(entries.join(comp, "node", "left").withColumn("c", F.coalesce("c", "node")))
     still = (member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
                                        F.max(F.struct("score", "node", "c")).alias("l"))
              .where("lo <> hi").select("key", F.col("l.node").alias("leader"), F.col("l.c").alias("lc")))
-    member = stash(member.join(still, "key").select("key", "node", "n", "c", "leader", "lc"))
-    out = member.where("c <> lc").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    rest = (out.join(member.where("node <> leader"), "key")
-            .where((F.col("ca") != F.col("c")) & _near("na", "n", percent)
-                   & ((F.col("c") == F.col("lc")) | (F.col("a") < F.col("node"))))
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    second = _verified(rest, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    member = stash(member.join(still, "key").select("key", "node", "n", "bits", "c", "leader", "lc"))
+    out = member.where("c <> lc").select("key", F.col("node").alias("a"), F.col("n").alias("na"),
+                                         F.col("bits").alias("xa"), F.col("c").alias("ca"))
+    rest = stash(out.join(member.where("node <> leader"), "key")
+                 .where((F.col("ca") != F.col("c")) & _near("na", "n", "xa", "bits", percent)
+                        & ((F.col("c") == F.col("lc")) | (F.col("a") < F.col("node"))))
+                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    more = sets.unionByName(_whole_sets(docs, feats, _ends(rest).join(sets, "node", "left_anti"), k))
+    second = _verified(rest, more, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(first.union(second))
 
     rooted = feats.select("doc_id", "node", "n").join(roots, "node", "left").withColumn(

@@ -39,10 +39,47 @@ SELECT r.doc_id, coalesce(max(sz.n), 0)::BIGINT AS n_shingles, min(r.node) AS co
 FROM reach r LEFT JOIN sz ON sz.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.suffix_dedup import remove_repeats
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("span_begin").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+SQL_OP8 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (
+  SELECT doc_id, s, md5(substr(x, 2 * s + 1, 800)) AS m
+  FROM d, unnest(range(0, n - 399)) AS t(s) WHERE n >= 400),
+dup AS (SELECT doc_id, s FROM win WHERE m IN (SELECT m FROM win GROUP BY m HAVING count(*) > 1)),
+mark AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER w + 400 THEN 0 ELSE 1 END AS fresh
+  FROM dup WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+isle AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM mark),
+span AS (SELECT doc_id, k, min(s) AS b, max(s) + 400 AS e FROM isle GROUP BY 1, 2),
+part AS (
+  SELECT span.doc_id, k, substr(x, 2 * prev + 1, 2 * (b - prev)) AS piece, e - b AS gone
+  FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS prev FROM span) span
+  JOIN d USING (doc_id)),
+agg AS (
+  SELECT doc_id, count(*) AS n_spans, sum(gone) AS n_removed, string_agg(piece, '' ORDER BY k) AS head
+  FROM part GROUP BY 1),
+tail AS (SELECT doc_id, max(e) AS e FROM span GROUP BY 1)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN tail.doc_id IS NULL THEN x ELSE head || substr(x, 2 * tail.e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN agg USING (doc_id) LEFT JOIN tail USING (doc_id)
+"""
+
+
 REGISTRY = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
 }
 
 SQL = {
     "op1_ngram_jaccard_join": SQL_OP1,
+    "op8_suffix_array_dedup": SQL_OP8,
 }
