@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from itemscope.session import checkpoint_dir
 
@@ -192,6 +192,21 @@ def clean_names(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep])
 
 
-def peek(it: Iterator) -> tuple[object, Iterator]:
-    first = next(it, None)
-    return first, (chain([first], it) if first is not None else iter(()))
+def with_arrow_columns(df: DataFrame, reads: list[str], make, new: list[T.StructField],
+                       limit: int = SLICE_BYTES) -> DataFrame:
+    """``df`` with columns made by ``make(slice) -> arrays``, without a shuffle.
+
+    Own columns pass through as they are; those named like a new one are dropped,
+    unless ``make`` reads them (then the new ones replace them).
+    """
+    names = [f.name for f in new]
+    own = [c for c in df.columns if c not in names]
+    held = [F.col(f"`{c}`") for c in own] + [F.col(f"`{c}`").alias(f"__in_{c}") for c in reads]
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in own] + new)
+
+    def run(batches):
+        for part in slices(batches, f"__in_{reads[-1]}", limit):
+            given = pa.RecordBatch.from_arrays([part.column(f"__in_{c}") for c in reads], names=reads)
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(own))] + make(given),
+                                             names=[*own, *names])
+    return df.select(*held).mapInArrow(run, schema)

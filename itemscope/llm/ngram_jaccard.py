@@ -34,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemscope.llm.common import (clean_names, lists, mix, shingle_sets, signed, slices, stash,
@@ -138,16 +138,16 @@ def _features(k: int, percent: int, x: int, counts):
                     keys.append(signed(_keys(s, rank, x, percent)))
                     bits.append(_parity(s))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sid, pa.int64()), pa.array(size, pa.int64()),
+                [part.column("doc_id"), part.column("text_id"), pa.array(sid, pa.int64()), pa.array(size, pa.int64()),
                  pa.array(score, pa.float32()), lists(keys), lists(bits)],
-                names=["doc_id", "node", "n", "score", "keys", "bits"])
+                names=["doc_id", "text_id", "node", "n", "score", "keys", "bits"])
     return run
 
 
 def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(features of each row, list entries of classes that have a partner)."""
+    """(features of each row, list entries of classes that have a partner of a size that may link)."""
     spark = docs.sparkSession
-    docs = clean_names(docs, ["doc_id", "text"])
+    docs = clean_names(docs, ["doc_id", "text"]).withColumn("text_id", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = (docs.select("text").mapInArrow(_sketch(k), "bucket int, n bigint")
             .groupBy("bucket").agg(F.sum("n").alias("n")).collect())  # at most SKETCH + MAX_LIGHT rows
@@ -160,12 +160,14 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     x = boundary(histogram, percent)
     counts = spark.sparkContext.broadcast(seen)
     feats = stash(docs.mapInArrow(_features(k, percent, x, counts),
-                                  f"doc_id {kind}, node bigint, n bigint, score float, "
+                                  f"doc_id {kind}, text_id bigint, node bigint, n bigint, score float, "
                                   "keys array<bigint>, bits array<bigint>"))
-    classes = feats.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"))
-    posts = classes.select("node", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    entries = stash(posts.join(shared, "key", "left_semi"))
+    classes = feats.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    posts = classes.select("node", "n", F.explode("keys").alias("key"))
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    entries = stash(posts.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+                    .where((F.col("n") * percent <= F.col("less") * 100) | (F.col("more") * percent <= F.col("n") * 100))
+                    .select("key", "node"))
     about = feats.where("n > 0").groupBy("node").agg(
         F.first("n").alias("n"), F.first("score").alias("score"), F.first("bits").alias("bits"))
     return feats, stash(entries.join(about, "node"))
@@ -231,7 +233,7 @@ def similar_pairs(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataF
 
 
 def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """``documents`` -> ``(doc_id, n_shingles, component_id, class_id)``, one row per row.
+    """``documents`` -> ``(doc_id, n_shingles, component_id, group_id, class_id, text_id)``, one row per row.
 
     ``component_id`` is the smallest doc_id reachable over links.  A null or
     empty text, or one without words, has n_shingles 0 and its own doc_id.
@@ -261,15 +263,33 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
                  .where((F.col("ca") != F.col("c")) & _near("na", "n", "xa", "bits", percent)
                         & ((F.col("c") == F.col("lc")) | (F.col("a") < F.col("node"))))
                  .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    more = sets.unionByName(_whole_sets(docs, feats, _ends(rest).join(sets, "node", "left_anti"), k))
+    ends = stash(_ends(rest))
+    more = stash(sets.join(ends, "node", "left_semi").unionByName(
+        _whole_sets(docs, feats, ends.join(sets, "node", "left_anti"), k)))
     second = _verified(rest, more, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(first.union(second))
 
-    rooted = feats.select("doc_id", "node", "n").join(roots, "node", "left").withColumn(
+    rooted = feats.select("doc_id", "text_id", "node", "n").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return (rooted.where("n > 0").join(least, "root").select(
-                "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("node").alias("class_id"))
-            .unionByName(rooted.where("n = 0").select(
-                "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-                F.col("node").alias("class_id"))))
+    shown = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("root").alias("group_id"),
+             F.col("node").alias("class_id"), "text_id"]
+    return (rooted.where("n > 0").join(least, "root").select(*shown)
+            .unionByName(rooted.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*shown)))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of every group of linked documents: the smallest doc_id (null last).
+
+    Rows without words are in no group and all stay.
+    """
+    found = link_components(docs, k, percent)
+    first = found.where("n_shingles > 0").groupBy("group_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")).alias("m")).select(
+            F.col("m.doc_id").alias("__d"), F.col("m.text_id").alias("__t"))
+    empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t")).distinct()
+    twins = Window.partitionBy("doc_id", "__th").orderBy(F.lit(0))
+    rows = docs.withColumn("__th", F.xxhash64("text"))
+    match = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))
+    return (rows.withColumn("__i", F.row_number().over(twins)).where("__i = 1").join(first, match, "left_semi")
+            .unionByName(rows.withColumn("__i", F.lit(1)).join(empty, match, "left_semi")).drop("__th", "__i"))

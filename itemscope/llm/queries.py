@@ -74,12 +74,61 @@ FROM d LEFT JOIN agg USING (doc_id) LEFT JOIN tail USING (doc_id)
 """
 
 
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.bpe import encode_documents
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.mixing import mix_sources
+
+    return mix_sources(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+SQL_OP5 = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, 'null')) AS key, text FROM documents),
+per AS (SELECT source, sum(size)::DOUBLE AS ss, 3 * sum(size)::DOUBLE AS full_, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i
+        FROM d GROUP BY source),
+w AS (SELECT *, (i % 3 + 1)::DOUBLE AS w FROM per),
+lev AS (
+  SELECT *, full_ / w AS ratio, sum(ss) OVER () AS total,
+         coalesce(sum(full_) OVER o, 0) AS below, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS left_
+  FROM w WINDOW o AS (ORDER BY full_ / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+one AS (SELECT min((total - below) / left_) AS level FROM lev WHERE (total - below) / left_ <= ratio),
+tgt AS (SELECT source, ss, least(full_, level * w) AS target FROM lev, one),
+r AS (
+  SELECT d.*, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0.0 END AS rate,
+         (('0x' || substr(md5('0:' || coalesce('s' || d.source, 'null')), 1, 8))::BIGINT)::DOUBLE / 4294967296.0 AS u,
+         row_number() OVER (PARTITION BY d.source ORDER BY floor(ln(size + 1.0) * 6 + 0.0001), key, doc_id, size, text) AS k
+  FROM d JOIN tgt ON d.source IS NOT DISTINCT FROM tgt.source)
+SELECT doc_id, size, ss::BIGINT AS source_size, target,
+       (least(floor(k * rate + u) - floor((k - 1) * rate + u), 3) * size)::BIGINT AS taken
+FROM r
+"""
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.quality import judge_quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_quality(docs, read_table(spark, sf_dir, "labels")).drop("text")
+
+
 REGISTRY = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_bpe_encode_decode": op4_bpe_encode_decode,
+    "op5_mix_sources": op5_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
 }
 
 SQL = {
     "op1_ngram_jaccard_join": SQL_OP1,
+    "op5_mix_sources": SQL_OP5,
     "op8_suffix_array_dedup": SQL_OP8,
 }
