@@ -41,7 +41,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
     Sources in code-point order (null last) weigh ``weights``, repeating.  The
     fixed point of capping and resharing is ``least(cap * size, level * weight)``
-    with one level, found by ordering the sources by cap per weight.  A null or
+    with one level: with the sources ordered by cap per weight and the first k
+    capped, the level the others share rises until no more need a cap and falls
+    after, so it is the largest over k.  A null or
     negative size counts as 0; without words every target is 0.
     """
     per = (sizes.groupBy("source").agg(F.sum(F.greatest(F.coalesce("size", F.lit(0)), F.lit(0))).alias("source_size"),
@@ -54,11 +56,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     per = per.withColumns({
-        "ratio": full / F.col("w"), "total": F.sum("source_size").over(everything),
+        "total": F.sum("source_size").over(everything),
         "below": F.coalesce(F.sum(full).over(before), F.lit(0)),
         "left": F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))})
     level = (F.col("total") - F.col("below")) / F.col("left")
-    per = per.withColumn("level", F.min(F.when(level <= F.col("ratio"), level)).over(everything))
+    per = per.withColumn("level", F.max(level).over(everything))
     target = F.least(full.cast("double"), F.col("level") * F.col("w"))
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 

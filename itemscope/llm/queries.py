@@ -96,10 +96,10 @@ per AS (SELECT source, sum(size)::DOUBLE AS ss, 3 * sum(size)::DOUBLE AS full_,
         FROM d GROUP BY source),
 w AS (SELECT *, (i % 3 + 1)::DOUBLE AS w FROM per),
 lev AS (
-  SELECT *, full_ / w AS ratio, sum(ss) OVER () AS total,
+  SELECT *, sum(ss) OVER () AS total,
          coalesce(sum(full_) OVER o, 0) AS below, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS left_
   FROM w WINDOW o AS (ORDER BY full_ / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-one AS (SELECT min((total - below) / left_) AS level FROM lev WHERE (total - below) / left_ <= ratio),
+one AS (SELECT max((total - below) / left_) AS level FROM lev),
 tgt AS (SELECT source, ss, least(full_, level * w) AS target FROM lev, one),
 r AS (
   SELECT d.*, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0.0 END AS rate,
