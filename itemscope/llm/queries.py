@@ -119,16 +119,115 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, read_table(spark, sf_dir, "labels")).drop("text")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.url_filters import judge_urls
+
+    return judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL_OP2 = rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS a FROM pages),
+q AS (
+  SELECT *, translate(regexp_extract(a, '^([^/?#]*)', 1), '{UPPER}', '{LOWERED}') AS host,
+         regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(a, '^[^/?#]*([^#]*)', 1) AS rest,
+         regexp_extract(url, '^(.*?)://', 1) AS scheme FROM p),
+lk AS (
+  SELECT host, path, scheme, CASE WHEN host <> '' THEN host || CASE WHEN rest = '' THEN '/' ELSE rest END END AS u,
+         unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+                 regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS link
+  FROM q),
+lk2 AS (
+  SELECT u, CASE WHEN strpos(link, '://') > 0 THEN substr(link, strpos(link, '://') + 3)
+                 WHEN starts_with(link, '//') THEN substr(link, 3)
+                 WHEN starts_with(link, '/') THEN host || link
+                 ELSE host || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || link END AS b
+  FROM lk WHERE link <> '' AND u IS NOT NULL),
+ed AS (
+  SELECT u, h || CASE WHEN r = '' THEN '/' ELSE r END AS v
+  FROM (SELECT u, translate(regexp_extract(b, '^([^/?#]*)', 1), '{UPPER}', '{LOWERED}') AS h, regexp_extract(b, '^[^/?#]*([^#]*)', 1) AS r FROM lk2)
+  WHERE h <> ''),
+both_ways AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed),
+reach AS (SELECT u AS n, u AS m FROM both_ways UNION SELECT r.n, b.v FROM reach r JOIN both_ways b ON b.u = r.m),
+rules(action, h, x) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+nodes AS (
+  SELECT DISTINCT m AS n, regexp_extract(m, '^([^/?#]*)', 1) AS host, regexp_extract(m, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+said AS (SELECT n, arg_max(action, length(h || x)) AS action FROM nodes JOIN rules
+         ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x) GROUP BY n),
+grp AS (SELECT r.n, bool_or(s.action = 'allow') AS allowed FROM reach r JOIN said s ON s.n = r.m GROUP BY r.n),
+own AS (SELECT host, path, arg_max(h || x, length(h || x)) AS rule, arg_max(action, length(h || x)) AS action
+        FROM (SELECT DISTINCT host, path FROM q) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x) GROUP BY 1, 2)
+SELECT q.page_id, coalesce(q.host, '') AS host, coalesce(q.path, '') AS path, own.rule,
+       coalesce(own.action, CASE WHEN NOT grp.allowed THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN own ON own.host = q.host AND own.path = q.path
+LEFT JOIN grp ON q.host <> '' AND grp.n = q.host || CASE WHEN q.rest = '' THEN '/' ELSE q.rest END
+"""
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.topk import quantise, top_k
+
+    vectors = quantise(read_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+SQL_OP6 = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.licenses import scan_licenses
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs).drop("text")
+
+
+def _sql_op9() -> str:
+    from itemscope.llm.licenses import RULES, SENTENCES, normalise
+
+    known = ", ".join(f"('{k}', '{normalise(s)}')" for k, s in SENTENCES.items())
+    rules = ", ".join(f"({i}, '{f}', '{x}', ',{','.join(ids)},')" for i, (f, x, ids) in enumerate(RULES))
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row,
+                  ' ' || trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t
+           FROM documents),
+known(id, s) AS (VALUES {known}),
+rules(i, family, licence, seq) AS (VALUES {rules}),
+hit AS (SELECT row, id, strpos(t, s) AS p FROM d JOIN known ON contains(t, s)),
+line AS (SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY p, id) AS ids FROM hit GROUP BY row),
+fit AS (SELECT row, family, min(i) AS i FROM line JOIN rules ON contains(',' || ids || ',', seq) GROUP BY 1, 2),
+found AS (SELECT row, string_agg(licence, ',' ORDER BY fit.i) AS licenses FROM fit JOIN rules ON rules.i = fit.i GROUP BY row)
+SELECT d.doc_id, coalesce(line.n, 0)::BIGINT AS n_sentences, coalesce(line.ids, '') AS sentences,
+       coalesce(found.licenses, '') AS licenses
+FROM d LEFT JOIN line USING (row) LEFT JOIN found USING (row)
+"""
+
+
 REGISTRY = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_url_filters": op2_url_filters,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op5_mix_sources": op5_mix_sources,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_quality_rules": op7_quality_rules,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_license_scans": op9_license_scans,
 }
 
 SQL = {
     "op1_ngram_jaccard_join": SQL_OP1,
+    "op2_url_filters": SQL_OP2,
     "op5_mix_sources": SQL_OP5,
+    "op6_exact_top_k": SQL_OP6,
     "op8_suffix_array_dedup": SQL_OP8,
+    "op9_license_scans": _sql_op9(),
 }
