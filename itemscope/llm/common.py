@@ -106,9 +106,9 @@ class Words:
 
     __slots__ = ("data", "off", "start", "end", "doc", "n")
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, separator: np.ndarray = SEPARATOR):
         self.data, self.off, self.n = data, off, len(off) - 1
-        inside = ~SEPARATOR[data]
+        inside = ~separator[data]
         first = np.ones(len(data), bool)
         last = np.ones(len(data), bool)
         if len(data):

@@ -212,6 +212,17 @@ FROM d LEFT JOIN line USING (row) LEFT JOIN found USING (row)
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.toxicity import score_toxicity
+
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, read_table(spark, sf_dir, "labels"), train=remainder != 2)
+    return scored.select("doc_id", (remainder == 2).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+                         "neighbours", "similarities")
+
+
 REGISTRY = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
@@ -221,6 +232,7 @@ REGISTRY = {
     "op7_quality_rules": op7_quality_rules,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_license_scans": op9_license_scans,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {

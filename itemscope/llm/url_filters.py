@@ -50,26 +50,27 @@ def _node(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
-def _resolve(base: Column, link: Column) -> Column:
-    """A link's absolute URL; relative links start at the page's folder."""
-    scheme = F.regexp_extract(base, r"^(.*?)://", 1)
-    top = F.concat(scheme, F.lit("://"), host_of(base))
-    folder = F.regexp_extract(F.concat(path_of(base), F.lit("")), r"^(.*/)", 1)
-    return (F.when(link == "", F.lit(None).cast("string"))
-            .when(link.contains("://"), link)
-            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(top, link))
-            .otherwise(F.concat(top, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
-
-
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``(u, v)``: addresses that a page's refresh or canonical link makes equal."""
-    url, html = F.col("url"), F.coalesce(F.col("html"), F.lit(""))
-    links = F.array(F.regexp_extract(F.regexp_extract(html, LINK, 0), HREF, 1),
-                    F.regexp_extract(F.regexp_extract(html, META, 0), REFRESH, 1))
-    return (pages.select(url.alias("url"), F.explode(links).alias("link")).where("link <> ''")
-            .select(_node(F.col("url")).alias("u"), _node(_resolve(F.col("url"), F.col("link"))).alias("v"))
-            .where("u is not null and v is not null and u <> v"))
+    html = F.coalesce(F.col("html"), F.lit(""))
+    found = (pages.where(F.instr("url", "://") > 0)
+             .withColumns({"tag": F.regexp_extract(html, LINK, 0), "meta": F.regexp_extract(html, META, 0)})
+             .where("tag <> '' or meta <> ''")
+             .select("url", F.explode(F.array(F.regexp_extract("tag", HREF, 1),
+                                              F.regexp_extract("meta", REFRESH, 1))).alias("link"))
+             .where("link <> ''"))
+    parts = found.withColumns({"scheme": F.regexp_extract("url", r"^(.*?)://", 1), "host": host_of(F.col("url")),
+                               "path": path_of(F.col("url")), "u": _node(F.col("url"))})
+    folder = F.regexp_extract("path", r"^(.*/)", 1)
+    link = F.col("link")
+    whole = (F.when(link.contains("://"), link)
+             .when(link.startswith("//"), F.concat("scheme", F.lit(":"), link))
+             .when(link.startswith("/"), F.concat("scheme", F.lit("://"), "host", link))
+             .otherwise(F.concat(F.col("scheme"), F.lit("://"), F.col("host"),
+                                 F.when(folder == "", F.lit("/")).otherwise(folder), link)))
+    # the written table keeps the long expressions of both ends in separate plans
+    ends = stash(parts.select("u", whole.alias("to")))
+    return ends.select("u", _node(F.col("to")).alias("v")).where("u is not null and v is not null and u <> v")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
