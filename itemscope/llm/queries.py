@@ -74,6 +74,16 @@ FROM d LEFT JOIN agg USING (doc_id) LEFT JOIN tail USING (doc_id)
 """
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.lm_scoring import score_documents
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return score_documents(docs, train).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        "bits_per_byte")
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemscope.llm.bpe import encode_documents
 
@@ -226,6 +236,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_top_k": op6_exact_top_k,

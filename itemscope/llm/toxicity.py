@@ -28,7 +28,7 @@ from itemscope.llm.common import (LOWER, Words, clean_names, lists, signed, slic
 
 #: Most labelled training documents that examples are drawn from, most terms, neighbours, index block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 20_000, 2048, 15, 64
-MIN_Z, MIN_DF, MIN_SHARE = 5.0, 4, 0.05
+MIN_Z, MIN_DF, MIN_SHARE = 5.0, 3, 0.01
 #: Weight of the prior against a neighbour of similarity 1.
 PRIOR = 0.5
 _CUT = np.ones(256, bool)
