@@ -201,12 +201,25 @@ def with_arrow_columns(df: DataFrame, reads: list[str], make, new: list[T.Struct
     """
     names = [f.name for f in new]
     own = [c for c in df.columns if c not in names]
-    held = [F.col(f"`{c}`") for c in own] + [F.col(f"`{c}`").alias(f"__in_{c}") for c in reads]
-    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in own] + new)
+    held = [F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(own)]
+    held += [F.col(f"`{c}`").alias(f"in{j}") for j, c in enumerate(reads)]
+    schema = T.StructType([T.StructField(f"own{i}", df.schema[c].dataType) for i, c in enumerate(own)] + new)
 
     def run(batches):
-        for part in slices(batches, f"__in_{reads[-1]}", limit):
-            given = pa.RecordBatch.from_arrays([part.column(f"__in_{c}") for c in reads], names=reads)
+        for part in slices(batches, f"in{len(reads) - 1}", limit):
+            given = pa.RecordBatch.from_arrays([part.column(f"in{j}") for j in range(len(reads))], names=reads)
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(own))] + make(given),
-                                             names=[*own, *names])
-    return df.select(*held).mapInArrow(run, schema)
+                                             names=schema.names)
+    return df.select(*held).mapInArrow(run, schema).toDF(*own, *names)
+
+
+def numbered(df: DataFrame, reads: list[str]) -> DataFrame:
+    """``df`` with columns own0, own1, ... and copies of ``reads`` under their names,
+    so that an operator's own column names cannot clash with the table's."""
+    return df.select(*[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(df.columns)],
+                     *[F.col(f"`{c}`") for c in reads])
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """Back from ``numbered`` to the columns of ``like``."""
+    return df.select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(like.columns)])

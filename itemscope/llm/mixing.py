@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import stash
+from itemscope.llm.common import numbered, restored, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one block holds on average at most.
@@ -117,19 +117,18 @@ def _placed(sized: DataFrame, weights, cap: int, seed: int, block_rows: int) ->
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 0,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The mix itself: every row of ``docs``, all its columns, ``copies`` times."""
-    keyed = docs.withColumns({"__size": word_count(F.col("text")), "__th": F.xxhash64("text")})
-    sized = stash(keyed.select("doc_id", "source", F.col("__size").alias("size"), F.col("__th").alias("th")))
+    sized = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                              F.xxhash64("text").alias("th")))
     n = (_placed(sized, weights, cap, seed, block_rows).where("copies > 0")
          .select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("source").alias("__s"), "copies")
          .groupBy("__d", "__t", "__s").agg(F.sum("copies").alias("__n")))
     # repeated rows share one entry; each takes its part of the copies
-    left = docs.withColumns({"__th": F.xxhash64("text")})
+    left = numbered(docs, ["doc_id", "source", "text"]).withColumn("__th", F.xxhash64("text")).drop("text")
     twins = Window.partitionBy("doc_id", "__th", "source").orderBy(F.lit(0))
-    numbered = left.withColumns({"__i": F.row_number().over(twins), "__of": F.count("*").over(twins.rowsBetween(
+    placed = left.withColumns({"__i": F.row_number().over(twins), "__of": F.count("*").over(twins.rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing))})
-    joined = numbered.join(n, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))
+    joined = placed.join(n, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))
                            & F.col("source").eqNullSafe(F.col("__s")))
     share = F.floor((F.col("__n") + F.col("__of") - F.col("__i")) / F.col("__of")).cast("int")
-    return (joined.withColumn("__share", share).where("__share > 0")
-            .withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__share"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return restored(joined.withColumn("__share", share).where("__share > 0")
+                    .withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__share")))), docs)

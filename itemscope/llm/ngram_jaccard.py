@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import (clean_names, lists, mix, shingle_sets, signed, slices, stash,
-                                  words)
+from itemscope.llm.common import (clean_names, lists, mix, numbered, restored, shingle_sets, signed,
+                                  slices, stash, words)
 from itemscope.llm.graph import connected_components
 
 #: Buckets of the count sketch that orders the shingles: a bounded broadcast.
@@ -289,7 +289,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             F.col("m.doc_id").alias("__d"), F.col("m.text_id").alias("__t"))
     empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t")).distinct()
     twins = Window.partitionBy("doc_id", "__th").orderBy(F.lit(0))
-    rows = docs.withColumn("__th", F.xxhash64("text"))
+    rows = numbered(docs, ["doc_id", "text"]).withColumn("__th", F.xxhash64("text")).drop("text")
     match = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))
-    return (rows.withColumn("__i", F.row_number().over(twins)).where("__i = 1").join(first, match, "left_semi")
-            .unionByName(rows.withColumn("__i", F.lit(1)).join(empty, match, "left_semi")).drop("__th", "__i"))
+    one = rows.withColumn("__i", F.row_number().over(twins)).where("__i = 1").drop("__i").join(first, match, "left_semi")
+    return restored(one.unionByName(rows.join(empty, match, "left_semi")), docs)

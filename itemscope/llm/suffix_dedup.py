@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemscope.llm.common import (BYTE_VALUES, STEP, clean_names, lists, mix, powers, signed, slices,
-                                  stash, text_bytes)
+from itemscope.llm.common import (BYTE_VALUES, STEP, clean_names, lists, mix, numbered, powers, signed,
+                                  slices, stash, text_bytes)
 
 GRAM = 64
 #: Most occurrences of an anchor hash whose pieces are ordered in one task.
@@ -319,11 +319,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, together:
     spans = repeated_spans(docs, length, hot, together)
     own = [c for c in docs.columns if c not in
            ("kept_text", "n_bytes", "n_removed", "span_begin", "span_end", "kept_sha256")]
-    rows = (docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64("doc_id", "text").alias("__rid"))
+    given = docs.select(*[F.col(f"`{c}`") for c in own])
+    safe = [f"own{i}" for i in range(len(own))]
+    rows = (numbered(given, ["doc_id", "text"]).withColumn("__rid", F.xxhash64("doc_id", "text")).drop("doc_id")
             .join(spans.select(F.col("rid").alias("__rid"), F.col("found").alias("__found")), "__rid", "left"))
     new = [("__kept", T.StringType()), ("__bytes", T.LongType()), ("__removed", T.LongType()),
            ("__b", T.ArrayType(T.LongType())), ("__e", T.ArrayType(T.LongType())), ("__sha", T.StringType())]
-    schema = T.StructType([docs.schema[c] for c in own] + [T.StructField(n, t) for n, t in new])
-    out = rows.mapInArrow(_apply(own), schema)
-    return out.withColumnsRenamed({"__kept": "kept_text", "__bytes": "n_bytes", "__removed": "n_removed",
-                                   "__b": "span_begin", "__e": "span_end", "__sha": "kept_sha256"})
+    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(safe, own)]
+                          + [T.StructField(n, t) for n, t in new])
+    return rows.mapInArrow(_apply(safe), schema).toDF(
+        *own, "kept_text", "n_bytes", "n_removed", "span_begin", "span_end", "kept_sha256")
