@@ -283,13 +283,14 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without words are in no group and all stay.
     """
-    found = link_components(docs, k, percent)
+    found = stash(link_components(docs, k, percent).select("doc_id", "text_id", "n_shingles", "group_id"))
     first = found.where("n_shingles > 0").groupBy("group_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")).alias("m")).select(
-            F.col("m.doc_id").alias("__d"), F.col("m.text_id").alias("__t"))
-    empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t")).distinct()
-    twins = Window.partitionBy("doc_id", "__th").orderBy(F.lit(0))
+            F.col("m.doc_id").alias("__d"), F.col("m.text_id").alias("__t"), F.lit(False).alias("__all"))
+    empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t"),
+                                                 F.lit(True).alias("__all")).distinct()
+    keep = stash(first.unionByName(empty))
     rows = numbered(docs, ["doc_id", "text"]).withColumn("__th", F.xxhash64("text")).drop("text")
-    match = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))
-    one = rows.withColumn("__i", F.row_number().over(twins)).where("__i = 1").drop("__i").join(first, match, "left_semi")
-    return restored(one.unionByName(rows.join(empty, match, "left_semi")), docs)
+    left = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")))
+    twins = Window.partitionBy("__d", "__t").orderBy(F.lit(0))  # repeated rows of the one that stays
+    return restored(left.withColumn("__i", F.row_number().over(twins)).where("__all or __i = 1"), docs)
