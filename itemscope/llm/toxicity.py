@@ -29,6 +29,8 @@ from itemscope.llm.common import (LOWER, Words, clean_names, lists, signed, slic
 #: Most labelled training documents that examples are drawn from, most terms, neighbours, index block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 20_000, 2048, 15, 64
 MIN_Z, MIN_DF, MIN_SHARE = 5.0, 3, 0.01
+#: Blocks visited first, to set the limit for the others.
+FIRST = 4
 #: Weight of the prior against a neighbour of similarity 1.
 PRIOR = 0.5
 _CUT = np.ones(256, bool)
@@ -113,14 +115,13 @@ class Index:
         bound = (self.maxima[at] * v[:, None]).sum(0)
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bound, kind="stable")
-        step = 8
-        for lo in range(0, len(order), step):
-            some = order[lo:lo + step]
+        # the most promising blocks set the limit, then all others that may beat it go at once
+        for some in (order[:FIRST], order[FIRST:]):
             limit = best_s[k - 1] if len(best_s) >= k else 0.0
             some = some[bound[some] * 1.00001 >= limit]
             some = some[bound[some] > 0]
             if not len(some):
-                break
+                continue
             got = np.zeros(len(some) * BLOCK)
             place = np.full(self.blocks + 1, -1)
             place[some] = np.arange(len(some))
