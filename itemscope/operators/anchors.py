@@ -50,15 +50,18 @@ def _fit_one(points: DataFrame, k: int, seed: int):
 def kmeans_anchors(features: DataFrame, items: DataFrame, n_items_grid, iters: int = 1,
                    restarts: int = 5, sampling: str = "anchor", max_workers: int = 8) -> DataFrame:
     """L8/L9 (L10 with IRT features): selections
-    (sampling, n_items, iter, scenario, item_id, item_pos, weight)."""
+    (sampling, n_items, iter, scenario, item_id, item_pos, weight).
+
+    A cell that asks for more items than its scenario has gets them all
+    with their own weights."""
     it = items.select("item_id", "item_pos", "scenario", "bal_w").join(features, "item_id")
     tot = items.groupBy("scenario").agg(F.sum("bal_w").alias("_tot"))   # one row per scenario
     it = it.join(F.broadcast(tot), "scenario").withColumn("nbw", F.col("bal_w") / F.col("_tot"))
     it = it.withColumn("features", array_to_vector("vec")).persist()
     scenarios = [r.scenario for r in it.select("scenario").distinct().collect()]
     sizes = dict(it.groupBy("scenario").count().collect())
-    jobs = [(s, int(n), i) for s in scenarios for n in dict.fromkeys(n_items_grid) for i in range(iters)
-            if int(n) <= sizes[s]]
+    cells = [(s, int(n), i) for s in scenarios for n in dict.fromkeys(n_items_grid) for i in range(iters)]
+    jobs = [c for c in cells if c[1] <= sizes[c[0]]]
 
     def points(s):
         # k-means jobs run one task per partition per iteration: size the
@@ -76,7 +79,10 @@ def kmeans_anchors(features: DataFrame, items: DataFrame, n_items_grid, iters: i
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
         fitted = list(pool.map(run, jobs))
 
-    parts = []
+    parts = [it.filter(F.col("scenario") == s).select(
+        F.lit(sampling).alias("sampling"), F.lit(n).alias("n_items"), F.lit(i).alias("iter"),
+        F.lit(s).alias("scenario"), "item_id", "item_pos", F.col("nbw").alias("weight"))
+        for s, n, i in cells if n > sizes[s]]
     for s, n, i, model, centres in fitted:
         pts = points(s)
         pred = model.transform(pts).select("item_id", "item_pos", "vec", "nbw",

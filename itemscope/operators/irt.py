@@ -190,7 +190,7 @@ def fit_irt(responses: DataFrame, dims: int = 1, rounds: int = 20,
             items = cut_lineage(items)
             abil = cut_lineage(abil)
     items, abil = cut_lineage(items), cut_lineage(abil)
-    items = _orient(items, abil, dims)
+    items, abil = _orient(items, abil, dims)
     resp.unpersist()
     return items, abil
 
@@ -208,16 +208,17 @@ def _standardise(abil: DataFrame, dims: int) -> DataFrame:
     return abil.select("model_id", F.array(*cols).alias("theta"))
 
 
-def _orient(items: DataFrame, abil: DataFrame, dims: int) -> DataFrame:
-    """Sign convention: mean discrimination positive per dimension (flip a only;
-    abilities are standardised, so the sign flip of theta is implied)."""
-    del abil
+def _orient(items: DataFrame, abil: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Sign convention: mean discrimination positive per dimension.  A flipped dimension
+    flips in items and abilities, so P(correct) of the pair stays."""
     means = items.agg(*[F.avg(F.element_at("a", d + 1)).alias(f"m{d}") for d in range(dims)]).first()
     sign = [1.0 if (means[f"m{d}"] or 0.0) >= 0 else -1.0 for d in range(dims)]
     if all(s > 0 for s in sign):
-        return items
-    return items.select("item_id", F.array(*[F.element_at("a", d + 1) * sign[d]
-                                            for d in range(dims)]).alias("a"), "b")
+        return items, abil
+
+    def flipped(col: str):
+        return F.array(*[F.element_at(col, d + 1) * sign[d] for d in range(dims)]).alias(col)
+    return items.select("item_id", flipped("a"), "b"), abil.select("model_id", flipped("theta"))
 
 
 # ------------------------------------------------------------------ I6, I5

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,10 +125,22 @@ def stage_key(**params) -> str:
 
 def cached_stage(spark: SparkSession, root: str, name: str, build, **params) -> DataFrame:
     """C4: reuse a stage's Parquet output under ``root/name/<hash>``; build and
-    write it when absent.  Survives executor loss and reruns."""
+    write it when absent.  Survives executor loss and reruns.
+
+    A stage counts as present only with its ``_SUCCESS`` mark: it is written under a
+    name of its own and renamed when complete, so a half-written one is never read.
+    Errors other than an absent stage are raised, and nothing is overwritten for them.
+    """
     path = f"{root}/{name}/{stage_key(**params)}"
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent path
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = done.getFileSystem(conf)
+    if not fs.exists(done):
+        fresh = f"{path}.{uuid.uuid4().hex}"
+        build().write.parquet(fresh)
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        if fs.exists(target) and not fs.exists(done):
+            fs.delete(target, True)  # the remains of a write that never ended
+        if not fs.exists(done):
+            fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target)
+    return spark.read.parquet(path)

@@ -23,8 +23,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def pds_stream(responses: DataFrame, n_classes: int, col: str = "probs") -> DataFrame:
-    """X1 on a streaming DataFrame (model_id, item_id, probs ARRAY<DOUBLE>)."""
-    aggs = [F.max(F.element_at(col, c + 1)).alias(f"pmax_{c}") for c in range(n_classes)]
+    """X1 on a streaming DataFrame (model_id, item_id, probs ARRAY<DOUBLE>); answer
+    vectors shorter than ``n_classes`` have no probability for the other answers."""
+    aggs = [F.max(F.get(col, F.lit(c))).alias(f"pmax_{c}") for c in range(n_classes)]
     return responses.groupBy("item_id").agg(*aggs, F.count(F.lit(1)).alias("n_rows"))
 
 
