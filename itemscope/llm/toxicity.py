@@ -29,8 +29,8 @@ from itemscope.llm.common import (LOWER, Words, clean_names, lists, signed, slic
 #: Most labelled training documents that examples are drawn from, most terms, neighbours, index block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 20_000, 2048, 15, 64
 MIN_Z, MIN_DF, MIN_SHARE = 5.0, 3, 0.01
-#: Blocks visited first, to set the limit for the others.
-FIRST = 4
+#: Blocks visited in the first step; each next step visits four times as many.
+FIRST = 8
 #: Weight of the prior against a neighbour of similarity 1.
 PRIOR = 0.5
 _CUT = np.ones(256, bool)
@@ -92,7 +92,7 @@ class Index:
                  toxic: dict[int, int], base: float):
         self.terms, self.idf, self.base = terms, idf, base
         # similar examples side by side make the block maxima tight
-        self.ids = np.array(sorted(vectors, key=lambda d: (min(vectors[d], key=lambda t: (-vectors[d][t], t)), d)), np.int64)
+        self.ids = np.array(sorted(vectors, key=lambda d: (sorted(vectors[d], key=lambda t: (-vectors[d][t], t)), d)), np.int64)
         self.label = np.array([toxic[d] for d in self.ids], np.float64)
         n = len(self.ids)
         self.blocks = -(-n // BLOCK)
@@ -102,8 +102,14 @@ class Index:
             for t, v in vectors[d].items():
                 lists_[t].append((i, v))
                 self.maxima[t, i // BLOCK] = max(self.maxima[t, i // BLOCK], np.nextafter(np.float32(v), np.float32(2)))
-        self.post = [np.array([i for i, _ in x], np.int64) for x in lists_]
-        self.value = [np.array([v for _, v in x], np.float64) for x in lists_]
+        # lists cut at the blocks: a row of BLOCK weights for each term and block that meet, row 0 for those that do not
+        meet = self.maxima > 0
+        self.place = np.zeros(self.maxima.shape, np.int64)
+        self.place[meet] = np.arange(1, meet.sum() + 1)
+        self.rows = np.zeros((int(meet.sum()) + 1, BLOCK))
+        for t, x in enumerate(lists_):
+            i = np.array([i for i, _ in x], np.int64)
+            self.rows[self.place[t, i // BLOCK], i % BLOCK] = [v for _, v in x]
         self.cache: dict[tuple, tuple] = {}
 
     def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -115,26 +121,21 @@ class Index:
         bound = (self.maxima[at] * v[:, None]).sum(0)
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bound, kind="stable")
-        # the most promising blocks set the limit, then all others that may beat it go at once
-        for some in (order[:FIRST], order[FIRST:]):
+        order, done, step = order[bound[order] > 0], 0, FIRST
+        while done < len(order):
+            # every step raises the limit, and the steps grow: few blocks in vain and few steps
             limit = best_s[k - 1] if len(best_s) >= k else 0.0
+            some = order[done:done + step]
             some = some[bound[some] * 1.00001 >= limit]
-            some = some[bound[some] > 0]
             if not len(some):
-                continue
-            got = np.zeros(len(some) * BLOCK)
-            place = np.full(self.blocks + 1, -1)
-            place[some] = np.arange(len(some))
-            for t, x in zip(at, v):
-                p = self.post[t]
-                slot = place[p // BLOCK]
-                mine = slot >= 0
-                got[slot[mine] * BLOCK + p[mine] % BLOCK] += x * self.value[t][mine]
-            hit = np.flatnonzero(got > 0)
+                break  # bounds fall along the order
+            got = np.einsum("t,tbi->bi", v, self.rows[self.place[at[:, None], some]]).ravel()
+            hit = np.flatnonzero((got > 0) & (got >= limit))
             best_i = np.r_[best_i, some[hit // BLOCK] * BLOCK + hit % BLOCK]
             best_s = np.r_[best_s, got[hit]]
             top = np.lexsort((best_i, -best_s))[:k]
             best_i, best_s = best_i[top], best_s[top]
+            done, step = done + step, step * 4
         return best_i, best_s
 
     def score(self, at: np.ndarray, tf: np.ndarray, k: int):
