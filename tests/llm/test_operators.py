@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,3 +357,24 @@ def test_pipeline_stages(spark):
     assert {i: len(t) for i, t in left.items()} == {k[1]: n - g for k, n, g, _, _ in brute_repeats(rows, 400)}
     assert tables[5].count() == tables[4].count()
     assert sorted(tables[5].columns) == sorted(p.run(spark, d).columns)
+
+
+def test_toxicity_nearest_over_many_blocks():
+    """Block-max search against brute force, over more blocks than the first steps visit."""
+    BLOCK, FIRST, Index = toxicity.BLOCK, toxicity.FIRST, toxicity.Index
+
+    rng = np.random.default_rng(3)
+    n, terms = BLOCK * (FIRST * 5 + 3) + 7, 40
+    vectors = {}
+    for d in range(n):
+        at = rng.choice(terms, rng.integers(1, 9), replace=False)
+        v = rng.integers(1, 4, len(at)).astype(float)
+        vectors[d] = dict(zip(at.tolist(), (v / np.sqrt((v * v).sum())).tolist()))
+    index = Index(np.arange(terms), np.ones(terms), vectors, dict.fromkeys(vectors, 0), 0.5)
+    for _ in range(50):
+        at = np.sort(rng.choice(terms, rng.integers(1, 12), replace=False))
+        v = index.vector(at, rng.integers(1, 5, len(at)))
+        want = np.array([sum(x * vectors[d].get(t, 0.0) for t, x in zip(at.tolist(), v)) for d in index.ids.tolist()])
+        places, sims = index.nearest(at, v, 15)
+        assert np.allclose(sims, np.sort(want)[::-1][:15])
+        assert np.allclose(want[places], sims)
