@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import stash
+from itemscope.llm.common import stash, unstash
 
 
 def _both_ways(e: DataFrame) -> DataFrame:
@@ -49,6 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = stash(edges.select("u", "v").where("u <> v")
               .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _are_stars(e):
-        e = stash(_small_star(_large_star(e)))
+        before, e = e, stash(_small_star(_large_star(e)))
+        unstash(before)
     return (e.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemscope.llm.common import (clean_names, lists, mix, numbered, restored, shingle_sets, signed,
-                                  slices, stash, words)
+                                  slices, stash, unstash, words)
 from itemscope.llm.graph import connected_components
 
 #: Buckets of the count sketch that orders the shingles: a bounded broadcast.
@@ -145,7 +145,7 @@ def _features(k: int, percent: int, x: int, counts):
 
 
 def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(features of each row, list entries of classes that have a partner of a size that may link)."""
+    """(class of each row, list entries of classes that have a partner of a size that may link)."""
     spark = docs.sparkSession
     docs = clean_names(docs, ["doc_id", "text"]).withColumn("text_id", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -165,12 +165,15 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     classes = feats.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     posts = classes.select("node", "n", F.explode("keys").alias("key"))
     by_size = Window.partitionBy("key").orderBy("n", "node")
-    entries = stash(posts.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    paired = stash(posts.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
                     .where((F.col("n") * percent <= F.col("less") * 100) | (F.col("more") * percent <= F.col("n") * 100))
                     .select("key", "node"))
     about = feats.where("n > 0").groupBy("node").agg(
         F.first("n").alias("n"), F.first("score").alias("score"), F.first("bits").alias("bits"))
-    return feats, stash(entries.join(about, "node"))
+    entries = stash(paired.join(about, "node"))
+    rows = stash(feats.select("doc_id", "text_id", "node", "n"))
+    unstash(feats, paired)
+    return rows, entries
 
 
 def _near(na: str, nb: str, xa: str, xb: str, percent: int):
@@ -250,24 +253,30 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
                   .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     sets = _whole_sets(docs, feats, _ends(pairs), k)
     first = stash(_verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    unstash(pairs)
 
     comp = connected_components(first).select("node", F.col("root").alias("c"))
-    member = stash(entries.join(comp, "node", "left").withColumn("c", F.coalesce("c", "node")))
-    still = (member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
+    listed = stash(entries.join(comp, "node", "left").withColumn("c", F.coalesce("c", "node")))
+    unstash(entries)
+    still = (listed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
                                        F.max(F.struct("score", "node", "c")).alias("l"))
              .where("lo <> hi").select("key", F.col("l.node").alias("leader"), F.col("l.c").alias("lc")))
-    member = stash(member.join(still, "key").select("key", "node", "n", "bits", "c", "leader", "lc"))
+    member = stash(listed.join(still, "key").select("key", "node", "n", "bits", "c", "leader", "lc"))
+    unstash(listed)
     out = member.where("c <> lc").select("key", F.col("node").alias("a"), F.col("n").alias("na"),
                                          F.col("bits").alias("xa"), F.col("c").alias("ca"))
     rest = stash(out.join(member.where("node <> leader"), "key")
                  .where((F.col("ca") != F.col("c")) & _near("na", "n", "xa", "bits", percent)
                         & ((F.col("c") == F.col("lc")) | (F.col("a") < F.col("node"))))
                  .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    unstash(member)
     ends = stash(_ends(rest))
-    more = stash(sets.join(ends, "node", "left_semi").unionByName(
-        _whole_sets(docs, feats, ends.join(sets, "node", "left_anti"), k)))
+    new = _whole_sets(docs, feats, ends.join(sets, "node", "left_anti"), k)
+    more = stash(sets.join(ends, "node", "left_semi").unionByName(new))
+    unstash(sets, new, ends)
     second = _verified(rest, more, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(first.union(second))
+    unstash(first, rest, more)
 
     rooted = feats.select("doc_id", "text_id", "node", "n").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
