@@ -149,8 +149,10 @@ def _prepare(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     docs = clean_names(docs, ["doc_id", "text"]).withColumn("text_id", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = (docs.select("text").mapInArrow(_sketch(k), "bucket int, n bigint")
-            .groupBy("bucket").agg(F.sum("n").alias("n")).collect())  # at most SKETCH + MAX_LIGHT rows
+    sums = stash(docs.select("text").mapInArrow(_sketch(k), "bucket int, n bigint")
+                 .groupBy("bucket").agg(F.sum("n").alias("n")))
+    rows = sums.collect()  # at most SKETCH + MAX_LIGHT rows
+    unstash(sums)
     seen, histogram = np.zeros(SKETCH, np.int64), {}
     for r in rows:
         if r.bucket < 0:
@@ -185,20 +187,47 @@ def _near(na: str, nb: str, xa: str, xb: str, percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that link, with the size of their intersection."""
-    both = F.size(F.array_intersect("x", "y"))
     return (pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-            .select("a", "b", both.cast("bigint").alias("common"),
-                    (F.size("x") + F.size("y") - both).cast("bigint").alias("together"))
+            .select("a", "b", "x", "y")
+            .mapInArrow(_compared, "a bigint, b bigint, common bigint, together bigint")
             .where(F.col("common") * 100 >= F.col("together") * percent))
 
 
+def _pack(s: np.ndarray) -> bytes:
+    """The upper seven bytes of every hash: a set on its way to a comparison.
+
+    Two different shingles of a pair of sets meet with probability
+    ``len(a) * len(b) / 2^56``.
+    """
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:].tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 7, 8), np.uint8)
+    out[:, 1:] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
+def _compared(batches):
+    """Intersection and union sizes of the packed sets x and y."""
+    for part in batches:
+        common, together = [], []
+        for x, y in zip(part.column("x"), part.column("y")):
+            x, y = _unpack(x.as_py()), _unpack(y.as_py())
+            common.append(len(np.intersect1d(x, y, assume_unique=True)))
+            together.append(len(x) + len(y) - common[-1])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("a"), part.column("b"), pa.array(common, pa.int64()), pa.array(together, pa.int64())],
+            names=["a", "b", "common", "together"])
+
+
 def _whole_sets(docs: DataFrame, feats: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Whole shingle sets of the classes in ``nodes``, each from the text of one row."""
     one = feats.where("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"))
     texts = clean_names(docs, ["doc_id", "text"]).join(one, "doc_id").select("node", "text")
-    return stash(texts.mapInArrow(_sets_checked(k), "node bigint, items array<bigint>"))
+    return stash(texts.mapInArrow(_sets_checked(k), "node bigint, items binary"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -213,7 +242,7 @@ def _sets_checked(k: int):
             got = [s for _, s in shingle_sets(words(part.column("text")), k)]
             hold = [i for i, s in enumerate(got) if _set_id(s) == nodes[i]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in hold], pa.int64()), lists([signed(got[i]) for i in hold])],
+                [pa.array([nodes[i] for i in hold], pa.int64()), pa.array([_pack(got[i]) for i in hold], pa.binary())],
                 names=["node", "items"])
     return run
 
