@@ -1,36 +1,38 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 * examples: a bounded sample of the labelled training documents (the smallest
-  md5 of the id first), reduced to terms that the labels tie to toxicity: the
-  terms with the largest z score between toxic and other examples, copies of a
-  text counted once;
+  md5 of the id first), toxic or not, each with every term of its text;
 * weights: log(1 + tf) * idf, the document frequencies counted over all documents;
-* index: inverted lists of the examples in blocks of ``BLOCK``, with each term's
-  largest weight per block.  A query adds up the block maxima of its terms,
-  visits blocks from the largest bound on and stops when no bound beats its
-  k-th similarity, so the nearest examples are exact;
-* votes: similarity-weighted labels of the nearest examples, with the base rate
-  of examples that share no term as prior.  The neighbours are the evidence.
+* vectors: examples and texts are taken by all their terms.  Terms that no
+  example holds add nothing to a product but belong to a text's length; their
+  frequencies come from a grouped sum and go back to the texts by a join;
+* index: frequent terms as columns over all examples, multiplied for many texts
+  at once, the others as inverted lists.  These sums are single precision; every
+  example that their error bound leaves among the nearest is summed again in
+  double precision, so the nearest examples are exact;
+* votes: similarity-weighted labels of the nearest examples, with the rate of
+  the examples as prior.  The neighbours are the evidence.
 
 Only texts enter a score; labels of training documents only make the examples.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemscope.llm.common import (LOWER, Words, clean_names, lists, signed, slices, stash, text_bytes,
+from itemscope.llm.common import (LOWER, Words, clean_names, lists, signed, slices, stash, text_bytes, unstash,
                                   with_arrow_columns)
 
-#: Most labelled training documents that examples are drawn from, most terms, neighbours, index block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 20_000, 2048, 15, 64
-MIN_Z, MIN_DF, MIN_SHARE = 5.0, 3, 0.01
-#: Blocks visited in the first step; each next step visits four times as many.
-FIRST = 8
+#: Most labelled training documents that examples are drawn from, neighbours, texts multiplied at once.
+EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 15, 64
+#: Terms in at least one of so many examples are columns and come first.
+FIRST = 16
 #: Weight of the prior against a neighbour of similarity 1.
 PRIOR = 0.5
 _CUT = np.ones(256, bool)
@@ -38,6 +40,8 @@ _CUT[48:58] = _CUT[65:91] = _CUT[97:123] = _CUT[128:] = False
 
 NEW = [T.StructField("score", T.DoubleType()), T.StructField("neighbours", T.ArrayType(T.LongType())),
        T.StructField("similarities", T.ArrayType(T.DoubleType()))]
+PRODUCTS = [T.StructField("own", T.DoubleType()), T.StructField("near", T.ArrayType(T.LongType())),
+            T.StructField("products", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.DoubleType())]
 
 
 def terms_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,70 +51,107 @@ def terms_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w.hashes(), w.doc
 
 
+def _counted(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, times) of the different terms of every row, in that order."""
+    h, row = terms_of(col)
+    h = signed(h)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, int)
+    return row[new], h[new], np.diff(np.r_[new, len(h)])
+
+
+def _among(terms: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``h`` in sorted ``terms``, and whether they stand there."""
+    if not len(terms):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    return at, terms[at] == h
+
+
 def _example_terms(chosen):
     def run(batches):
-        ids, toxic = chosen.value
+        ids = chosen.value
         for part in slices(batches):
             doc = np.array([-1 if i is None else i for i in part.column("doc_id").to_pylist()], np.int64)
-            at = np.minimum(np.searchsorted(ids, doc), max(len(ids) - 1, 0))
-            mine = (ids[at] == doc) & (doc >= 0) if len(ids) else np.zeros(len(doc), bool)
+            mine = _among(ids, doc)[1] & part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             if not mine.any():
                 continue
-            part, at = part.filter(pa.array(mine)), at[mine]
-            h, row = terms_of(part.column("text"))
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, int)
-            tf = np.diff(np.r_[new, len(h)])
+            row, h, tf = _counted(part.column("text").filter(pa.array(mine)))
+            edge = np.searchsorted(row, np.arange(mine.sum() + 1))
+            cut = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at][row[new]]), pa.array(signed(h[new])), pa.array(tf.astype(np.int64)),
-                 pa.array(toxic[at][row[new]])], names=["doc_id", "term", "tf", "toxic"])
+                [pa.array(doc[mine]), pa.array([h[a:b].tobytes() for a, b in cut], pa.binary()),
+                 pa.array([tf[a:b].astype(np.int32).tobytes() for a, b in cut], pa.binary())],
+                names=["doc_id", "terms", "tf"])
     return run
 
 
-def _df(terms):
+def _frequencies(terms):
+    """Documents of each of ``terms`` (no key), and every text's other terms."""
     def run(batches):
-        seen, n = np.zeros(len(terms.value) + 1, np.int64), 0
+        seen = np.zeros(len(terms.value), np.int64)
         for part in slices(batches):
-            h, row = terms_of(part.column("text"))
-            h = h.view(np.int64)
-            at = np.searchsorted(terms.value, h)
-            hit = np.flatnonzero(terms.value[np.minimum(at, len(terms.value) - 1)] == h) if len(terms.value) else []
-            pair = np.unique(at[hit] * np.int64(part.num_rows) + row[hit]) if len(hit) else np.zeros(0, np.int64)
-            seen[:-1] += np.bincount(pair // part.num_rows, minlength=len(terms.value))
-            n += part.num_rows
-        seen[-1] = n
+            row, h, tf = _counted(part.column("text"))
+            at, hit = _among(terms.value, h)
+            seen += np.bincount(at[hit], minlength=len(seen))
+            row, h, tf = row[~hit], h[~hit], tf[~hit]
+            many = np.bincount(row, minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("key").take(pa.array(row)), pa.array(h), pa.array(tf.astype(np.int64)), pa.array(many[row])],
+                names=["key", "term", "tf", "many"])
         k = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[k])], names=["i", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(terms.value[k]), pa.array(seen[k]),
+                                          pa.nulls(len(k), pa.int64())], names=["key", "term", "tf", "many"])
     return run
 
 
 class Index:
-    """Examples by unit TF-IDF vectors over the chosen terms, with block maxima."""
+    """Examples by unit TF-IDF vectors over all their terms."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, vectors: dict[int, dict[int, float]],
                  toxic: dict[int, int], base: float):
-        self.terms, self.idf, self.base = terms, idf, base
-        # similar examples side by side make the block maxima tight
-        self.ids = np.array(sorted(vectors, key=lambda d: (sorted(vectors[d], key=lambda t: (-vectors[d][t], t)), d)), np.int64)
-        self.label = np.array([toxic[d] for d in self.ids], np.float64)
+        ids = sorted(vectors)
+        self._hold(terms, idf, np.array(ids, np.int64), np.array([len(vectors[d]) for d in ids], np.int64),
+                   np.array([t for d in ids for t in vectors[d]], np.int32),
+                   np.array([v for d in ids for v in vectors[d].values()], np.float64), toxic, base)
+
+    @classmethod
+    def of_examples(cls, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, idf: np.ndarray,
+                    toxic: dict[int, int], base: float) -> Index:
+        """``found`` are the (terms, times) of the examples ``ids``, all of them in sorted ``terms``."""
+        index = cls.__new__(cls)
+        size = np.array([len(h) for h, _ in found], np.int64)
+        at = np.concatenate([np.searchsorted(terms, h).astype(np.int32) for h, _ in found])
+        v = np.log1p(np.concatenate([tf for _, tf in found])) * idf[at]
+        length = np.sqrt(np.add.reduceat(v * v, np.cumsum(size) - size))
+        index._hold(terms, idf, ids, size, at, v / np.repeat(length, size), toxic, base)
+        return index
+
+    def _hold(self, terms, idf, ids, size, at, weight, toxic, base):
+        self.terms, self.idf, self.ids, self.base = terms, idf, ids, base
+        self.off, self.at, self.weight = np.r_[0, np.cumsum(size)], at, weight
+        self.label = np.array([toxic[d] for d in ids.tolist()], np.float64)
+        self.start = None
+
+    def _invert(self):
+        """Columns and inverted lists; made where they are used, so that only the vectors are sent."""
         n = len(self.ids)
-        self.blocks = -(-n // BLOCK)
-        self.maxima = np.zeros((len(terms), max(self.blocks, 1)), np.float32)
-        lists_: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for i, d in enumerate(self.ids.tolist()):
-            for t, v in vectors[d].items():
-                lists_[t].append((i, v))
-                self.maxima[t, i // BLOCK] = max(self.maxima[t, i // BLOCK], np.nextafter(np.float32(v), np.float32(2)))
-        # lists cut at the blocks: a row of BLOCK weights for each term and block that meet, row 0 for those that do not
-        meet = self.maxima > 0
-        self.place = np.zeros(self.maxima.shape, np.int64)
-        self.place[meet] = np.arange(1, meet.sum() + 1)
-        self.rows = np.zeros((int(meet.sum()) + 1, BLOCK))
-        for t, x in enumerate(lists_):
-            i = np.array([i for i, _ in x], np.int64)
-            self.rows[self.place[t, i // BLOCK], i % BLOCK] = [v for _, v in x]
-        self.cache: dict[tuple, tuple] = {}
+        example = np.repeat(np.arange(n), np.diff(self.off))
+        size = np.bincount(self.at, minlength=len(self.terms))
+        self.column = np.full(len(self.terms), -1)
+        first = np.flatnonzero(size * FIRST >= max(n, 1))
+        self.column[first] = np.arange(len(first))
+        self.columns = np.zeros((len(first), n), np.float32)
+        here = self.column[self.at] >= 0
+        self.columns[self.column[self.at[here]], example[here]] = self.weight[here]
+        order = np.flatnonzero(~here)
+        order = order[np.argsort(self.at[order], kind="stable")]
+        self.example, self.light = example[order], self.weight[order].astype(np.float32)
+        size[first] = 0
+        self.start = np.r_[0, np.cumsum(size)]
+        self.text = np.zeros(len(self.terms))
+        self.cache: dict[bytes, tuple] = {}
 
     def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         v = np.log1p(tf) * self.idf[at]
@@ -118,112 +159,130 @@ class Index:
 
     def nearest(self, at: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Exact k most similar examples (ties to the earlier place) with a positive similarity."""
-        bound = (self.maxima[at] * v[:, None]).sum(0)
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        order, done, step = order[bound[order] > 0], 0, FIRST
-        while done < len(order):
-            # every step raises the limit, and the steps grow: few blocks in vain and few steps
-            limit = best_s[k - 1] if len(best_s) >= k else 0.0
-            some = order[done:done + step]
-            some = some[bound[some] * 1.00001 >= limit]
-            if not len(some):
-                break  # bounds fall along the order
-            got = np.einsum("t,tbi->bi", v, self.rows[self.place[at[:, None], some]]).ravel()
-            hit = np.flatnonzero((got > 0) & (got >= limit))
-            best_i = np.r_[best_i, some[hit // BLOCK] * BLOCK + hit % BLOCK]
-            best_s = np.r_[best_s, got[hit]]
-            top = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[top], best_s[top]
-            done, step = done + step, step * 4
-        return best_i, best_s
-
-    def score(self, at: np.ndarray, tf: np.ndarray, k: int):
-        key = (at.tobytes(), tf.tobytes())
-        if key not in self.cache:
-            if len(self.cache) > 20_000:
-                self.cache.clear()
-            i, s = self.nearest(at, self.vector(at, tf), k)
-            vote = (float((s * self.label[i]).sum()) + PRIOR * self.base) / (float(s.sum()) + PRIOR)
-            self.cache[key] = (vote, self.ids[i], s)
-        return self.cache[key]
-
-
-def build_index(docs: DataFrame, labels: DataFrame, train, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
-    """Index of the labelled documents for which ``train`` (a column of labels) holds."""
+        return self.nearest_of([(at, v)], k)[0]
+
+    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of several texts."""
+        if self.start is None:
+            self._invert()
+        first = np.zeros((len(texts), len(self.columns)), np.float32)
+        for i, (at, v) in enumerate(texts):
+            c = self.column[at]
+            first[i, c[c >= 0]] = v[c >= 0]
+        sums = first @ self.columns
+        return [self._exact(sums[i], at, v, k) for i, (at, v) in enumerate(texts)]
+
+    def _exact(self, sums: np.ndarray, at: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(sums)
+        lo, hi = self.start[at], self.start[at + 1]
+        cut = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist()) if b > a]
+        if cut:
+            light = np.concatenate([self.light[c] for c in cut]) * np.repeat(v.astype(np.float32), hi - lo)
+            sums = sums + np.bincount(np.concatenate([self.example[c] for c in cut]), light, n).astype(np.float32)
+        least = float(np.partition(sums, n - k)[n - k]) if n > k else 0.0
+        # all weights are positive, so a sum of m products errs by at most about m + 4 roundings of its size
+        least *= max(0.0, 1 - 2 * (len(at) + 8) * float(np.finfo(np.float32).eps))
+        near = np.flatnonzero((sums > 0) & (sums >= least))
+        if not len(near):
+            return np.zeros(0, np.int64), np.zeros(0)
+        size = self.off[near + 1] - self.off[near]
+        begin = np.cumsum(size) - size
+        place = np.arange(size.sum()) + np.repeat(self.off[near] - begin, size)
+        self.text[at] = v
+        exact = np.add.reduceat(self.weight[place] * self.text[self.at[place]], begin)
+        self.text[at] = 0
+        top = np.lexsort((near, -exact))[:k]
+        return near[top], exact[top]
+
+    def products(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple]:
+        """(squared length over the index's terms, neighbours, products with them, labels' part) of (terms, times)."""
+        if self.start is None:
+            self._invert()
+        keys = [hashlib.blake2b(at.tobytes() + tf.tobytes(), digest_size=16).digest() for at, tf in texts]
+        if len(self.cache) > 20_000:
+            self.cache.clear()
+        new = list({key: i for i, key in enumerate(keys) if key not in self.cache}.items())
+        for a in range(0, len(new), BLOCK):
+            some = [(texts[i][0], np.log1p(texts[i][1]) * self.idf[texts[i][0]]) for _, i in new[a:a + BLOCK]]
+            for (key, _), (_, v), (i, s) in zip(new[a:a + BLOCK], some, self.nearest_of(some, k)):
+                self.cache[key] = (float((v * v).sum()), self.ids[i], s, float((s * self.label[i]).sum()))
+        return [self.cache[key] for key in keys]
+
+
+def build_index(docs: DataFrame, labels: DataFrame, train, examples: int = EXAMPLES) -> tuple[Index | None, DataFrame | None]:
+    """Index of the labelled documents for which ``train`` (a column of labels) holds; ``(key, beyond)``, the squared
+    length of every text outside the index's terms, by the hash of the text.  Both None without example terms."""
     spark = docs.sparkSession
-    docs = clean_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("bigint"), "text")
+    docs = clean_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("key"))
     picked = (labels.where("doc_id is not null and toxic is not null").where(train)
               .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
               .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(examples).collect())
-    picked = sorted((r.doc_id, int(r.toxic)) for r in picked)
-    ids, toxic = (np.array([p[i] for p in picked], np.int64) for i in (0, 1))
-    chosen = spark.sparkContext.broadcast((ids, toxic))
-    found = stash(docs.mapInArrow(_example_terms(chosen), "doc_id bigint, term bigint, tf bigint, toxic bigint").distinct())
-    # copies of one text count as one: examples with the same three smallest term hashes share a weight of 1
-    sketch = found.groupBy("doc_id", "toxic").agg(F.slice(F.sort_array(F.collect_set("term")), 1, 3).alias("sketch"))
-    share = sketch.join(sketch.groupBy("sketch").agg(F.count("*").alias("copies")), "sketch").select(
-        "doc_id", "toxic", (1 / F.col("copies")).alias("w"))
-    mass = {r.toxic: r.w for r in share.groupBy("toxic").agg(F.sum("w").alias("w")).collect()}
-    pos, neg = max(mass.get(1, 0.0), 1.0), max(mass.get(0, 0.0), 1.0)
-    p, q, both = F.col("a") / pos, F.col("b") / neg, (F.col("a") + F.col("b")) / (pos + neg)
-    z = (p - q) / F.sqrt(both * (1 - both) * (1 / pos + 1 / neg))
-    best = (found.join(share.select("doc_id", "w"), "doc_id").groupBy("term")
-            .agg(F.sum(F.col("w") * F.col("toxic")).alias("a"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("b"))
-            .where((F.col("a") >= MIN_DF) & (F.col("a") >= MIN_SHARE * pos) & (both < 1)).withColumn("z", z)
-            .where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "term").limit(terms).select("term"))
-    vocabulary = np.array(sorted(r.term for r in best.collect()), np.int64)
-    sent = spark.sparkContext.broadcast(vocabulary)
-    counts = docs.select("text").mapInArrow(_df(sent), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(len(vocabulary)), 1
-    for r in counts:
-        if r.i < len(vocabulary):
-            df[r.i] = r.n
-        else:
-            total = r.n
+    label = {r.doc_id: int(r.toxic) for r in picked}
+    chosen = spark.sparkContext.broadcast(np.array(sorted(label), np.int64))
+    found = (docs.select("doc_id", "text").mapInArrow(_example_terms(chosen), "doc_id bigint, terms binary, tf binary")
+             .where("length(terms) > 0").distinct().toArrow().sort_by([(c, "ascending") for c in ("doc_id", "terms", "tf")]))
+    if not found.num_rows:
+        return None, None
+    ids = found.column("doc_id").to_numpy()
+    found = [(np.frombuffer(h.as_buffer(), np.int64), np.frombuffer(tf.as_buffer(), np.int32))
+             for h, tf in zip(found.column("terms"), found.column("tf"))]
+    terms = np.unique(np.concatenate([h for h, _ in found]))
+    total = docs.count()
+    held = stash(docs.select("text", "key").mapInArrow(_frequencies(spark.sparkContext.broadcast(terms)),
+                                                       "key bigint, term bigint, tf bigint, many bigint"))
+    known = held.where("key is null").groupBy("term").agg(F.sum("tf").alias("n")).toArrow()
+    df = np.zeros(len(terms))
+    df[np.searchsorted(terms, known.column("term").to_numpy())] = known.column("n").to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1
-    label = dict(picked)
-    vectors: dict[int, dict[int, float]] = {}
-    for r in found.join(F.broadcast(best), "term").collect():  # at most examples x their chosen terms
-        t = int(np.searchsorted(vocabulary, r.term))
-        vectors.setdefault(r.doc_id, {})[t] = float(np.log1p(r.tf) * idf[t])
-    for x in vectors.values():
-        norm = float(np.sqrt(sum(v * v for v in x.values())))
-        for t in x:
-            x[t] /= norm
-    rest = [label[d] for d in label if d not in vectors]
-    base = (sum(rest) + sum(label.values()) / max(len(label), 1)) / (len(rest) + 1)
-    return Index(vocabulary, idf, vectors, label, base)
+    other = held.where("key is not null")
+    weight = F.log1p("tf") * (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1)
+    # equal texts have equal rows: the mean over the rows of a key, times the terms of one text
+    beyond = stash(other.join(other.groupBy("term").agg(F.count("*").alias("n")), "term")
+                   .groupBy("key").agg((F.avg(weight * weight) * F.max("many")).alias("beyond")))
+    unstash(held)
+    return Index.of_examples(ids, found, terms, idf, label, sum(label.values()) / len(label)), beyond
 
 
 def _make(index, k: int):
     def make(part: pa.RecordBatch) -> list[pa.Array]:
         x: Index = index.value
-        h, row = terms_of(part.column("text"))
-        h = h.view(np.int64)
+        row, h, tf = _counted(part.column(0))
+        at, hit = _among(x.terms, h)
+        row, at, tf = row[hit], at[hit], tf[hit]
         n = part.num_rows
-        score, near, sims = np.full(n, x.base), [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
-        if len(x.terms):
-            at = np.searchsorted(x.terms, h)
-            hit = np.flatnonzero(x.terms[np.minimum(at, len(x.terms) - 1)] == h)
-            pair, tf = np.unique(row[hit] * np.int64(len(x.terms)) + at[hit], return_counts=True)
-            doc = pair // len(x.terms)
-            for i in np.unique(doc):
-                lo, hi = np.searchsorted(doc, [i, i + 1])
-                score[i], near[i], sims[i] = x.score(pair[lo:hi] % len(x.terms), tf[lo:hi], k)
-        return [pa.array(score), lists(near), lists(sims, np.float64)]
+        own, near, sims, toxic = np.zeros(n), [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n, np.zeros(n)
+        rows = np.unique(row)
+        edge = np.searchsorted(row, np.r_[rows, n]).tolist()
+        for i, got in zip(rows.tolist(), x.products([(at[a:b], tf[a:b]) for a, b in zip(edge, edge[1:])], k)):
+            own[i], near[i], sims[i], toxic[i] = got
+        return [pa.array(own), lists(near), lists(sims, np.float64), pa.array(toxic)]
     return make
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train=None, k: int = NEIGHBOURS,
-                   examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train=None, k: int = NEIGHBOURS, examples: int = EXAMPLES) -> DataFrame:
     """Every row of ``docs`` with ``(score, neighbours, similarities)``.
 
     ``score`` (0 to 1) is the vote of the ``k`` nearest examples; ``neighbours``
-    their ids, the most similar first, with their ``similarities``.  A null or
-    empty text, or one that shares no chosen term, scores the base rate and has
-    no neighbours.  Equal texts score alike.  Without labels every score is 0.
-    Own columns with those names are dropped; an empty table gives an empty table.
+    their ids, the most similar first, with their ``similarities``, the cosines of
+    the whole texts.  A null or empty text, or one that shares no term with an
+    example, scores the rate of the examples and has no neighbours.  An id with
+    several texts is an example by each of them.  Equal texts score alike.
+    Without labels every score is 0.  Own columns with those names are dropped;
+    an empty table gives an empty table.
     """
-    index = build_index(docs, labels, F.lit(True) if train is None else train, examples, terms)
-    return with_arrow_columns(docs, ["text"], _make(docs.sparkSession.sparkContext.broadcast(index), k), NEW)
+    index, beyond = build_index(docs, labels, F.lit(True) if train is None else train, examples)
+    own = [c for c in docs.columns if c not in [f.name for f in NEW]]
+    if index is None:
+        none = [F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("neighbours"),
+                F.array().cast("array<double>").alias("similarities")]
+        return docs.select(*[F.col(f"`{c}`") for c in own], *none)
+    held = docs.select(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(own)], F.xxhash64("text").alias("key"))
+    made = with_arrow_columns(held, [f"o{own.index('text')}"], _make(docs.sparkSession.sparkContext.broadcast(index), k), PRODUCTS)
+    length = F.sqrt(F.col("own") + F.coalesce("beyond", F.lit(0.0)))
+    share = F.when(F.size("near") > 0, 1 / length).otherwise(0.0)
+    every = F.aggregate("products", F.lit(0.0), lambda a, b: a + b)
+    return (made.join(beyond, "key", "left")
+            .select(*[F.col(f"o{i}").alias(c) for i, c in enumerate(own)],
+                    ((F.col("toxic") * share + PRIOR * index.base) / (every * share + PRIOR)).alias("score"),
+                    F.col("near").alias("neighbours"),
+                    F.transform("products", lambda x: x * share).alias("similarities")))

@@ -378,3 +378,46 @@ def test_toxicity_nearest_over_many_blocks():
         places, sims = index.nearest(at, v, 15)
         assert np.allclose(sims, np.sort(want)[::-1][:15])
         assert np.allclose(want[places], sims)
+
+
+def test_toxicity_against_cosines_of_whole_texts(spark, docs, labels):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    held = lambda i: i % 3 == 0
+    got = toxicity.score_toxicity(docs, labels, train=F.col("doc_id") % 3 != 0).collect()
+    term = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+    bags = [collections.Counter(term.findall((t or "").translate(LOWER))) for _, t in rows]
+    df = collections.Counter(t for b in bags for t in b)
+    vector = [{t: math.log1p(c) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, c in b.items()} for b in bags]
+    length = [math.sqrt(sum(v * v for v in x.values())) for x in vector]
+    label = {i: int(i % 5 == 0) for i in range(60) if not held(i)}
+    first = {i: n for n, (i, _) in enumerate(rows) if i in label and vector[n]}
+    base = sum(label.values()) / len(label)
+    want = collections.defaultdict(set)
+    for n, (i, text) in enumerate(rows):
+        near = []
+        for j, m in first.items():
+            s = sum(v * vector[m].get(t, 0.0) for t, v in vector[n].items())
+            if s > 0:
+                near.append((s / length[n] / length[m], j))
+        sims = sorted((s for s, _ in near), reverse=True)[:15]
+        of = dict((j, s) for s, j in near)
+        for r in (r for r in got if r.doc_id == i and r.text == text):
+            assert np.allclose(r.similarities, sims) and np.allclose([of[j] for j in r.neighbours], sims)
+            vote = sum(s * label[j] for s, j in zip(r.similarities, r.neighbours))
+            assert abs(r.score - (vote + 0.5 * base) / (sum(sims) + 0.5)) < 1e-9
+    # clean examples are neighbours too, and terms outside the examples count in a text's length
+    assert {label[j] for r in got for j in r.neighbours} == {0, 1}
+    assert any(t not in set().union(*(vector[m] for m in first.values())) for x in vector for t in x)
+
+
+def test_toxicity_of_rare_insults(spark):
+    """No insult is in more than two examples."""
+    r = random.Random(4)
+    rows = [(3 * i + j, f"you {insult} go away {insult} w{r.randrange(9)}", 1, j == 2)
+            for i, insult in enumerate(f"insult{n}" for n in range(40)) for j in range(3)]
+    rows += [(1000 + i, f"you may go there on w{r.randrange(9)} of month{i % 40}", 0, i % 3 == 2) for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, x) for i, _, x, held in rows if not held], "doc_id long, toxic int")
+    score = {x.doc_id: x.score for x in toxicity.score_toxicity(df, lab).collect()}
+    held = [(score[i], x) for i, _, x, held in rows if held]
+    assert min(s for s, x in held if x) > max(s for s, x in held if not x)
