@@ -5,6 +5,11 @@ letters and digits one space), known licence sentences are mapped to their
 identifiers where they stand, and the identifiers in order of their first
 place are matched against ordered rules: a rule names the identifiers that must
 follow each other; of a family the first rule that fits gives the licence.
+
+Texts that bundle notices have more than that: ``every_sentence`` keeps all
+places, ``every_licence`` the licences of all notices.  There the identifiers of
+a rule must follow each other among those of its family, a place counts for one
+notice, and earlier rules take theirs first.
 """
 
 from __future__ import annotations
@@ -72,7 +77,8 @@ RULES = (
 _OTHER = re.compile(rb"[^a-z0-9]+")
 
 NEW = [T.StructField("n_sentences", T.LongType()), T.StructField("sentences", T.StringType()),
-       T.StructField("licenses", T.StringType())]
+       T.StructField("licenses", T.StringType()), T.StructField("every_sentence", T.StringType()),
+       T.StructField("every_licence", T.StringType())]
 
 
 def normalise(text: str) -> str:
@@ -103,31 +109,66 @@ def apply_rules(ids: list[str], rules) -> list[str]:
     return out
 
 
+def places(plain: bytes, sentence: bytes) -> list[int]:
+    """Every place of a normalised sentence; neighbours share the space between them."""
+    out, p = [], plain.find(sentence)
+    while p >= 0:
+        out.append(p)
+        p = plain.find(sentence, p + len(sentence) - 1)
+    return out
+
+
+def every_notice(ids: list[str], rules) -> list[str]:
+    """Different licences of all notices among identifiers in order, by the place of their first notice."""
+    own: dict[str, set[str]] = {}
+    for family, _, needed in rules:
+        own.setdefault(family, set()).update(needed)
+    # identifiers that no rule names stand with the family their name starts with those of
+    stem = {k.split(".")[0]: f for f, ks in own.items() for k in ks}
+    line: dict[str, list[tuple[int, str]]] = {}
+    for i, k in enumerate(ids):
+        for family in [f for f in own if k in own[f]] or [stem.get(k.split(".")[0], "")]:
+            line.setdefault(family, []).append((i, k))
+    taken, found = set(), {}
+    for family, licence, needed in rules:
+        mine = line.get(family, [])
+        for a in range(len(mine) - len(needed) + 1):
+            some = mine[a:a + len(needed)]
+            if tuple(k for _, k in some) == tuple(needed) and not any((family, i) in taken for i, _ in some):
+                taken.update((family, i) for i, _ in some)
+                found[licence] = min(found.get(licence, len(ids)), some[0][0])
+    return sorted(found, key=found.get)
+
+
 def _make(sentences: dict[str, str], rules):
     known = {k: normalise(s).encode() for k, s in sentences.items()}
     words = triggers(sentences)
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
         data, off = text_bytes(part.column("text"))
-        n, ids, found = [], [], []
+        n, ids, found, every, notices = [], [], [], [], []
         for i in range(len(off) - 1):
             raw = data[off[i]:off[i + 1]].tobytes().lower()
-            at = []
+            at = []  # every place
             if any(w in raw for w in words):
                 plain = b" " + _OTHER.sub(b" ", raw).strip() + b" "
-                at = sorted((p, k) for k, s in known.items() if (p := plain.find(s)) >= 0)
-            names = [k for _, k in at]
+                at = sorted((p, k) for k, s in known.items() for p in places(plain, s))
+            whole = [k for _, k in at]
+            names = list(dict.fromkeys(whole))
             n.append(len(names)), ids.append(",".join(names)), found.append(",".join(apply_rules(names, rules)))
-        return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(found, pa.string())]
+            every.append(",".join(whole)), notices.append(",".join(every_notice(whole, rules)))
+        return [pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in (ids, found, every, notices)]]
     return make
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
-    """Every row of ``docs`` with ``(n_sentences, sentences, licenses)``.
+    """Every row of ``docs`` with ``(n_sentences, sentences, licenses, every_sentence, every_licence)``.
 
     ``sentences`` are the known sentences' identifiers in order of first place
-    (same place: by identifier), ``licenses`` the rules' licences, both joined by
-    commas; a null, empty or unlicensed text has 0 and empty strings.  Own
+    (same place: by identifier), ``licenses`` the rules' licences, one a family, as
+    the query's SQL has them; ``every_sentence`` are the identifiers of all places,
+    ``every_licence`` the different licences of all notices in order of place.  All
+    are joined by commas; a null, empty or unlicensed text has 0 and empty strings.  Own
     columns with those names are dropped; an empty table gives an empty table.
     """
     return with_arrow_columns(docs, ["text"], _make(sentences or SENTENCES, rules), NEW)

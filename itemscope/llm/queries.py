@@ -198,7 +198,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemscope.llm.licenses import scan_licenses
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan_licenses(docs).drop("text")
+    return scan_licenses(docs).select("doc_id", "n_sentences", "sentences", "licenses")  # the columns of the SQL
 
 
 def _sql_op9() -> str:

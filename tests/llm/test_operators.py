@@ -421,3 +421,18 @@ def test_toxicity_of_rare_insults(spark):
     score = {x.doc_id: x.score for x in toxicity.score_toxicity(df, lab).collect()}
     held = [(score[i], x) for i, _, x, held in rows if held]
     assert min(s for s, x in held if x) > max(s for s, x in held if not x)
+
+
+def test_licenses_of_several_notices(spark):
+    s = licenses.SENTENCES
+    gpl2, gpl3 = (f"{s['gpl.free']}; {s[v]}.\n{s['gpl.warranty']}.\n" for v in ("gpl.v2", "gpl.v3"))
+    texts = {gpl2 + gpl3: "GPL-2.0-or-later,GPL-3.0-or-later",
+             f"{s['gpl.free']}. {s['gpl.warranty']}. And below: {gpl3}": "GPL,GPL-3.0-or-later",
+             f"{s['ccbync4.notice']}, parts {s['ccby4.notice']}": "CC-BY-NC-4.0,CC-BY-4.0",
+             f"{s['reserved']}. {s['gpl.free']}. {s['reserved']}. {s['gpl.v3']}": "all-rights-reserved,GPL-3.0-or-later",
+             f"{s['mit.notice']} {s['mit.notice']}": "MIT", "none": ""}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert [got[i].every_licence for i in range(len(texts))] == list(texts.values())
+    assert got[0].every_sentence == "gpl.free,gpl.v2,gpl.warranty,gpl.free,gpl.v3,gpl.warranty"
+    assert got[4].every_sentence == "mit.notice,mit.notice" and got[4].n_sentences == 1
