@@ -436,3 +436,28 @@ def test_licenses_of_several_notices(spark):
     assert [got[i].every_licence for i in range(len(texts))] == list(texts.values())
     assert got[0].every_sentence == "gpl.free,gpl.v2,gpl.warranty,gpl.free,gpl.v3,gpl.warranty"
     assert got[4].every_sentence == "mit.notice,mit.notice" and got[4].n_sentences == 1
+
+
+def test_lm_contexts_have_counts_of_their_own():
+    """Different contexts have different keys, and a block's logits come from the counts of its own contexts."""
+    r = np.random.default_rng(6)
+    data = np.where(r.random(60_000) < 0.15, 32, r.integers(97, 123, 60_000)).astype(np.uint8)
+    keys = lm_scoring.contexts(data, np.array([0, len(data)]))
+    raw, word = bytes(4) + data.tobytes(), b""
+    owner = {}
+    for i in range(len(data)):
+        for n, own in enumerate([raw[i + 2:i + 4], raw[i + 1:i + 4], raw[i:i + 4], word]):
+            assert owner.setdefault(int(keys[n][i]), (n, own)) == (n, own)
+        word = b"" if data[i] == 32 else word + data[i:i + 1].tobytes()
+    assert len(owner) == len(set(owner.values())) > 1 << 16
+    tree = lm_scoring.Tree(np.bincount(data, minlength=256))
+    pair, count = np.unique(keys[2] | data.astype(np.uint64), return_counts=True)
+    shift, known, table = lm_scoring.Model((pair, count), tree).parts[2]
+    root = tree.children[-1]
+    below = lambda x: {x} if x < 256 else below(tree.children[x - 256][0]) | below(tree.children[x - 256][1])
+    for i in range(0, len(data), 997):
+        follows = data[keys[2] == keys[2][i]].tolist()
+        a, b = (sum(f in below(side) for f in follows) for side in root)
+        got = table[(int(lm_scoring.Model.row(keys[2][i:i + 1], shift, known)[0]) << 8) + len(tree.children) - 1]
+        assert abs(got - np.clip(np.rint(math.log((b + 0.3) / (a + 0.3)) * lm_scoring.SCALE), -127, 127)) <= 1
+    assert lm_scoring.Model.row(np.array([256], np.uint64), shift, known).tolist() == [0]
