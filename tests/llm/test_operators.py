@@ -461,3 +461,19 @@ def test_lm_contexts_have_counts_of_their_own():
         got = table[(int(lm_scoring.Model.row(keys[2][i:i + 1], shift, known)[0]) << 8) + len(tree.children) - 1]
         assert abs(got - np.clip(np.rint(math.log((b + 0.3) / (a + 0.3)) * lm_scoring.SCALE), -127, 127)) <= 1
     assert lm_scoring.Model.row(np.array([256], np.uint64), shift, known).tolist() == [0]
+
+
+def test_lm_mixing_runs_through_a_whole_text(monkeypatch):
+    """One long text: what the mixer learned at the start still counts thousands of bits later."""
+    line = np.frombuffer(b"abcabcabd " * 2000 + b"\n", np.uint8)
+    keys = lm_scoring.contexts(line, np.array([0, len(line)]))
+    pairs = [np.unique(k | line.astype(np.uint64), return_counts=True) for k in keys]
+    counts = tuple(np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    model = lm_scoring.Model(counts, lm_scoring.Tree(np.bincount(line, minlength=256)))
+    lanes, mixed = [], model._mix
+    monkeypatch.setattr(model, "_mix", lambda x, bit, lo, hi: lanes.extend(zip(lo, hi)) or mixed(x, bit, lo, hi))
+    cost = model.cost(line, np.array([0, len(line)]), np.arange(len(line)))
+    assert len(lanes) == 1 and lanes[0][0] == 0 and lanes[0][1] > 2 * 2048
+    tenth = len(line) // 10
+    parts = -np.add.reduceat(cost[:-1], np.arange(0, 10) * tenth)
+    assert parts[0] > parts[1] > parts[8]
