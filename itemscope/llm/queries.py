@@ -233,6 +233,70 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "neighbours", "similarities")
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.sharding import shard_documents
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return shard_documents(docs, keep=["doc_id"]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _sql_op13(shards: int = 24, bits: int = 5) -> str:
+    # one step of the curve (level, axis) is one CTE; xor and shifts as in the operator's docstring
+    steps, prev = [], "lev"
+    k = 0
+    for level in range(bits - 1, 0, -1):
+        q, low = 1 << level, (1 << level) - 1
+        for w in "xyz":
+            mine = "x" if w == "x" else w
+            turn = f"xor(x, {low})"
+            swap = f"xor(x, xor(x, {mine}) & {low})"
+            sets = [f"CASE WHEN {mine} & {q} <> 0 THEN {turn} ELSE {swap} END AS x"]
+            if w != "x":
+                sets.append(f"CASE WHEN {w} & {q} <> 0 THEN {w} ELSE xor({w}, xor(x, {w}) & {low}) END AS {w}")
+            k += 1
+            steps.append(f"s{k} AS MATERIALIZED (SELECT * REPLACE ({', '.join(sets)}) FROM {prev})")
+            prev = f"s{k}"
+    flip = "0"
+    for level in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN z & {1 << level} <> 0 THEN {(1 << level) - 1} ELSE 0 END)"
+    place = " + ".join(f"((xor({w}, f) >> {level}) & 1) * {1 << (3 * level + 2 - i)}"
+                       for level in range(bits) for i, w in enumerate("xyz"))
+    chain = ",\n".join(steps)
+    wide = 1 << bits
+    return f"""
+WITH d0 AS (
+  SELECT doc_id, lang, source, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size
+  FROM documents),
+tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k:
+          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, lang, source, size, 8 * len(bin(size)) + (size >> (len(bin(size)) - 4)) - 8 AS k,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(x, '..'), lambda h: ('0x' || h)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d0, tab),
+ln AS (SELECT lang, (row_number() OVER (ORDER BY lang NULLS FIRST) - 1) * {wide} // count(*) OVER () AS x FROM (SELECT DISTINCT lang FROM d)),
+sn AS (SELECT source, (row_number() OVER (ORDER BY source NULLS FIRST) - 1) * {wide} // count(*) OVER () AS y FROM (SELECT DISTINCT source FROM d)),
+kn AS (SELECT k, (coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {wide} // sum(n) OVER ())::BIGINT AS z
+       FROM (SELECT k, count(*) AS n FROM d GROUP BY k)),
+lev AS (SELECT DISTINCT x, y, z, x AS cx, y AS cy, z AS cz FROM (SELECT DISTINCT lang, source, k FROM d) c
+        JOIN ln ON c.lang IS NOT DISTINCT FROM ln.lang JOIN sn ON c.source IS NOT DISTINCT FROM sn.source JOIN kn ON c.k = kn.k),
+{chain},
+gray AS (SELECT cx, cy, cz, x, xor(x, y) AS y, xor(xor(x, y), z) AS z FROM {prev}),
+flip AS (SELECT *, {flip} AS f FROM gray),
+cell AS (SELECT cx, cy, cz, {place} AS curve FROM flip),
+r AS (
+  SELECT d.*, curve, row_number() OVER (ORDER BY curve, size, text_crc32, doc_id NULLS FIRST) - 1 AS r, count(*) OVER () AS n
+  FROM d JOIN ln ON d.lang IS NOT DISTINCT FROM ln.lang JOIN sn ON d.source IS NOT DISTINCT FROM sn.source JOIN kn ON d.k = kn.k
+  JOIN cell ON cx = ln.x AND cy = sn.y AND cz = kn.z),
+s AS (SELECT *, r * {shards} // n AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+       (r - (shard * n + {shards - 1}) // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM s
+"""
+
+
 REGISTRY = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
@@ -244,6 +308,7 @@ REGISTRY = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
+    "op13_sharding": op13_sharding,
 }
 
 SQL = {
@@ -253,4 +318,5 @@ SQL = {
     "op6_exact_top_k": SQL_OP6,
     "op8_suffix_array_dedup": SQL_OP8,
     "op9_license_scans": _sql_op9(),
+    "op13_sharding": _sql_op13(),
 }
