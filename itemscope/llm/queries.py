@@ -233,6 +233,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "neighbours", "similarities")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.alignment import align_documents
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_documents(docs).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemscope.llm.sharding import shard_documents
 
@@ -308,6 +315,7 @@ REGISTRY = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
+    "op12_token_alignment": op12_token_alignment,
     "op13_sharding": op13_sharding,
 }
 
