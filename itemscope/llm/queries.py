@@ -233,6 +233,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "neighbours", "similarities")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemscope.llm.collocations import mine_phrases
+
+    return mine_phrases(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def _sql_op11(min_count: int = 30, top: int = 2000) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) AS phrase "
+        f"FROM p WHERE len(ws) >= {k}" for k in (1, 2, 3, 4))
+    inside = " UNION ALL ".join(f"SELECT lang, array_to_string(ws[{i}:{i + size - 1}], ' ') AS part, a FROM c WHERE k = {k}"
+                                for k in (3, 4) for size in range(2, k) for i in range(1, k - size + 2))
+    return f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWERED}') AS t FROM documents),
+s AS (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM s),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL HAVING count(*) >= {min_count}),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+cut AS (SELECT c.*, unnest(range(1, k)) AS i FROM c),
+sc AS (SELECT cut.lang, cut.phrase, a, i, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:i], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[i + 1:], ' ')),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+o AS (SELECT lang, part, max(a) AS covered FROM ({inside}) GROUP BY ALL),
+r AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase)::INTEGER AS rank
+  FROM best LEFT JOIN o ON o.lang = best.lang AND o.part = best.phrase WHERE covered IS NULL OR 100 * covered::HUGEINT < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= {top}
+"""
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemscope.llm.alignment import align_documents
 
@@ -315,6 +346,7 @@ REGISTRY = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_token_alignment": op12_token_alignment,
     "op13_sharding": op13_sharding,
 }
@@ -326,5 +358,6 @@ SQL = {
     "op6_exact_top_k": SQL_OP6,
     "op8_suffix_array_dedup": SQL_OP8,
     "op9_license_scans": _sql_op9(),
+    "op11_phrase_collocations": _sql_op11(),
     "op13_sharding": _sql_op13(),
 }
