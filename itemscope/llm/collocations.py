@@ -193,7 +193,7 @@ def phrases(g: Grams, bitmaps: list[np.ndarray], into: Counter) -> None:
     ids = np.full(n, -1, np.int64)
     at = np.flatnonzero(may_hold(bitmaps[0], g.fingerprints(1)))
     ids[at], words = word_ids(g, at)
-    for k, bitmap in enumerate(bitmaps, 1):
+    for k, bitmap in enumerate(bitmaps[:n], 1):
         fp = g.fingerprints(k)
         fits = may_hold(bitmap, fp) & g.within(k)
         for j in range(k):
