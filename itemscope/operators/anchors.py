@@ -1,107 +1,317 @@
-"""Clustering anchors (L8-L10) with MLlib k-means.
+"""Clustering anchors (L8-L10): weighted k-means of many cells in one plan.
 
 Each item is a point whose coordinates are the train models' scores on it
-(L8) or its IRT parameters [a; b] (L10).  Per scenario and n_items, k-means
-with k = n_items is fitted ``restarts`` times (seed 1000 * t + iteration),
-weighted by the normalised balance weights; the lowest training cost wins.
-The anchor of a cluster is the item nearest its centre; its weight is the
-cluster's share of balance weight (L9).
-
-Fits are small and many, so they are submitted from a driver thread pool;
-each fit is an ordinary distributed MLlib job over its scenario's items.
+(L8) or its IRT parameters [a; b] (L10), weighted by its normalised balance
+weight.  A *cell* is one fit: (split, scenario, n_items, iteration, restart).
+All cells of all scenarios are fitted together:
+
+* items are packed into blocks of at most ``BLOCK_ITEMS`` points of one
+  scenario; a block's row carries, for every cell of its scenario, the
+  points' clusters and Hamerly's bounds (distance to the own centre at most,
+  to every other centre at least).  Points whose bounds still separate them
+  are skipped; a cell in which nothing moved is left alone;
+* one Lloyd round is one job: every task reads its blocks and the centres,
+  sums weight x point per (cell, cluster) over all its blocks, and the sums
+  are added per cell.  Blocks never meet, so no item or scenario is hot;
+* the centres (cells x n_items x coordinates) are the only data sent to all
+  tasks.  Cells are dealt into waves of at most ``WAVE_BYTES`` of centres, so
+  the size sent and collected is bounded whatever the grid (one fit larger
+  than that is a wave of its own).
+
+Starts are drawn without replacement with chances proportional to the weights
+(md5 keys of 1000 * restart + iteration).  A cluster left without items moves
+to the point farthest from its centre.  The restart of lowest inertia wins;
+its anchors are the items nearest the centres (lower position on ties) and an
+anchor weighs what its cluster's items weigh (L9).
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import io
+from collections.abc import Iterator
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemscope.functions import r12
+from itemscope.functions import hex_uniform
+from itemscope.session import drop_table, written_table
 
-POINTS_PER_PARTITION = 50000
+BLOCK_ITEMS = 2048
+WAVE_BYTES = 32 << 20
+MAX_ROUNDS = 300
+CELL = ["split_id", "scenario", "n_items", "iter", "restart"]
 
 
 def score_features(train_scores: DataFrame, models: DataFrame) -> DataFrame:
-    """L8 input: per item the vector of train-model scores in model order.
+    """L8 input: per item (and split) the vector of train-model scores in model order.
 
-    train_scores(model_id, item_id, score); models(model_id, model_pos).
+    train_scores(split_id?, model_id, item_id, score); models(split_id?, model_id, model_pos).
     A row holds one value per train model (bounded by the model count)."""
-    j = train_scores.select("model_id", "item_id", "score").join(
-        F.broadcast(models.select("model_id", "model_pos")), "model_id")
-    g = j.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("model_pos", "score"))).alias("_s"))
-    return g.select("item_id", F.transform("_s", lambda s: s["score"].cast("double")).alias("vec"))
+    keys = ["split_id"] if "split_id" in train_scores.columns and "split_id" in models.columns else []
+    j = train_scores.select(*keys, "model_id", "item_id", "score").join(
+        F.broadcast(models.select(*keys, "model_id", "model_pos")), [*keys, "model_id"])
+    g = j.groupBy(*keys, "item_id").agg(F.array_sort(F.collect_list(F.struct("model_pos", "score"))).alias("_s"))
+    return g.select(*keys, "item_id", F.transform("_s", lambda s: s["score"].cast("double")).alias("vec"))
 
 
 def irt_features(item_params: DataFrame) -> DataFrame:
-    """L10 input: per item [a_1..a_D, b_1..b_D]."""
-    return item_params.select("item_id", F.concat("a", "b").alias("vec"))
+    """L10 input: per item (and split) [a_1..a_D, b_1..b_D]."""
+    keys = ["split_id"] if "split_id" in item_params.columns else []
+    return item_params.select(*keys, "item_id", F.concat("a", "b").alias("vec"))
 
 
-def _fit_one(points: DataFrame, k: int, seed: int):
-    km = KMeans(k=k, seed=seed, weightCol="nbw", featuresCol="features", maxIter=50, tol=1e-6)
-    model = km.fit(points)
-    return model.summary.trainingCost, model
+# ------------------------------------------------------------------ numpy steps of a block
+def _pack(**arrays) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
 
 
-def kmeans_anchors(features: DataFrame, items: DataFrame, n_items_grid, iters: int = 1,
-                   restarts: int = 5, sampling: str = "anchor", max_workers: int = 8) -> DataFrame:
-    """L8/L9 (L10 with IRT features): selections
-    (sampling, n_items, iter, scenario, item_id, item_pos, weight).
+def _unpack(data: bytes) -> dict:
+    with np.load(io.BytesIO(data)) as z:
+        return {k: z[k] for k in z.files}
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Euclidean distances, points x centres, by differences (no cancellation) in slices."""
+    out = np.empty((len(x), len(centres)))
+    step = max(1, (1 << 21) // max(1, centres.size))
+    for lo in range(0, len(x), step):
+        out[lo:lo + step] = np.sqrt(((x[lo:lo + step, None, :] - centres[None]) ** 2).sum(2))
+    return out
+
+
+def _reassign(x: np.ndarray, centres: np.ndarray, state: dict | None, shift: np.ndarray | None) -> tuple[dict, int]:
+    """Clusters and bounds of a block's points for one cell, and how many points changed cluster."""
+    n = len(x)
+    if state is None:
+        at, upper, lower, todo = np.full(n, -1, np.int32), np.empty(n), np.empty(n), np.arange(n)
+    else:
+        at = state["at"].copy()
+        upper = state["upper"] + shift[at]
+        # the other centres came nearer by at most the largest shift
+        lower = state["lower"] - (shift.max() if len(shift) else 0.0)
+        todo = np.flatnonzero(upper > lower)
+        if len(todo):
+            upper[todo] = np.sqrt(((x[todo] - centres[at[todo]]) ** 2).sum(1))
+            todo = todo[upper[todo] > lower[todo]]
+    moved = 0
+    if len(todo):
+        d = _distances(x[todo], centres)
+        best = d.argmin(1).astype(np.int32)
+        moved = int((best != at[todo]).sum())
+        upper[todo] = d[np.arange(len(todo)), best]
+        d[np.arange(len(todo)), best] = np.inf
+        at[todo], lower[todo] = best, d.min(1) if d.shape[1] > 1 else np.inf
+    return {"at": at, "upper": upper, "lower": lower}, moved
 
-    A cell that asks for more items than its scenario has gets them all
-    with their own weights."""
+
+# ------------------------------------------------------------------ the plan
+def _points(features: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per point: split_id ('' when the features have none), scenario, item, weight, vec."""
     it = items.select("item_id", "item_pos", "scenario", "bal_w").join(features, "item_id")
+    if "split_id" not in features.columns:
+        it = it.withColumn("split_id", F.lit(""))
     tot = items.groupBy("scenario").agg(F.sum("bal_w").alias("_tot"))   # one row per scenario
-    it = it.join(F.broadcast(tot), "scenario").withColumn("nbw", F.col("bal_w") / F.col("_tot"))
-    it = it.withColumn("features", array_to_vector("vec")).persist()
-    scenarios = [r.scenario for r in it.select("scenario").distinct().collect()]
-    sizes = dict(it.groupBy("scenario").count().collect())
-    cells = [(s, int(n), i) for s in scenarios for n in dict.fromkeys(n_items_grid) for i in range(iters)]
-    jobs = [c for c in cells if c[1] <= sizes[c[0]]]
-
-    def points(s):
-        # k-means jobs run one task per partition per iteration: size the
-        # partitions to the scenario (items, not responses), ~50k points each
-        return it.filter(F.col("scenario") == s).coalesce(max(1, -(-sizes[s] // POINTS_PER_PARTITION)))
-
-    def run(job):
-        s, n, i = job
-        pts = points(s)
-        best = min((_fit_one(pts, n, 1000 * t + i) for t in range(restarts)), key=lambda r: r[0])
-        model = best[1]
-        centres = [c.tolist() for c in model.clusterCenters()]
-        return s, n, i, model, centres
-
-    with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        fitted = list(pool.map(run, jobs))
-
-    parts = [it.filter(F.col("scenario") == s).select(
-        F.lit(sampling).alias("sampling"), F.lit(n).alias("n_items"), F.lit(i).alias("iter"),
-        F.lit(s).alias("scenario"), "item_id", "item_pos", F.col("nbw").alias("weight"))
-        for s, n, i in cells if n > sizes[s]]
-    for s, n, i, model, centres in fitted:
-        pts = points(s)
-        pred = model.transform(pts).select("item_id", "item_pos", "vec", "nbw",
-                                           F.col("prediction").alias("cluster"))
-        # centres of one fit (k x dims numbers) travel as a literal; each item
-        # gets its k distances, and a grouped min picks the nearest item per
-        # centre over all items, as the reference does
-        lit_c = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
-        dists = F.transform(lit_c, lambda c: F.aggregate(
-            F.zip_with("vec", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v))
-        near = pred.select("item_id", "item_pos", F.posexplode(dists).alias("cluster", "d2")) \
-                   .withColumn("d", r12("d2")) \
-                   .groupBy("cluster").agg(F.min_by(F.struct("item_id", "item_pos"),
-                                                    F.struct("d", "item_pos")).alias("a"))
-        wts = pred.groupBy("cluster").agg(F.sum("nbw").alias("weight"))
-        part = near.join(wts, "cluster", "left").fillna(0.0, ["weight"]).select(
-            F.lit(sampling).alias("sampling"), F.lit(n).alias("n_items"), F.lit(i).alias("iter"),
-            F.lit(s).alias("scenario"), "a.item_id", "a.item_pos", "weight")
-        parts.append(part)
+    return it.join(F.broadcast(tot), "scenario").select(
+        "split_id", "scenario", "item_id", "item_pos", (F.col("bal_w") / F.col("_tot")).alias("nbw"), "vec")
+
+
+def _blocks(points: DataFrame) -> DataFrame:
+    """Points packed by position: a group holds at most BLOCK_ITEMS positions."""
+    key = F.floor(F.col("item_pos") / BLOCK_ITEMS)
+    return points.groupBy("split_id", "scenario", key.alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("item_pos", "item_id", "nbw", "vec"))).alias("p")).select(
+        "split_id", "scenario", "block", F.transform("p", lambda r: r["item_id"]).alias("item_id"),
+        F.transform("p", lambda r: r["item_pos"]).alias("item_pos"),
+        F.transform("p", lambda r: r["nbw"]).alias("w"), F.transform("p", lambda r: r["vec"]).alias("x"))
+
+
+def _starts(points: DataFrame, cells: DataFrame) -> dict:
+    """Starting centres of every cell: its first n_items points by the key -ln(u) / weight."""
+    largest = cells.groupBy("split_id", "scenario", "iter", "restart").agg(F.max("n_items").alias("top"))
+    u = hex_uniform(F.col("restart") * 1000 + F.col("iter"), F.lit("start"), F.col("item_id"))
+    drawn = points.join(F.broadcast(largest), ["split_id", "scenario"]).withColumn(
+        "key", -F.log(u + F.lit(2.0 ** -33)) / F.greatest("nbw", F.lit(1e-300)))
+    w = Window.partitionBy("split_id", "scenario", "iter", "restart").orderBy("key", "item_pos")
+    bound = cells.agg(F.max("n_items")).first()[0]
+    ranked = drawn.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= bound).where("rank <= top")
+    # every n_items of one (iteration, restart) starts from a prefix of the same draw
+    per = ranked.join(F.broadcast(cells), ["split_id", "scenario", "iter", "restart"]).where("rank <= n_items")
+    rows = per.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("rank", "vec"))).alias("c")).select(
+        *CELL, F.transform("c", lambda r: r["vec"]).alias("c")).collect()   # bounded by the wave
+    return {tuple(r[k] for k in CELL): np.array(r.c, float) for r in rows}
+
+
+BLOCK_SCHEMA = ("split_id string, scenario string, block bigint, item_id array<bigint>, item_pos array<bigint>, "
+                "w array<double>, x array<array<double>>, state binary")
+PART_SCHEMA = "cell int, sums binary, moved bigint"
+
+
+def _round(blocks: DataFrame, centres, cells: list, active: list, shifts) -> DataFrame:
+    """One Lloyd round: blocks with new clusters and bounds, then the task's sums per cell (rows with ``cell``)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, moves = centres.value, shifts.value
+        sums: dict[int, list] = {}
+        for pdf in batches:
+            states = []
+            for r in pdf.itertuples():
+                x, w = np.array(r.x.tolist(), float), np.asarray(r.w, float)
+                before = _unpack(r.state) if r.state is not None else {}
+                after = dict(before)
+                for c in active:
+                    if cells[c][:2] != (r.split_id, r.scenario):
+                        continue
+                    had = {k: before[f"{c}.{k}"] for k in ("at", "upper", "lower")} if f"{c}.at" in before else None
+                    got, moved = _reassign(x, now[c], had, moves.get(c))
+                    after.update({f"{c}.{k}": v for k, v in got.items()})
+                    size, dims = now[c].shape
+                    total = sums.setdefault(c, [np.zeros((size, dims + 1)), 0, (-1.0, x[0])])
+                    np.add.at(total[0], got["at"], np.column_stack([x * w[:, None], w]))
+                    total[1] += moved
+                    far = int(got["upper"].argmax())
+                    total[2] = max(total[2], (float(got["upper"][far]), x[far]), key=lambda t: t[0])
+                states.append(_pack(**after))
+            yield pdf.assign(state=states, cell=None, sums=None, moved=None)
+        if sums:
+            out = pd.DataFrame({"cell": list(sums), "moved": [s[1] for s in sums.values()], "sums": [
+                _pack(s=s[0], far=np.append(s[2][1], s[2][0])) for s in sums.values()]})
+            yield out.reindex(columns=[*pdf.columns, "cell", "sums", "moved"]).astype(object).where(lambda d: d.notna(), None)
+    return blocks.mapInPandas(run, f"{BLOCK_SCHEMA}, {PART_SCHEMA}")
+
+
+def _added(parts: DataFrame) -> dict:
+    """Sums of the cells over the tasks (one row a task and cell comes in, one row a cell goes to the driver)."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [_unpack(s) for s in pdf["sums"]]
+        far = max((g["far"] for g in got), key=lambda f: f[-1])
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "sums": [_pack(s=sum(g["s"] for g in got), far=far)],
+                             "moved": [pdf["moved"].sum()]})
+    # two steps, so that the parts of a cell are added in several tasks first
+    step = F.abs(F.hash("sums")) % 16
+    some = parts.withColumn("g", step).groupBy("cell", "g").applyInPandas(lambda pdf: add(pdf.drop(columns="g")), PART_SCHEMA)
+    rows = some.groupBy("cell").applyInPandas(add, PART_SCHEMA).collect()
+    return {r.cell: (_unpack(r.sums), r.moved) for r in rows}
+
+
+def lloyd(blocks: DataFrame, starts: dict, max_rounds: int = MAX_ROUNDS) -> dict:
+    """Centres of every cell of ``starts`` after Lloyd rounds until no point of the cell moves."""
+    sc = blocks.sparkSession.sparkContext
+    cells = sorted(starts)
+    centres = {c: starts[key] for c, key in enumerate(cells)}
+    active, shifts, held = sorted(centres), {}, blocks.withColumn("state", F.lit(None).cast("binary"))
+    table = None
+    for _ in range(max_rounds):
+        sent, moves = sc.broadcast(centres), sc.broadcast(shifts)
+        done = written_table(_round(held, sent, cells, active, moves))
+        added = _added(done.where("cell is not null").select("cell", "sums", "moved"))
+        if table is not None:
+            drop_table(table)
+        table, held = done, done.where("cell is null").drop("cell", "sums", "moved")
+        shifts = {}
+        for c, (got, moved) in added.items():
+            total, far = got["s"], got["far"]
+            weight = total[:, -1]
+            new = np.where(weight[:, None] > 0, total[:, :-1] / np.maximum(weight, 1e-300)[:, None], centres[c])
+            empty = np.flatnonzero(weight <= 0)
+            if len(empty) and far[-1] > 0:
+                new[empty[0]] = far[:-1]
+                moved += 1
+            shifts[c] = np.sqrt(((new - centres[c]) ** 2).sum(1))
+            centres[c] = new
+            if not moved:
+                shifts.pop(c)
+        active = sorted(shifts)
+        if not active:
+            break
+    if table is not None:
+        drop_table(table)
+    return {key: centres[c] for c, key in enumerate(cells)}
+
+
+def cell_clusters(blocks: DataFrame, centres: dict) -> DataFrame:
+    """(CELL, cluster, weight, inertia, nearest STRUCT(d, item_pos, item_id)) with exact distances.
+
+    A task sends one row per cell and cluster, whatever its number of items."""
+    sent = blocks.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, list] = {}
+        for pdf in batches:
+            for r in pdf.itertuples():
+                x, w = np.array(r.x.tolist(), float), np.asarray(r.w, float)
+                for key, c in sent.value.items():
+                    if key[:2] != (r.split_id, r.scenario):
+                        continue
+                    d = _distances(x, c)
+                    at = d.argmin(1)
+                    weight = np.bincount(at, w, len(c))
+                    inertia = np.bincount(at, w * d[np.arange(len(x)), at] ** 2, len(c))
+                    near = np.round(d, 12).argmin(0)   # positions ascend within a block
+                    for j, i in enumerate(near):
+                        best = (round(float(d[i, j]), 12), int(r.item_pos[i]), int(r.item_id[i]))
+                        had = found.setdefault((*key, j), [0.0, 0.0, best])
+                        had[0] += weight[j]
+                        had[1] += inertia[j]
+                        had[2] = min(had[2], best)
+        if found:
+            yield pd.DataFrame([(*k, v[0], v[1], *v[2]) for k, v in found.items()],
+                               columns=[*CELL, "cluster", "weight", "inertia", "d", "item_pos", "item_id"])
+    schema = ("split_id string, scenario string, n_items int, iter int, restart int, cluster int, weight double, "
+              "inertia double, d double, item_pos bigint, item_id bigint")
+    return blocks.mapInPandas(run, schema).groupBy(*CELL, "cluster").agg(
+        F.sum("weight").alias("weight"), F.sum("inertia").alias("inertia"),
+        F.min(F.struct("d", "item_pos", "item_id")).alias("nearest"))
+
+
+def _waves(cells: list, dims: int) -> list[list]:
+    waves, size = [[]], 0
+    for c in cells:
+        own = 8 * c[2] * dims
+        if waves[-1] and size + own > WAVE_BYTES:
+            waves.append([])
+            size = 0
+        waves[-1].append(c)
+        size += own
+    return waves
+
+
+def kmeans_anchors(features: DataFrame, items: DataFrame, n_items_grid, iters: int = 1,
+                   restarts: int = 5, sampling: str = "anchor", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """L8/L9 (L10 with IRT features): selections
+    (split_id?, sampling, n_items, iter, scenario, item_id, item_pos, weight).
+
+    ``features(split_id?, item_id, vec)``.  A cell that asks for at least as many
+    items as its scenario has gets them all with their own weights.  Two clusters
+    with the same nearest item keep it twice, each with its own weight."""
+    spark = items.sparkSession
+    points = written_table(_points(features, items))
+    sizes = {(r.split_id, r.scenario): r["count"] for r in points.groupBy("split_id", "scenario").count().collect()}
+    grid = [int(n) for n in dict.fromkeys(n_items_grid)]
+    whole = [(*g, n, i) for g in sizes for n in grid if n >= sizes[g] for i in range(iters)]
+    cells = [(*g, n, i, t) for g in sorted(sizes) for n in grid if n < sizes[g] for i in range(iters) for t in range(restarts)]
+    keys = ["split_id"] if "split_id" in features.columns else []
+    out_cols = [*keys, F.lit(sampling).alias("sampling"), "n_items", "iter", "scenario", "item_id", "item_pos", "weight"]
+    parts = []
+    if whole:
+        every = spark.createDataFrame(whole, "split_id string, scenario string, n_items int, iter int")
+        parts.append(points.withColumnRenamed("nbw", "weight").join(F.broadcast(every), ["split_id", "scenario"]).select(*out_cols))
+    if cells:
+        blocks = written_table(_blocks(points))
+        dims = points.agg(F.max(F.size("vec"))).first()[0]
+        clusters = None
+        for wave in _waves(cells, dims):
+            table = spark.createDataFrame(wave, "split_id string, scenario string, n_items int, iter int, restart int")
+            found = written_table(cell_clusters(blocks, lloyd(blocks, _starts(points, table), max_rounds)))
+            clusters = found if clusters is None else clusters.unionByName(found)
+        fit = [c for c in CELL if c != "restart"]
+        won = (clusters.groupBy(*CELL).agg(F.sum("inertia").alias("inertia")).groupBy(*fit)
+               .agg(F.min(F.struct(F.round("inertia", 12).alias("i"), "restart"))["restart"].alias("restart")))
+        parts.append(clusters.join(won, CELL).select("*", "nearest.item_id", "nearest.item_pos").select(*out_cols))
+    if not parts:
+        return points.withColumns({"n_items": F.lit(0), "iter": F.lit(0), "weight": F.lit(0.0)}).select(*out_cols).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
