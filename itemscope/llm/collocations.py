@@ -3,7 +3,9 @@
 Prefix polynomials over a slice's bytes give the hash of every word, prefix
 polynomials over the word hashes the fingerprint of every n-gram: two look-ups
 and a product each, for all positions at once.  Tasks aggregate fingerprints
-before the shuffle adds them up.
+before the shuffle adds them up; a row carries the fingerprint of the n-gram and
+of its first n-1 words, so an n-gram is told apart by 128 bits, and the words of a
+frequent one can be worked out from its fingerprint and its prefix's row.
 
 Lengths are counted one after the other, because a phrase found ``min_count``
 times has only parts found as often: an n-gram is counted only where both its
@@ -12,11 +14,13 @@ fingerprints, made by Spark as grouped bit-wise ors; its size follows their numb
 up to a fixed bound (``MAX_BITS``).  A bit set by another fingerprint lets a phrase
 through that the exact count drops later, so nothing is lost at any fill.
 
-The last pass verifies against the text: a task takes its occurrences of frequent
-fingerprints by their pointers, compares every one with the first of its
-fingerprint (words by their bytes, n-grams by their words), splits those that
-collide, and writes out the phrase.  Counts that rank and drop phrases are sums by
-the phrase itself; fingerprints only choose what is materialised.
+Cuts, scores and covered phrases are joins of fingerprints.  Only the phrases that
+may be reported and the parts of their cuts are materialised: a last pass takes
+their occurrences by their pointers (the places in the text), compares every one
+with the first of its fingerprint (words by their bytes, n-grams by their words)
+and writes the phrase with its number of occurrences.  If a count by the text
+differs from the one by fingerprints, two phrases have collided, and everything is
+counted again by the text itself (``count_phrases``).
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import BYTE_VALUES, LOWER, STEP, mix, powers, signed, slices, stash, text_bytes, unstash
+from itemscope.llm.common import BYTE_VALUES, LOWER, STEP, mix, powers, signed, slices, stash, text_bytes
 
 MIN_COUNT = 30
 TOP = 2000
@@ -78,7 +82,7 @@ class Grams:
         code = {x: i for i, x in enumerate(self.names)}
         doc = np.searchsorted(off, self.start, "right") - 1
         self.lang = np.array([code[x] for x in langs], np.int64)[doc]
-        salt = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.names], np.uint64)
+        salt = np.array([salt_of(x) for x in self.names], np.uint64)
         self.mask = np.uint64((1 << bits) - 1)
         with np.errstate(over="ignore"):
             up, down = scales(max(n, 1))
@@ -121,37 +125,69 @@ def _bitmaps(shared: list) -> list[np.ndarray]:
     return [np.frombuffer(b.value, np.uint64) for b in shared]
 
 
-def _count(docs: DataFrame, k: int, shared: list, bits: int) -> DataFrame:
-    """``(fp, c)`` of the k-grams whose (k-1)-grams may all be frequent, added up within the task."""
+def distinct_pairs(fp: np.ndarray, p: np.ndarray, c: np.ndarray | None = None):
+    """Distinct (fp, p) with their counts; sorting by ``fp`` is enough unless two of them meet in it."""
+    _, first, place, times = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
+    if (p != p[first][place]).any():
+        _, first, place, times = np.unique(np.stack([fp, p]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+    return fp[first], p[first], times if c is None else np.bincount(place, c, len(first)).astype(np.int64)
 
-    def merged(held):
-        fp, place = np.unique(np.concatenate([f for f, _ in held]), return_inverse=True)
-        return fp, np.bincount(place, np.concatenate([c for _, c in held]), len(fp)).astype(np.int64)
 
-    def out(fp, c):
-        for lo in range(0, len(fp), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(fp[lo:lo + 200_000])), pa.array(c[lo:lo + 200_000])], ["fp", "c"])
+def _count(docs: DataFrame, k: int, shared: list) -> DataFrame:
+    """``(fp, p, c)`` of the k-grams whose (k-1)-grams may all be frequent, added up within the task first.
 
-    def run(batches):
-        shorter = _bitmaps(shared)[-1:]
+    ``p`` is the fingerprint of the first k-1 words.  For k = 1 it is the word's hash, there is a
+    ``lang``, and a row without ``fp`` has all words of the language.
+    """
+    def out(fp, p, c, lang=None):
+        for lo in range(0, len(fp), 200_000):
+            part = slice(lo, lo + 200_000)
+            columns = [pa.array(signed(fp[part])), pa.array(signed(p[part])), pa.array(c[part].astype(np.int64))]
+            if lang is not None:
+                columns.append(pa.array([lang] * len(columns[0])))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    def words(batches):
+        held, size, total = {}, 0, Counter()
+        for g in _grams(batches, 64, SLICE):
+            fp = g.fingerprints(1)
+            for x, name in enumerate(g.names):
+                own = g.lang == x
+                total[name] += int(own.sum())
+                held.setdefault(name, []).append(distinct_pairs(fp[own], g.word[own]))
+                size += len(held[name][-1][0])
+            if size > HELD:
+                for name, parts in held.items():
+                    yield from out(*distinct_pairs(*map(np.concatenate, zip(*parts))), name)
+                held, size = {}, 0
+        for name, parts in held.items():
+            yield from out(*distinct_pairs(*map(np.concatenate, zip(*parts))), name)
+        n = len(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(list(total.values()), pa.int64()),
+                                          pa.array(list(total), pa.string())], names)
+
+    def longer(batches):
+        shorter = _bitmaps(shared)[-1]
         held, size = [], 0
-        for g in _grams(batches, bits, SLICE):
-            fp, fits = g.fingerprints(k), g.within(k)
-            if shorter and len(fp):
-                part = may_hold(shorter[0], g.fingerprints(k - 1))
-                fits &= part[:-1] & part[1:]
-            fp, c = np.unique(fp[fits], return_counts=True)
-            held.append((fp, c))
-            size += len(fp)
+        for g in _grams(batches, 64, SLICE):
+            fp, before = g.fingerprints(k), g.fingerprints(k - 1)
+            part = may_hold(shorter, before)
+            fits = g.within(k) & part[:-1][:len(fp)] & part[1:][:len(fp)]
+            held.append(distinct_pairs(fp[fits], before[:len(fp)][fits]))
+            size += len(held[-1][0])
             if size > HELD:
-                held = [merged(held)]
+                held = [distinct_pairs(*map(np.concatenate, zip(*held)))]
                 size = len(held[0][0])
                 if size > HELD // 2:
                     yield from out(*held[0])
                     held, size = [], 0
         if held:
-            yield from out(*merged(held))
-    return docs.mapInArrow(run, "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c"))
+            yield from out(*distinct_pairs(*map(np.concatenate, zip(*held))))
+
+    names = ["fp", "p", "c", "lang"] if k == 1 else ["fp", "p", "c"]
+    schema = "fp long, p long, c long" + ", lang string" * (k == 1)
+    keys = [n for n in names if n != "c"]
+    return docs.mapInArrow(words if k == 1 else longer, schema).groupBy(*keys).agg(F.sum("c").alias("c"))
 
 
 def _bitmap(frequent: DataFrame) -> bytes:
@@ -188,39 +224,30 @@ def word_ids(g: Grams, at: np.ndarray) -> tuple[np.ndarray, list[str]]:
 
 
 def phrases(g: Grams, bitmaps: list[np.ndarray], into: Counter) -> None:
-    """Add the slice's occurrences of frequent phrases to ``into``: (lang, number of words, phrase) -> occurrences."""
+    """Add the slice's occurrences of the bitmaps' phrases to ``into``: (fingerprint, lang, number of words, phrase)."""
     n = len(g.word)
-    ids = np.full(n, -1, np.int64)
-    at = np.flatnonzero(may_hold(bitmaps[0], g.fingerprints(1)))
-    ids[at], words = word_ids(g, at)
+    places, covered = [], np.zeros(n + 1, np.int64)
     for k, bitmap in enumerate(bitmaps[:n], 1):
-        fp = g.fingerprints(k)
-        fits = may_hold(bitmap, fp) & g.within(k)
-        for j in range(k):
-            fits &= ids[j:n - k + 1 + j] >= 0
-        at = np.flatnonzero(fits)
-        _, first, place, times = np.unique(fp[at], return_index=True, return_inverse=True, return_counts=True)
+        at = np.flatnonzero(may_hold(bitmap, g.fingerprints(k)) & g.within(k))
+        places.append(at)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + k, -1)
+    ids = np.full(n, -1, np.int64)
+    used = np.flatnonzero(np.cumsum(covered)[:n])
+    ids[used], words = word_ids(g, used)
+    for k, at in enumerate(places, 1):
+        fp = g.fingerprints(k)[at]
+        _, first, place, times = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
         columns = [g.lang[at], *[ids[at + j] for j in range(k)]]
         if any((c != c[first][place]).any() for c in columns):  # two phrases of one fingerprint
             _, first, times = np.unique(np.stack(columns), axis=1, return_index=True, return_counts=True)
         lang, *parts = [c[first].tolist() for c in columns]
-        for x, c, *p in zip(lang, times.tolist(), *parts):
-            into[g.names[x], k, " ".join([words[i] for i in p])] += c
+        for f, x, c, *p in zip(signed(fp[first]).tolist(), lang, times.tolist(), *parts):
+            into[f, g.names[x], k, " ".join([words[i] for i in p])] += c
 
 
-def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, bits: int = 64) -> DataFrame:
-    """``(lang, k, phrase, f)`` of every phrase of up to ``max_words`` words found ``min_count`` times or more in its
-    language, and one row a language with k = 0: all its word occurrences.
-
-    ``docs`` needs ``lang`` (null: ``und``) and ``text`` (null: empty).  ``bits`` cuts fingerprints short, for tests.
-    """
-    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text"))
-    shared = []
-    for k in range(1, max_words + 1):
-        frequent = stash(_count(own, k, shared, bits).where(F.col("c") >= min_count))
-        shared.append(docs.sparkSession.sparkContext.broadcast(_bitmap(frequent)))
-        unstash(frequent)
-
+def _materialised(docs: DataFrame, shared: list, bits: int = 64) -> DataFrame:
+    """``(fp, lang, k, phrase, f)`` of the phrases that the bitmaps let through, counted by the text."""
     def run(batches):
         bitmaps = _bitmaps(shared)
         found: Counter = Counter()
@@ -228,43 +255,71 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
         def out():
             rows = list(found.items())
             for lo in range(0, len(rows), 50_000):
-                some = rows[lo:lo + 50_000]
+                keys, counts = zip(*rows[lo:lo + 50_000])
+                fp, lang, k, phrase = zip(*keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0][0] for r in some], pa.string()), pa.array([r[0][1] for r in some], pa.int32()),
-                     pa.array([r[0][2] for r in some], pa.string()), pa.array([r[1] for r in some], pa.int64())],
-                    ["lang", "k", "phrase", "c"])
+                    [pa.array(fp, pa.int64()), pa.array(lang, pa.string()), pa.array(k, pa.int32()),
+                     pa.array(phrase, pa.string()), pa.array(counts, pa.int64())], ["fp", "lang", "k", "phrase", "c"])
             found.clear()
 
         for g in _grams(batches, bits, SLICE):
-            for x, c in enumerate(np.bincount(g.lang, minlength=len(g.names)).tolist()):
-                found[g.names[x], 0, ""] += c
             phrases(g, bitmaps, found)
             if len(found) > HELD_PHRASES:
                 yield from out()
         yield from out()
-    counted = own.mapInArrow(run, "lang string, k int, phrase string, c long").groupBy("lang", "k", "phrase").agg(
-        F.sum("c").alias("f"))
-    return counted.where((F.col("k") == 0) | (F.col("f") >= min_count))
+    return docs.mapInArrow(run, "fp long, lang string, k int, phrase string, c long").groupBy(
+        "fp", "lang", "k", "phrase").agg(F.sum("c").alias("f"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text"))
+
+
+def _levels(own: DataFrame, min_count: int, max_words: int) -> tuple[list[DataFrame], list, DataFrame]:
+    """Tables of the frequent n-grams by length, their bitmaps, and the languages' numbers of words."""
+    tables, shared, totals = [], [], None
+    for k in range(1, max_words + 1):
+        counted = _count(own, k, shared)
+        if k == 1:
+            counted = stash(counted.where((F.col("c") >= min_count) | F.col("fp").isNull()))
+            totals = counted.where("fp is null").select("lang", F.col("c").alias("n"))
+            tables.append(counted.where("fp is not null"))
+        else:
+            tables.append(stash(counted.where(F.col("c") >= min_count)))
+        shared.append(own.sparkSession.sparkContext.broadcast(_bitmap(tables[-1])))
+    return tables, shared, totals
+
+
+def count_phrases(docs: DataFrame, shared: list, totals: DataFrame, min_count: int) -> DataFrame:
+    """``(lang, k, phrase, f)`` of every phrase found ``min_count`` times or more in its language, counted by the
+    text, and one row a language with k = 0: all its word occurrences."""
+    counted = _materialised(_texts(docs), shared).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return counted.where(F.col("f") >= min_count).unionByName(
+        totals.select("lang", F.lit(0).alias("k"), F.lit("").alias("phrase"), F.col("n").alias("f")))
+
+
+def cut_score() -> Column:
+    """In decimals, as the condition below: the products may pass 64 bits."""
+    return F.expr("(2000000 * cast(a as decimal(20, 0))) div (cast(l as decimal(20, 0)) + r)")
+
+
+def uncovered(cover: int) -> Column:
+    return F.expr(f"covered is null or 100 * cast(covered as decimal(20, 0)) < {cover} * cast(a as decimal(20, 0))")
+
+
+def _ranked(scored: DataFrame, totals: DataFrame, top: int) -> DataFrame:
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    totals = totals.withColumnRenamed("lang", "lang_n")     # one row a language
+    return ranked.join(totals, F.col("lang") == F.col("lang_n")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def _part(words: Column, first: int, length: int) -> Column:
     return F.array_join(F.slice(words, first, length), " ")
 
 
-def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, max_words: int = MAX_WORDS,
-                 cover: int = COVER, bits: int = 64) -> DataFrame:
-    """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``top`` phrases of 2 to ``max_words`` words.
-
-    A phrase found a >= ``min_count`` times is cut after its first 1, 2, ... words
-    into parts found l and r times; its score is the lowest ``floor(2000000 a / (l + r))``
-    of its cuts (the first of equal ones).  A phrase inside a longer one that has
-    ``cover`` hundredths of its occurrences is left out.  Ties go by a and then by the
-    phrase's bytes.  Null texts have no words, a null language is ``und``, repeated
-    rows count as often as they stand there; an empty table gives an empty table.
-    Text may be of any length: phrases never cross ``.,;:!?`` or line ends, only
-    spaces and tabs separate words.
-    """
-    table = stash(count_phrases(docs, min_count, max_words, bits))
+def by_text(table: DataFrame, top: int, max_words: int, cover: int) -> DataFrame:
+    """The result from phrases counted by the text (``count_phrases``)."""
     words = F.split("phrase", " ")
     candidates = table.where("k >= 2").withColumnRenamed("f", "a")
     cuts = F.array(*[F.when(F.col("k") > i, F.struct(F.lit(i).alias("cut"), _part(words, 1, i).alias("first"),
@@ -277,19 +332,123 @@ def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, ma
     right = left.toDF("lang_r", "rest_r", "r")
     scored = (each.join(left, (F.col("lang") == F.col("lang_l")) & (F.col("first") == F.col("first_l")))
               .join(right, (F.col("lang") == F.col("lang_r")) & (F.col("rest") == F.col("rest_r"))))
-    # decimals: the product may pass 64 bits
-    score = F.expr("(2000000 * cast(a as decimal(20, 0))) div (cast(l as decimal(20, 0)) + r)")
-    best = (scored.withColumn("score", score).groupBy("lang", "phrase")
+    best = (scored.withColumn("score", cut_score()).groupBy("lang", "phrase")
             .agg(F.first("a").alias("a"), F.min(F.struct("score", "cut", "l", "r")).alias("s")))
     sizes = [(at, size) for size in range(2, max_words) for at in range(1, max_words - size + 2)]
     inner = F.array(*[F.when((F.col("k") > size) & (F.col("k") >= at + size - 1), _part(words, at, size)) for at, size in sizes])
     longer = (candidates.where("k >= 3").select("lang", "a", F.explode(F.filter(inner, lambda p: p.isNotNull())).alias("part"))
               .groupBy(F.col("lang").alias("lang_o"), "part").agg(F.max("a").alias("covered")))
     left_over = (best.join(longer, (F.col("lang") == F.col("lang_o")) & (F.col("phrase") == F.col("part")), "left")
-                 .where(F.expr(f"covered is null or 100 * cast(covered as decimal(20, 0)) < {cover} * cast(a as decimal(20, 0))")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = (left_over.select("lang", "phrase", "a", "s.l", "s.r", "s.score")
-              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
-    # one row a language
-    totals = table.where("k = 0").select(F.col("lang").alias("lang_n"), F.col("f").alias("n"))
-    return ranked.join(totals, F.col("lang") == F.col("lang_n")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+                 .where(uncovered(cover)))
+    totals = table.where("k = 0").select("lang", F.col("f").alias("n"))
+    return _ranked(left_over.select("lang", "phrase", "a", "s.l", "s.r", "s.score"), totals, top)
+
+
+# ------------------------------------------------------------------ the same in fingerprints
+def unmix(h: np.ndarray) -> np.ndarray:
+    """Inverse of ``mix``."""
+    with np.errstate(over="ignore"):
+        h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
+        h = h * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+        h = h ^ (h >> np.uint64(27)) ^ (h >> np.uint64(54))
+        h = h * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+        return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+
+
+def salt_of(lang: str) -> int:
+    return int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little")
+
+
+def fingerprint(words: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Fingerprints of n-grams given as rows of word hashes."""
+    k = words.shape[1]
+    with np.errstate(over="ignore"):
+        return mix((words * powers(k)[:k]).sum(1, dtype=np.uint64) + np.uint64(k)) ^ salt
+
+
+def _with_words(level: DataFrame, shorter: DataFrame, k: int, max_words: int) -> DataFrame:
+    """Frequent k-grams with the hashes of their words, and the fingerprints of the parts of their cuts and within them."""
+    joined = level.select("fp", "p", "c").join(shorter.select(F.col("fp").alias("q"), "lang", F.col("words").alias("w")), F.col("p") == F.col("q"))
+    inner = [(at, size) for size in range(2, k) for at in range(k - size + 1)]
+
+    def run(batches):
+        for b in batches:
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            names = b.column("lang").to_pylist()
+            salts = {x: salt_of(x) for x in set(names)}
+            salt = np.array([salts[x] for x in names], np.uint64)
+            w = np.array(b.column("w").to_pylist(), np.int64).reshape(len(fp), k - 1).view(np.uint64)
+            with np.errstate(over="ignore"):
+                rest = unmix(fp ^ salt) - np.uint64(k) - (w * powers(k)[:k - 1]).sum(1, dtype=np.uint64)
+                w = np.column_stack([w, rest * powers(k, BACK)[k - 1]])
+
+            def prints(spans):
+                columns = [signed(fingerprint(w[:, x:y], salt)) for x, y in spans]
+                return pa.array(np.column_stack(columns).tolist() if columns else [[]] * len(fp), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("fp"), b.column("c"), b.column("lang"), pa.array(signed(w.ravel()).reshape(w.shape).tolist(), pa.list_(pa.int64())),
+                 prints([(0, i) for i in range(1, k)]), prints([(i, k) for i in range(1, k)]),
+                 prints([(at, at + size) for at, size in inner])], ["fp", "a", "lang", "words", "firsts", "rests", "inner"])
+    schema = "fp long, a long, lang string, words array<long>, firsts array<long>, rests array<long>, inner array<long>"
+    return joined.select("fp", "c", "lang", "w").mapInArrow(run, schema)
+
+
+def _top_by_fingerprint(tables: list[DataFrame], top: int, max_words: int, cover: int) -> DataFrame:
+    """Phrases that may be among a language's ``top``: all down to the score and count of the last place."""
+    grams = [tables[0].select("fp", "lang", F.array("p").alias("words"))]
+    for k in range(2, max_words + 1):
+        grams.append(stash(_with_words(tables[k - 1], grams[-1], k, max_words)))
+    counts = tables[0].select("fp", "c")
+    for t in tables[1:-1]:
+        counts = counts.unionByName(t.select("fp", "c"))
+    candidates = grams[1].withColumn("k", F.lit(2))
+    for k, g in enumerate(grams[2:], 3):
+        candidates = candidates.unionByName(g.withColumn("k", F.lit(k)))
+    each = candidates.select("fp", "lang", "k", "a", F.posexplode(F.arrays_zip("firsts", "rests")).alias("cut", "z")).select(
+        "fp", "lang", "k", "a", (F.col("cut") + 1).alias("cut"), F.col("z.firsts").alias("first"), F.col("z.rests").alias("rest"))
+    left, right = counts.toDF("fp_l", "l"), counts.toDF("fp_r", "r")
+    scored = each.join(left, F.col("first") == F.col("fp_l")).join(right, F.col("rest") == F.col("fp_r"))
+    best = (scored.withColumn("score", cut_score()).groupBy("fp", "lang", "k", "a")
+            .agg(F.min(F.struct("score", "cut", "l", "r", "first", "rest")).alias("s")))
+    longer = candidates.where("k >= 3").select("a", F.explode("inner").alias("part")).groupBy("part").agg(F.max("a").alias("covered"))
+    alone = best.join(longer, F.col("fp") == F.col("part"), "left").where(uncovered(cover))
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    return alone.select("fp", "lang", "k", "a", "s.*").withColumn("place", F.rank().over(order)).where(F.col("place") <= top).drop("place")
+
+
+def _verified(chosen: DataFrame, found: DataFrame) -> bool:
+    """Whether every chosen phrase and part stands in the text exactly as often as its fingerprint was counted."""
+    need = (chosen.select("fp", F.col("a").alias("c")).unionByName(chosen.select(F.col("first").alias("fp"), F.col("l").alias("c")))
+            .unionByName(chosen.select(F.col("rest").alias("fp"), F.col("r").alias("c"))).distinct())
+    seen = found.groupBy(F.col("fp").alias("seen")).agg(F.sum("f").alias("f"), F.count("*").alias("phrases"))
+    wrong = need.join(seen, F.col("fp") == F.col("seen"), "left").where("f is null or f <> c or phrases > 1")
+    return wrong.isEmpty()
+
+
+def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, max_words: int = MAX_WORDS,
+                 cover: int = COVER) -> DataFrame:
+    """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``top`` phrases of 2 to ``max_words`` words.
+
+    A phrase found a >= ``min_count`` times is cut after its first 1, 2, ... words
+    into parts found l and r times; its score is the lowest ``floor(2000000 a / (l + r))``
+    of its cuts (the first of equal ones).  A phrase inside a longer one that has
+    ``cover`` hundredths of its occurrences is left out.  Ties go by a and then by the
+    phrase's bytes.  Null texts have no words, a null language is ``und``, repeated
+    rows count as often as they stand there; an empty table gives an empty table.
+    Text may be of any length: phrases never cross ``.,;:!?`` or line ends, only
+    spaces and tabs separate words.
+    """
+    own = _texts(docs)
+    tables, shared, totals = _levels(own, min_count, max_words)
+    chosen = stash(_top_by_fingerprint(tables, top, max_words, cover))
+    wanted = []
+    for k in range(1, max_words + 1):
+        some = chosen.where(F.col("k") == k).select("fp").unionByName(
+            chosen.where(F.col("cut") == k).select(F.col("first").alias("fp"))).unionByName(
+            chosen.where(F.col("k") - F.col("cut") == k).select(F.col("rest").alias("fp")))
+        wanted.append(docs.sparkSession.sparkContext.broadcast(_bitmap(some.distinct())))
+    found = stash(_materialised(own, wanted))
+    if not _verified(chosen, found):
+        return by_text(stash(count_phrases(docs, shared, totals, min_count)), top, max_words, cover)
+    named = chosen.join(found.select(F.col("fp").alias("fp_t"), "phrase"), F.col("fp") == F.col("fp_t"))
+    return _ranked(named.select("lang", "phrase", "a", "l", "r", "score"), totals, top)

@@ -55,17 +55,68 @@ def brute(rows, min_count, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits", [64, 9])
-def test_equals_brute_force_also_when_fingerprints_collide(spark, bits):
+@pytest.mark.parametrize("collided", [False, True])
+def test_equals_brute_force(spark, monkeypatch, collided):
+    """Both ways: ranked by fingerprints, and counted by the text after a count that the text does not confirm."""
+    if collided:
+        monkeypatch.setattr(co, "_verified", lambda *a: False)
     rows = some_rows()
-    got = co.mine_phrases(docs_of(spark, rows).repartition(3), min_count=8, top=25, bits=bits)
+    got = co.mine_phrases(docs_of(spark, rows).repartition(3), min_count=8, top=25)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, got.collect())) == brute(rows, 8, 25)
 
 
+def test_wrong_counts_are_noticed(spark):
+    chosen = spark.createDataFrame([(1, 5, 7, 8, 11, 12)], "fp long, a long, l long, r long, first long, rest long")
+
+    def text(*rows):
+        return spark.createDataFrame([(f, "en", p, n) for f, p, n in rows], "fp long, lang string, phrase string, f long")
+    assert co._verified(chosen, text((1, "a b", 5), (11, "a", 7), (12, "b", 8), (99, "c", 1)))
+    assert not co._verified(chosen, text((1, "a b", 4), (11, "a", 7), (12, "b", 8)))
+    assert not co._verified(chosen, text((1, "a b", 5), (11, "a", 7)))
+    assert not co._verified(chosen, text((1, "a b", 5), (11, "a", 6), (11, "z", 1), (12, "b", 8)))
+
+
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_phrases_of_one_fingerprint_are_split(bits):
+    text = "one two three one two. two one three three"
+    g = co.Grams(pa.array([text, text]), ["en", "de"], bits)
+    found = collections.Counter()
+    co.phrases(g, [np.full(1 << 10, ~np.uint64(0))] * 3, found)
+    want = collections.Counter()
+    for piece in ("one two three one two", "two one three three"):
+        w = piece.split()
+        for k in (1, 2, 3):
+            for i in range(len(w) - k + 1):
+                for lang in ("en", "de"):
+                    want[lang, k, " ".join(w[i:i + k])] += 1
+    merged = collections.Counter()
+    for (_, lang, k, phrase), c in found.items():
+        merged[lang, k, phrase] += c
+    assert merged == want
+
+
+def test_words_come_back_from_fingerprints():
+    h = np.random.default_rng(2).integers(0, 2**63, 50, dtype=np.uint64)
+    assert (co.unmix(co.mix(h)) == h).all()
+    g = co.Grams(pa.array(["alpha beta gamma delta"]), ["fr"])
+    words = g.word[None, :]
+    salt = np.array([co.salt_of("fr")], np.uint64)
+    for k in (1, 2, 3, 4):
+        assert co.fingerprint(words[:, :k], salt)[0] == g.fingerprints(k)[0]
+
+
+def test_pairs_that_share_a_fingerprint_stay_apart():
+    fp, p = np.array([5, 5, 6, 5], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    got = sorted(zip(*(x.tolist() for x in co.distinct_pairs(fp, p))))
+    assert got == [(5, 1, 2), (5, 2, 1), (6, 1, 1)]
+    again = co.distinct_pairs(*(np.array(x, np.uint64) for x in zip(*got, *got)))
+    assert sorted(zip(*(x.tolist() for x in again))) == [(5, 1, 4), (5, 2, 2), (6, 1, 2)]
+
+
 def test_small_buffers_give_the_same(spark, monkeypatch):
     rows = some_rows(60)
-    for name, value in (("SLICE", 300), ("HELD", 50), ("HELD_PHRASES", 10), ("MAX_BITS", 1 << 16)):
+    for name, value in (("SLICE", 300), ("HELD", 50), ("HELD_PHRASES", 10)):
         monkeypatch.setattr(co, name, value)
     assert sorted(map(tuple, co.mine_phrases(docs_of(spark, rows), min_count=5, top=100).collect())) == brute(rows, 5, 100)
 
@@ -96,9 +147,9 @@ def test_words_of_one_hash_are_split():
     assert [words[i] for i in ids] == ["aa", "bb", "aa", "cc", "bb"]
 
 
-def test_scores_beyond_64_bits(spark, monkeypatch):
+def test_scores_beyond_64_bits(spark):
     big = 1 << 60
-    table = [("en", 0, "", big), ("en", 1, "u", big), ("en", 1, "v", big - 1), ("en", 2, "u v", big - 2)]
-    monkeypatch.setattr(co, "count_phrases", lambda *a: spark.createDataFrame(table, "lang string, k int, phrase string, f long"))
-    row = co.mine_phrases(None).collect()[0]
-    assert (row.phrase, row.score) == ("u v", 2000000 * (big - 2) // (2 * big - 1))
+    table = spark.createDataFrame([("en", 0, "", big), ("en", 1, "u", big), ("en", 1, "v", big - 1), ("en", 2, "u v", big - 2)],
+                                  "lang string, k int, phrase string, f long")
+    row = co.by_text(table, 10, 4, 80).collect()[0]
+    assert (row.phrase, row.score, row.n) == ("u v", 2000000 * (big - 2) // (2 * big - 1), big)
