@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemscope.functions import hex_uniform, item_curve
-from itemscope.session import cut_lineage
+from itemscope.functions import item_curve
+from itemscope.session import cut_lineage, drop_table, written_table
 
 CLIP = 30.0
 LOG_EPS = 1e-10
@@ -85,23 +85,25 @@ def _solve_batch(dims: int, prior_prec: np.ndarray, prior_mean: np.ndarray, max_
             step = np.clip(step, -max_step, max_step)
             out = pdf.drop(columns=[c for c in pdf.columns if c.startswith(("g_", "h_"))])
             out["cur"] = list(cur + step)
+            out["step"] = np.abs(step).max(axis=1)
             yield out
     return run
 
 
 # ------------------------------------------------------------------ I3
 def estimate_abilities(responses: DataFrame, item_params: DataFrame, keys: list,
-                       dims: int, rounds: int = 12, prior_sd: float | None = 3.0,
-                       max_step: float = 2.0, checkpoint_every: int = 4) -> DataFrame:
+                       dims: int, rounds: int = 60, prior_sd: float | None = 3.0,
+                       max_step: float = 2.0, checkpoint_every: int = 4, tol: float = 1e-8) -> DataFrame:
     """Ability per key (e.g. split x model x cell) from its seen responses.
 
-    responses(keys..., item_id, resp).  Maximises sum x ln P + (1-x) ln(1-P)
-    from theta = 0 by Newton rounds (an optional N(0, prior_sd^2) prior keeps
-    all-right / all-wrong models finite; the unregularised source diverges
-    there).  Returns (keys..., theta ARRAY<DOUBLE>)."""
-    seen = responses.join(item_params.select("item_id", "a", "b"), "item_id") \
-                    .select(*keys, "item_id", F.col("resp").cast("double").alias("x"), "a", "b")
-    seen = seen.persist()
+    responses(keys..., item_id, resp); parameters that carry ``split_id`` are met by split.
+    Maximises sum x ln P + (1-x) ln(1-P) from theta = 0 by Newton rounds until no ability moves by
+    ``tol`` (looked at every ``checkpoint_every`` rounds; an optional N(0, prior_sd^2) prior keeps
+    all-right / all-wrong models finite; the unregularised source diverges there).
+    Returns (keys..., theta ARRAY<DOUBLE>)."""
+    on = ["item_id", *(["split_id"] if "split_id" in item_params.columns and "split_id" in responses.columns else [])]
+    seen = written_table(responses.join(item_params.select(*on, "a", "b"), on)
+                         .select(*keys, "item_id", F.col("resp").cast("double").alias("x"), "a", "b"))
     theta = seen.select(*keys).distinct().withColumn(
         "theta", F.array_repeat(F.lit(0.0), dims))
     prec = np.full(dims, 0.0 if prior_sd is None else 1.0 / prior_sd ** 2)
@@ -115,14 +117,17 @@ def estimate_abilities(responses: DataFrame, item_params: DataFrame, keys: list,
         agg = j.groupBy(*keys).agg(F.first("theta").alias("cur"),
                                    *_grad_hess_cols(dims, resid, weight,
                                                     lambda d: F.element_at("a", d + 1)))
-        schema = ", ".join([*(f"`{k}` {t}" for k, t in _types(agg, keys)), "cur array<double>"])
-        theta = agg.mapInPandas(_solve_batch(dims, prec, mean, max_step), schema) \
-                   .withColumnRenamed("cur", "theta")
-        if (r + 1) % checkpoint_every == 0:
+        schema = ", ".join([*(f"`{k}` {t}" for k, t in _types(agg, keys)), "cur array<double>", "step double"])
+        solved = agg.mapInPandas(_solve_batch(dims, prec, mean, max_step), schema)
+        theta = solved.withColumnRenamed("cur", "theta")
+        if (r + 1) % checkpoint_every == 0 or r + 1 == rounds:
             theta = cut_lineage(theta)
-    out = cut_lineage(theta)
-    seen.unpersist()
-    return out
+            largest = theta.agg(F.max("step")).first()[0]
+            if largest is None or largest < tol:
+                break
+        theta = theta.drop("step")
+    drop_table(seen)
+    return theta.drop("step")
 
 
 def _types(df: DataFrame, cols: list):
@@ -131,81 +136,18 @@ def _types(df: DataFrame, cols: list):
 
 
 # ------------------------------------------------------------------ I4
-def fit_irt(responses: DataFrame, dims: int = 1, rounds: int = 20,
-            theta_sd: float = 1.0, a_mean: float = 1.0, a_sd: float = 1.0, b_sd: float = 2.0,
-            checkpoint_every: int = 2) -> tuple[DataFrame, DataFrame]:
-    """I4: multidimensional 2PL by alternating MAP Newton steps.
-
-    responses(model_id, item_id, resp).  Items given abilities: per item a
-    (D entries) and total difficulty beta (the model sees only sum_d b_d;
-    it is spread evenly, b_d = beta / D).  Abilities given items: I3 step.
-    After each round abilities are standardised (mean 0, sd 1 per dimension)
-    to fix location and scale.  Returns (item_params, abilities)."""
-    resp = responses.select("model_id", "item_id", F.col("resp").cast("double").alias("x")).persist()
-    items = resp.select("item_id").distinct().select(
-        "item_id",
-        F.array_repeat(F.lit(1.0), dims).alias("a"),
-        F.array_repeat(F.lit(0.0), dims).alias("b"))
-    # start abilities at the standardised share of correct answers
-    frac = resp.groupBy("model_id").agg(F.avg("x").alias("f"))
-    z = (F.col("f") - F.avg("f").over(Window.partitionBy())) / \
-        F.greatest(F.stddev_pop("f").over(Window.partitionBy()), F.lit(1e-6))
-    # dimension 0 starts at the standardised share; further dimensions get a
-    # repeatable md5 perturbation so the dimensions are not born identical
-    starts = [z] + [z + (hex_uniform(F.col("model_id"), F.lit(d)) - F.lit(0.5)) for d in range(1, dims)]
-    abil = frac.select("model_id", F.array(*starts).alias("theta"))
-    prior_prec = np.array([1.0 / a_sd ** 2] * dims + [1.0 / b_sd ** 2])
-    prior_mean = np.array([a_mean] * dims + [0.0])
-    for r in range(rounds):
-        # ---- item step: parameters v = (a_1..a_D, beta); z = a.theta - beta
-        j = resp.join(items, "item_id").join(abil, "model_id")
-        j = j.withColumn("p", item_curve("theta", "a", "b"))
-        resid = F.col("x") - F.col("p")
-        weight = F.col("p") * (F.lit(1.0) - F.col("p"))
+def fit_irt(responses: DataFrame, dims: int = 1, rounds: int = 200, tol: float = 1e-2,
+            theta_sd: float = 1.0, a_mean: float = 1.0, a_sd: float = 1.0,
+            b_sd: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """I4: multidimensional 2PL by alternating MAP Newton steps, until no parameter moves by ``tol``.
 
-        def vec(d):
-            return F.element_at("theta", d + 1) if d < dims else F.lit(-1.0)
-        agg = j.groupBy("item_id").agg(
-            F.first(F.concat("a", F.array(sum_b(dims)))).alias("cur"),
-            *_grad_hess_cols(dims + 1, resid, weight, vec))
-        upd = agg.mapInPandas(_solve_batch(dims + 1, prior_prec, prior_mean, 1.0),
-                              "item_id bigint, cur array<double>")
-        items = upd.select(
-            "item_id",
-            F.slice("cur", 1, dims).alias("a"),
-            F.array_repeat(F.element_at("cur", dims + 1) / dims, dims).alias("b"))
-        # ---- ability step
-        j = resp.join(items, "item_id").join(abil, "model_id")
-        j = j.withColumn("p", item_curve("theta", "a", "b"))
-        resid = F.col("x") - F.col("p")
-        weight = F.col("p") * (F.lit(1.0) - F.col("p"))
-        agg = j.groupBy("model_id").agg(
-            F.first("theta").alias("cur"),
-            *_grad_hess_cols(dims, resid, weight, lambda d: F.element_at("a", d + 1)))
-        upd = agg.mapInPandas(_solve_batch(dims, np.full(dims, 1.0 / theta_sd ** 2),
-                                           np.zeros(dims), 1.0),
-                              "model_id " + _types(agg, ["model_id"])[0][1] + ", cur array<double>")
-        abil = _standardise(upd.withColumnRenamed("cur", "theta"), dims)
-        if (r + 1) % checkpoint_every == 0:
-            items = cut_lineage(items)
-            abil = cut_lineage(abil)
-    items, abil = cut_lineage(items), cut_lineage(abil)
-    items, abil = _orient(items, abil, dims)
-    resp.unpersist()
-    return items, abil
-
-
-def sum_b(dims: int):
-    return F.aggregate("b", F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _standardise(abil: DataFrame, dims: int) -> DataFrame:
-    w = Window.partitionBy()
-    cols = []
-    for d in range(dims):
-        v = F.element_at("theta", d + 1)
-        cols.append((v - F.avg(v).over(w)) / F.greatest(F.stddev_pop(v).over(w), F.lit(1e-6)))
-    return abil.select("model_id", F.array(*cols).alias("theta"))
+    responses(split_id?, model_id, item_id, resp).  The model sees only sum_d b_d, which is spread
+    evenly.  Returns (item_params, abilities), oriented so that every dimension's mean
+    discrimination is positive.  ``irt_fit.fit_grid`` fits several dimensions in the same rounds."""
+    from itemscope.operators.irt_fit import fit_grid
+
+    items, abilities = fit_grid(responses, [dims], rounds, tol, theta_sd, a_mean, a_sd, b_sd)
+    return items.drop("dims"), abilities.drop("dims")
 
 
 def _orient(items: DataFrame, abil: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
@@ -229,24 +171,28 @@ def validation_error(val_scores: DataFrame, unseen: DataFrame, items: DataFrame,
     |mean(bal_w * P on unseen) - mean(score on unseen)|  (quirk Q5: the true
     mean is unweighted unless weighted_truth=True).
 
-    val_scores(model_id, item_id, score); unseen(item_id); abilities(model_id, theta)."""
+    val_scores(model_id, item_id, score); unseen(item_id); abilities(model_id, theta).  Parameters
+    and abilities that also carry ``split_id`` or ``dims`` give one set of errors for each."""
+    more = [k for k in ("split_id", "dims") if k in item_params.columns]
     it = items.select("item_id", "scenario", "bal_w").join(unseen.select("item_id"), "item_id") \
-              .join(item_params.select("item_id", "a", "b"), "item_id")
-    j = val_scores.select("model_id", "item_id", "score").join(it, "item_id") \
-                  .join(F.broadcast(abilities.select("model_id", "theta")), "model_id")
+              .join(item_params.select(*more, "item_id", "a", "b"), "item_id")
+    sk = [k for k in ("split_id",) if k in more and k in val_scores.columns]
+    j = val_scores.select(*sk, "model_id", "item_id", "score").join(it, [*sk, "item_id"]) \
+                  .join(abilities.select(*more, "model_id", "theta"), [*more, "model_id"])
     p = item_curve("theta", "a", "b")
     truth = F.col("bal_w") * F.col("score") if weighted_truth else F.col("score")
-    per = j.groupBy("model_id", "scenario").agg(
+    per = j.groupBy(*more, "model_id", "scenario").agg(
         F.avg(F.col("bal_w") * p).alias("pred"), F.avg(truth).alias("true"))
-    return per.groupBy("scenario").agg(F.avg(F.abs(F.col("pred") - F.col("true"))).alias("b"))
+    return per.groupBy(*more, "scenario").agg(F.avg(F.abs(F.col("pred") - F.col("true"))).alias("b"))
 
 
 def choose_dims(errors: DataFrame, tol: float = 0.0025) -> DataFrame:
     """The simplest D whose mean validation error is within tol of the best.
 
-    errors(dims, scenario, b) -> one row (dims, err)."""
-    per = errors.groupBy("dims").agg(F.avg("b").alias("err"))
-    # one row per candidate D (a handful): a global window is fine here
-    per = per.withColumn("best", F.min("err").over(Window.partitionBy()))
-    chosen = per.filter(F.col("err") - F.col("best") < tol).agg(F.min("dims").alias("dims"))
-    return chosen.join(per.drop("best"), "dims")
+    errors(split_id?, dims, scenario, b) -> one row (split_id?, dims, err) a split."""
+    sk = ["split_id"] if "split_id" in errors.columns else []
+    per = errors.groupBy(*sk, "dims").agg(F.avg("b").alias("err"))
+    # one row per candidate D (a handful): a window over them is fine here
+    per = per.withColumn("best", F.min("err").over(Window.partitionBy(*sk)))
+    chosen = per.filter(F.col("err") - F.col("best") < tol).groupBy(*sk).agg(F.min("dims").alias("dims"))
+    return chosen.join(per.drop("best"), [*sk, "dims"])

@@ -32,6 +32,7 @@ from itemscope.session import checkpoint_dir, drop_table, written_table
 
 ABILITY_BYTES = 256 << 20
 MODEL_BLOCK = 256
+ANSWERS_PER_BUCKET = 1_000_000
 #: Answers (items x models) that numpy handles at once.
 CHUNK = 1 << 20
 MAX_STEP = 1.0
@@ -57,8 +58,8 @@ class Bucketed:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(answers: int) -> int:
+    return max(1, min(50_000, -(-answers // ANSWERS_PER_BUCKET)))
 
 
 def _with_split(df: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def fit_grid(responses: DataFrame, dims, rounds: int = 200, tol: float = 1e-3, t
     resp = written_table(_with_split(responses).select("split_id", "model_id", "item_id", F.col("resp").cast("double").alias("x")))
     models = written_table(model_index(resp))
     _check(models.count(), dims)
-    buckets = _buckets(spark)
+    buckets = _buckets(resp.count())
     rows = Bucketed(by_item(resp, models), buckets)
     thetas = _first_thetas(resp, models, dims)
     drop_table(resp)

@@ -90,6 +90,76 @@ def disagreement(probs: DataFrame, kind: str = "pds", variants: DataFrame | None
     raise ValueError(f"Disagreement type {kind} not supported")
 
 
+#: Aggregates of one pass (variants x answers); more variants are scored in further passes.
+COLUMNS_PER_PASS = 512
+#: A table of model memberships is sent to all tasks only up to this many rows.
+MEMBER_ROWS = 2_000_000
+
+
+def variant_scores(probs: DataFrame, members: DataFrame, kind: str = "pds", col: str = "probs",
+                   width: int | None = None, eps: float = EPS_JSD) -> DataFrame:
+    """PDS or JSD of every item for every (split, variant) of ``members`` from one scan of ``probs``.
+
+    probs(model_id, item_id, probs); members(split_id?, variant, model_id).  A model carries a bit for
+    every set it belongs to, and the aggregate of an item holds a maximum (or sums) per set and answer:
+    responses are neither repeated per split or variant nor exploded per answer, and one exchange by
+    item adds the partial aggregates up.  ``width`` (answers per item) is read from the data when not
+    given.  A set without answers to an item gives no row.  -> (split_id?, variant, item_id, score)"""
+    if kind not in ("pds", "jsd"):
+        raise ValueError(f"Disagreement type {kind} not supported")
+    keys = [k for k in ("split_id", "variant") if k in members.columns]
+    sets = [tuple(r) for r in members.select(*keys).distinct().orderBy(*keys).collect()]   # a key list
+    if width is None:
+        width = probs.agg(F.max(F.size(col))).first()[0] or 0
+    step = max(1, min(62, COLUMNS_PER_PASS // max(1, width + 2)))
+    out = None
+    for lo in range(0, max(len(sets), 1), step):
+        part = _scored_sets(probs, members, keys, sets[lo:lo + step], kind, col, width, eps)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scored_sets(probs, members, keys, sets, kind, col, width, eps) -> DataFrame:
+    spark = probs.sparkSession
+    numbered = [(*s, i) for i, s in enumerate(sets)]
+    types = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+    table = spark.createDataFrame(numbered, ", ".join([*(f"{k} {types[k]}" for k in keys), "bit int"]))
+    bits = members.join(F.broadcast(table), keys).select("model_id", "bit").distinct().groupBy("model_id").agg(
+        F.sum(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("_in"))
+    if bits.limit(MEMBER_ROWS + 1).count() <= MEMBER_ROWS:
+        bits = F.broadcast(bits)
+    df = probs.select("model_id", "item_id", col).join(bits, "model_id")
+    if kind == "jsd":
+        df = df.withColumn("_p", normalise(F.transform(col, lambda v: F.greatest(v, F.lit(eps)))))
+        df = df.withColumn("_plogp", sum_array(F.transform("_p", lambda v: v * F.log(v))))
+    else:
+        df = df.withColumnRenamed(col, "_p")
+    aggs = []
+    for i in range(len(sets)):
+        inside = F.col("_in").bitwiseAND(F.lit(1 << i)) != 0
+        aggs.append(F.count(F.when(inside, 1)).alias(f"n{i}"))
+        for c in range(width):
+            value = F.when(inside, F.get("_p", F.lit(c)))
+            aggs.append((F.max(value) if kind == "pds" else F.sum(value)).alias(f"v{i}_{c}"))
+        if kind == "jsd":
+            aggs.append(F.sum(F.when(inside, F.col("_plogp"))).alias(f"l{i}"))
+    per = df.groupBy("item_id").agg(*aggs)
+    cells = []
+    for i, s in enumerate(sets):
+        n, values = F.col(f"n{i}"), [F.col(f"v{i}_{c}") for c in range(width)]
+        if kind == "pds":
+            score = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+        else:
+            m = F.array(*[F.coalesce(v, F.lit(0.0)) / n for v in values])
+            m = F.filter(m, lambda x: x > 0)
+            clamped = F.transform(m, lambda x: F.greatest(x, F.lit(eps)))
+            score = (F.col(f"l{i}") / n - sum_array(F.transform(m, lambda x: x * F.log(F.greatest(x, F.lit(eps)))))
+                     + sum_array(m) * F.log(sum_array(clamped)))
+        cells.append(F.when(n > 0, F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, s)], score.alias("score"))))
+    each = per.select("item_id", F.explode(F.array(*cells)).alias("s")).where("s is not null")
+    return each.select(*[f"s.{k}" for k in keys], "item_id", "s.score")
+
+
 def guiding_models(train_models: DataFrame, n_guiding: int | None, seed: int = 0,
                    variant: str | None = None) -> DataFrame:
     """G guiding models drawn without replacement, md5-ordered by (seed, variant, model).

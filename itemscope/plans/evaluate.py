@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemscope.operators import estimate, select, stats
+from itemscope.operators import anchors, estimate, irt, regress, select, stats
 from itemscope.plans.context import GRID, ITERS, EvalContext
-from itemscope.session import cut_lineage
+from itemscope.plans.irt import DIMS, IrtStage, irt_stage
+from itemscope.session import cut_lineage, written_table
 
 SAMPLINGS = ("random", "high-disagreement", "low-disagreement",
              "high-disagreement@10+nonstratified")
@@ -24,13 +25,27 @@ def disagreement_variants(ctx: EvalContext, guiding=(None, 10), kind: str = "pds
     """One score set per distinct guiding-model key, per split."""
     train_models = ctx.role("train").select("split_id", "model_id")
     variants = stats.variant_table(train_models, list(guiding), seed)
-    return stats.disagreement(ctx.train(ctx.probs), kind, variants=variants,
-                              keys=("split_id", "item_id"))
+    return stats.variant_scores(ctx.probs, variants, kind)
+
+
+def anchor_selections(ctx: EvalContext, sampling: str, grid, iters: int, item_params: DataFrame | None = None) -> DataFrame:
+    """L8-L10 for both splits: anchors in the space of the train models' scores (``anchor``) or of
+    the split's fitted item parameters (``anchor-irt``)."""
+    if sampling == "anchor":
+        features = anchors.score_features(ctx.train(ctx.scores), ctx.role("train"))
+    else:
+        if item_params is None:
+            item_params = irt_stage(ctx, grid).items
+        features = anchors.irt_features(item_params)
+    return anchors.kmeans_anchors(features, ctx.items, grid, iters=iters, sampling=sampling)
 
 
 def run_selections(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID, iters: int = ITERS,
-                   kind: str = "pds", seed: int = 0) -> DataFrame:
-    """Every requested sampling x n_items x iteration, one table."""
+                   kind: str = "pds", seed: int = 0, item_params: DataFrame | None = None) -> DataFrame:
+    """Every requested sampling x n_items x iteration, one table.
+
+    ``item_params(split_id, item_id, a, b)`` are needed by ``anchor-irt`` only and fitted on the
+    run's own responses when not given."""
     parts = []
     guiding = set()
     for s in samplings:
@@ -47,8 +62,11 @@ def run_selections(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID, iters: int
             parts.append(select.select_random(ctx.items, grid, iters,
                                               split_ids=["iid", "noniid"], seed=seed))
             continue
+        if s in ("anchor", "anchor-irt"):
+            parts.append(anchor_selections(ctx, s, grid, iters, item_params))
+            continue
         if "disagreement" not in s:
-            raise NotImplementedError(s)
+            raise ValueError(f"unknown sampling {s!r}")
         high = s.startswith("high")
         strat = not s.endswith("+nonstratified")
         var = "all" if "@" not in s else "@" + s.split("@")[1].split("+")[0]
@@ -81,6 +99,76 @@ def fixture_estimates(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID,
     return cut_lineage(est) if ctx.materialize else est
 
 
+#: The reference's default samplings and both ends of the disagreement ranking.
+FULL_SAMPLINGS = ("random", "anchor", "anchor-irt", "high-disagreement", "low-disagreement")
+FULL_FITS = {"LinearRegression": ("ols", 0.0), "Ridge_10": ("ridge", 10.0), "Lasso_e-4": ("lasso", 1e-4)}
+
+
+def full_selections(ctx: EvalContext, samplings=FULL_SAMPLINGS, grid=GRID, iters: int = ITERS,
+                    dims=DIMS) -> tuple[IrtStage, DataFrame]:
+    """The IRT stage of the run and the selections of all its samplings."""
+    stage = irt_stage(ctx, grid, dims)
+    return stage, written_table(run_selections(ctx, samplings, grid, iters, item_params=stage.items))
+
+
+def irt_estimates(ctx: EvalContext, stage: IrtStage, selections: DataFrame, naive_est: DataFrame) -> DataFrame:
+    """A5-A7 on the run's own responses: abilities from the seen items' binarised answers (I3),
+    then pirt, cirt and gpirt."""
+    keys = ["split_id", "model_id", *estimate.CELL]
+    cells = selections.select("split_id", *estimate.CELL, "item_id").distinct()
+    seen = stage.test.join(cells, ["split_id", "item_id"]).select(*keys, "item_id", "resp")
+    wanted = stage.chosen.select("split_id", "dims").collect()      # one row a split
+    out = None
+    for d in sorted({r.dims for r in wanted}):
+        splits = [r.split_id for r in wanted if r.dims == d]
+        mine = lambda df: df.where(F.col("split_id").isin(splits))
+        abilities = irt.estimate_abilities(mine(seen), mine(stage.items), keys, d)
+        args = mine(ctx.test(ctx.scores)), mine(selections), ctx.items, mine(stage.items), abilities
+        pirt = written_table(estimate.pirt(*args))
+        cirt = estimate.pirt(*args, thresh=0.5)
+        part = estimate.estimator_union(pirt, cirt, estimate.gpirt(mine(naive_est), pirt, mine(stage.lambdas)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def full_estimates(ctx: EvalContext, samplings=FULL_SAMPLINGS, grid=GRID, iters: int = ITERS, dims=DIMS,
+                   fits=FULL_FITS, components: int = 16) -> DataFrame:
+    """One table with every estimator: naive, KNN, pirt, cirt, gpirt, the regressors on
+    signatures of ``components`` principal components, and both constants."""
+    stage, sel = full_selections(ctx, samplings, grid, iters, dims)
+    naive = written_table(estimate.naive(ctx.test(ctx.scores), sel))
+    logits = ctx.predictions.select("model_id", "item_id", "logits")
+    sig_test = written_table(estimate.signatures(ctx.test(logits), sel, softmax=True, col="logits"))
+    sig_train = written_table(estimate.signatures(ctx.train(logits), sel, softmax=True, col="logits"))
+    train_truth, test_truth = ctx.truth("train"), ctx.truth("test")
+    parts = [naive, estimate.knn(sig_test, sig_train, train_truth), irt_estimates(ctx, stage, sel, naive)]
+    if fits:
+        dedup = written_table(estimate.dedupe_cells(sel))
+        rep = regress.representative_cells(dedup)
+        reduced = regress.pca_signatures(*(s.join(rep, regress.CELL, "left_semi") for s in (sig_train, sig_test)), components)
+        reduced = written_table(reduced)
+        fitted, _ = regress.linear_estimates(*(reduced.where(F.col("role") == r).drop("role") for r in ("train", "test")),
+                                             train_truth, fits)
+        parts.append(regress.expand_to_cells(fitted, dedup))
+    parts.append(estimate.expand_constant(estimate.perfect_knn(test_truth, train_truth), sel, "perfect_knn"))
+    parts.append(estimate.expand_constant(estimate.mean_train_score_est(ctx.train(ctx.scores), test_truth), sel, "mean_train_score"))
+    return written_table(estimate.estimator_union(*parts))
+
+
+def full_tables(ctx: EvalContext, estimates: DataFrame, candidates=tuple(FULL_FITS), n_items: int = max(GRID)) -> DataFrame:
+    """R6, R8, R11 on real predictors: best sampling per group, the best regressor of a row as
+    ``fit``, and the main table's eight rows for both splits."""
+    from itemscope.operators import tables
+
+    mae, rank = summaries(ctx, estimates)
+
+    def best(long, lower):
+        per_group = tables.best_per_group(long, "pds_type", lower)
+        return tables.rowwise_best(per_group, per_group, list(candidates), lower, keep_candidates=True)
+    return tables.main_table(best(tables.summary_long(mae, "mae"), True), best(tables.summary_long(rank, "rank_corr"), False),
+                             ["iid", "noniid"], n_items)
+
+
 def summaries(ctx: EvalContext, estimates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Leaderboard MAE (mae, spread) and Spearman (rank_corr) per method cell."""
     from itemscope.operators import metrics

@@ -28,8 +28,12 @@ def _ctx(spark: SparkSession, sf_dir: str) -> EvalContext:
     return EvalContext(spark, sf_dir)
 
 
+def _train_sets(ctx: EvalContext) -> DataFrame:
+    return stats.variant_table(ctx.role("train"), [None])
+
+
 def pds_by_split(ctx: EvalContext) -> DataFrame:
-    return stats.disagreement(ctx.train(ctx.probs), "pds", keys=("split_id", "item_id"))
+    return stats.variant_scores(ctx.probs, _train_sets(ctx)).drop("variant")
 
 
 # ------------------------------------------------------------ flagship
@@ -81,7 +85,7 @@ def q_pds(spark, sf_dir):
 @query("jsd_scores")
 def q_jsd(spark, sf_dir):
     ctx = _ctx(spark, sf_dir)
-    d = stats.disagreement(ctx.train(ctx.probs), "jsd", keys=("split_id", "item_id"))
+    d = stats.variant_scores(ctx.probs, _train_sets(ctx), "jsd")
     return d.select("split_id", "item_id", r6("score").alias("jsd"))
 
 
@@ -651,7 +655,7 @@ def q_irt_fit(spark, sf_dir):
     """I4: D=1 2PL fitted by alternating MAP on the planted responses."""
     from itemscope.operators import irt
     _, resp, _, _ = _f5_world(spark, sf_dir)
-    items, _ = irt.fit_irt(resp.select("model_id", "item_id", "resp"), dims=1, rounds=10)
+    items, _ = irt.fit_irt(resp.select("model_id", "item_id", "resp"), dims=1, tol=1e-3)
     return items.select("item_id", r6(F.element_at("a", 1)).alias("a"), r6(F.element_at("b", 1)).alias("b"))
 
 
@@ -703,25 +707,50 @@ def q_gpirt(spark, sf_dir):
 
 @query("irt_dims_choice")
 def q_dims(spark, sf_dir):
-    """Validation error for D in {1, 2} fitted on non-validation planted
+    """Validation error of every candidate D fitted on non-validation planted
     models; the simplest D within 0.0025 of the best."""
     from itemscope.operators import irt
+    from itemscope.plans.irt import dimension_errors
     ctx, resp, _, _ = _f5_world(spark, sf_dir)
-    fit_resp = resp.filter(F.col("model_id") % 5 != 0).select("model_id", "item_id", "resp")
-    val = resp.filter(F.col("model_id") % 5 == 0)
-    even = ctx.items.filter(F.col("item_pos") % 2 == 0).select("item_id")
-    odd = ctx.items.filter(F.col("item_pos") % 2 == 1).select("item_id")
-    errs = None
-    for d in (1, 2):
-        items_p, _ = irt.fit_irt(fit_resp, dims=d, rounds=6)
-        th = irt.estimate_abilities(val.join(even, "item_id").select("model_id", "item_id", "resp"),
-                                    items_p, ["model_id"], d, rounds=6)
-        e = irt.validation_error(val.select("model_id", "item_id", F.col("resp").cast("double").alias("score")),
-                                 odd, ctx.items, items_p, th).withColumn("dims", F.lit(d))
-        errs = e if errs is None else errs.unionByName(e)
+    held_out = resp.select("model_id").distinct().filter(F.col("model_id") % 5 == 0)
+    errs = dimension_errors(resp.select("model_id", "item_id", "resp"), held_out, ctx.items)
     return irt.choose_dims(errs).select("dims", r6("err").alias("err"))
 
 
+@query("irt_stage_dims")
+def q_stage_dims(spark, sf_dir):
+    """T3, T4, I4, I3, I6 on the run's own responses: the error of every candidate D, per split."""
+    from itemscope.plans.irt import binary_responses, dimension_errors, validation_models
+    from itemscope.session import written_table
+    ctx = _ctx(spark, sf_dir)
+    t = written_table(stats.threshold_search(ctx.train(ctx.soft_scores)))
+    errs = dimension_errors(binary_responses(ctx, "train", t), validation_models(ctx), ctx.items)
+    return errs.select("split_id", F.col("dims").cast("int").alias("dims"), "scenario", r6("b").alias("b"))
+
+
+@query("anchor_selections")
+def q_anchor_selections(spark, sf_dir):
+    """L17 with L8-L10: correctness and IRT anchors of both splits, every size and iteration."""
+    from itemscope.plans.evaluate import full_selections
+    _, sel = full_selections(_ctx(spark, sf_dir), ("anchor", "anchor-irt"))
+    return _sel_out(sel)
+
+
+@query("full_estimates")
+def q_full_estimates(spark, sf_dir):
+    """Every estimator over the reference's default samplings, in one table."""
+    from itemscope.plans.evaluate import full_estimates
+    return full_estimates(_ctx(spark, sf_dir)).select(*EST_COLS, r6("acc_hat").alias("acc_hat"))
+
+
+@query("full_main_table")
+def q_full_main_table(spark, sf_dir):
+    """R8, R11 on real predictors: all eight rows filled."""
+    from itemscope.plans.evaluate import full_estimates, full_tables
+    ctx = _ctx(spark, sf_dir)
+    return full_tables(ctx, full_estimates(ctx))
+
+
 # ------------------------------------------------------------ MLlib: anchors, PCA, regressors
 FIT_SAMPLINGS = ("random", "high-disagreement")
 
