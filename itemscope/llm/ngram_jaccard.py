@@ -224,9 +224,11 @@ def _compared(batches):
 
 def _whole_sets(docs: DataFrame, feats: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Whole shingle sets of the classes in ``nodes``, each from the text of one row."""
-    one = feats.where("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"))
-    texts = clean_names(docs, ["doc_id", "text"]).join(one, "doc_id").select("node", "text")
+    one = feats.join(nodes, "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")).alias("m")).select(
+            "node", F.col("m.doc_id").alias("d"), F.col("m.text_id").alias("t"))
+    texts = clean_names(docs, ["doc_id", "text"]).join(
+        one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))).select("node", "text")
     return stash(texts.mapInArrow(_sets_checked(k), "node bigint, items binary"))
 
 
@@ -270,9 +272,9 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     ``component_id`` is the smallest doc_id reachable over links.  A null or
     empty text, or one without words, has n_shingles 0 and its own doc_id.
     Repeated rows and equal texts share a class.  A row whose doc_id is null
-    gets its component's smallest doc_id (null if there is none); classes that
-    only such rows hold take part as equal sets only.  An empty table gives an
-    empty table; columns other than doc_id and text are ignored.
+    gets its component's smallest doc_id (null if there is none) and links like
+    any other row.  An empty table gives an empty table; columns other than doc_id
+    and text are ignored.
     """
     feats, entries = _prepare(docs, k, percent)
     lead = entries.groupBy("key").agg(F.max(F.struct("score", "node", "n", "bits")).alias("l")).select(
