@@ -78,10 +78,13 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
     A rule ``(action, host, path)`` fits its host and all subdomains if the path
     starts with its path.  Longest rule text wins; of equal rules, allow wins.
+    Only suffixes with at most as many labels as the longest rule host are looked up.
     """
+    labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)),
-                           lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    last = F.slice(parts, F.greatest(F.lit(1), F.size(parts) - (labels - 1)), F.lit(labels))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(last)),
+                           lambda i: F.array_join(F.slice(last, i, F.size(last)), "."))
     r = rules.select("action", F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
     return (urls.select("host", "path").where("host <> ''").distinct()
             .withColumn("suffix", F.explode(suffixes))
