@@ -256,7 +256,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, together:
     anchors = stash(keyed.where(F.octet_length("text") >= length)
                     .mapInArrow(_anchors(length), "rid bigint, h bigint, at bigint, lo bigint, hi bigint")
                     .select("rid", "h", F.col("at").cast("int"), F.col("lo").cast("int"), F.col("hi").cast("int")))
-    often = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    # written, so that the join deals both sides out by itself and Spark can split a frequent anchor
+    often = stash(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
     found = stash(anchors.join(often, "h").groupBy("rid").agg(
         F.collect_set(F.when(F.col("c") <= hot, F.struct("h", "at", "lo", "hi"))).alias("cool"),
         F.collect_set(F.when(F.col("c") > hot, F.struct("h", "at", "lo", "hi"))).alias("warm")))
