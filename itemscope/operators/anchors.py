@@ -2,7 +2,8 @@
 
 Each item is a point whose coordinates are the train models' scores on it
 (L8) or its IRT parameters [a; b] (L10), weighted by its normalised balance
-weight.  A *cell* is one fit: (split, scenario, n_items, iteration, restart).
+weight.  A *cell* is one fit: (split and feature space, scenario, n_items,
+iteration, restart).
 All cells of all scenarios are fitted together:
 
 * items are packed into blocks of at most ``BLOCK_ITEMS`` points of one
@@ -41,7 +42,10 @@ from itemscope.session import drop_table, written_table
 BLOCK_ITEMS = 2048
 WAVE_BYTES = 32 << 20
 MAX_ROUNDS = 300
+#: Parts of a cell that one task adds up.
+FAN_IN = 64
 CELL = ["split_id", "scenario", "n_items", "iter", "restart"]
+SPACE = "\x1f"
 
 
 def score_features(train_scores: DataFrame, models: DataFrame) -> DataFrame:
@@ -110,10 +114,10 @@ def _reassign(x: np.ndarray, centres: np.ndarray, state: dict | None, shift: np.
 
 # ------------------------------------------------------------------ the plan
 def _points(features: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per point: split_id ('' when the features have none), scenario, item, weight, vec."""
+    """One row per point: split_id (with the feature space behind it, '' when there is neither), scenario,
+    item, weight, vec."""
     it = items.select("item_id", "item_pos", "scenario", "bal_w").join(features, "item_id")
-    if "split_id" not in features.columns:
-        it = it.withColumn("split_id", F.lit(""))
+    it = it.withColumn("split_id", F.concat_ws(SPACE, *[c for c in ("split_id", "sampling") if c in features.columns]))
     tot = items.groupBy("scenario").agg(F.sum("bal_w").alias("_tot"))   # one row per scenario
     return it.join(F.broadcast(tot), "scenario").select(
         "split_id", "scenario", "item_id", "item_pos", (F.col("bal_w") / F.col("_tot")).alias("nbw"), "vec")
@@ -189,10 +193,11 @@ def _added(parts: DataFrame) -> dict:
         far = max((g["far"] for g in got), key=lambda f: f[-1])
         return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "sums": [_pack(s=sum(g["s"] for g in got), far=far)],
                              "moved": [pdf["moved"].sum()]})
-    # two steps, so that the parts of a cell are added in several tasks first
-    step = F.abs(F.hash("sums")) % 16
-    some = parts.withColumn("g", step).groupBy("cell", "g").applyInPandas(lambda pdf: add(pdf.drop(columns="g")), PART_SCHEMA)
-    rows = some.groupBy("cell").applyInPandas(add, PART_SCHEMA).collect()
+    if parts.rdd.getNumPartitions() > FAN_IN:  # one part a task and cell: many are added in two steps
+        step = F.abs(F.hash("sums")) % FAN_IN
+        parts = parts.withColumn("g", step).groupBy("cell", "g").applyInPandas(
+            lambda pdf: add(pdf.drop(columns="g")), PART_SCHEMA)
+    rows = parts.groupBy("cell").applyInPandas(add, PART_SCHEMA).collect()
     return {r.cell: (_unpack(r.sums), r.moved) for r in rows}
 
 
@@ -283,7 +288,8 @@ def kmeans_anchors(features: DataFrame, items: DataFrame, n_items_grid, iters: i
     """L8/L9 (L10 with IRT features): selections
     (split_id?, sampling, n_items, iter, scenario, item_id, item_pos, weight).
 
-    ``features(split_id?, item_id, vec)``.  A cell that asks for at least as many
+    ``features(split_id?, sampling?, item_id, vec)``: rows that carry ``sampling`` belong to that feature
+    space, and all spaces are fitted in the same rounds.  A cell that asks for at least as many
     items as its scenario has gets them all with their own weights.  Two clusters
     with the same nearest item keep it twice, each with its own weight."""
     spark = items.sparkSession
@@ -292,8 +298,11 @@ def kmeans_anchors(features: DataFrame, items: DataFrame, n_items_grid, iters: i
     grid = [int(n) for n in dict.fromkeys(n_items_grid)]
     whole = [(*g, n, i) for g in sizes for n in grid if n >= sizes[g] for i in range(iters)]
     cells = [(*g, n, i, t) for g in sorted(sizes) for n in grid if n < sizes[g] for i in range(iters) for t in range(restarts)]
-    keys = ["split_id"] if "split_id" in features.columns else []
-    out_cols = [*keys, F.lit(sampling).alias("sampling"), "n_items", "iter", "scenario", "item_id", "item_pos", "weight"]
+    parts_of = F.split("split_id", SPACE)
+    spaces = "sampling" in features.columns
+    keys = [F.element_at(parts_of, 1).alias("split_id")] if "split_id" in features.columns else []
+    name = F.element_at(parts_of, -1) if spaces else F.lit(sampling)
+    out_cols = [*keys, name.alias("sampling"), "n_items", "iter", "scenario", "item_id", "item_pos", "weight"]
     parts = []
     if whole:
         every = spark.createDataFrame(whole, "split_id string, scenario string, n_items int, iter int")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from itemscope.operators import anchors, estimate, irt, regress, select, stats
 from itemscope.plans.context import GRID, ITERS, EvalContext
 from itemscope.plans.irt import DIMS, IrtStage, irt_stage
-from itemscope.session import cut_lineage, written_table
+from itemscope.session import checkpoint_dir, cut_lineage, written_table
+from itemscope.sources.io import cached_stage
 
 SAMPLINGS = ("random", "high-disagreement", "low-disagreement",
              "high-disagreement@10+nonstratified")
@@ -28,16 +29,23 @@ def disagreement_variants(ctx: EvalContext, guiding=(None, 10), kind: str = "pds
     return stats.variant_scores(ctx.probs, variants, kind)
 
 
-def anchor_selections(ctx: EvalContext, sampling: str, grid, iters: int, item_params: DataFrame | None = None) -> DataFrame:
-    """L8-L10 for both splits: anchors in the space of the train models' scores (``anchor``) or of
-    the split's fitted item parameters (``anchor-irt``)."""
-    if sampling == "anchor":
-        features = anchors.score_features(ctx.train(ctx.scores), ctx.role("train"))
-    else:
+ANCHORS = ("anchor", "anchor-irt")
+
+
+def anchor_selections(ctx: EvalContext, samplings, grid, iters: int, item_params: DataFrame | None = None) -> DataFrame:
+    """L8-L10 for both splits and all sizes in the same k-means rounds: anchors in the space of the train
+    models' scores (``anchor``) and of the split's fitted item parameters (``anchor-irt``)."""
+    features = []
+    if "anchor" in samplings:
+        features.append(anchors.score_features(ctx.train(ctx.scores), ctx.role("train")).withColumn("sampling", F.lit("anchor")))
+    if "anchor-irt" in samplings:
         if item_params is None:
             item_params = irt_stage(ctx, grid).items
-        features = anchors.irt_features(item_params)
-    return anchors.kmeans_anchors(features, ctx.items, grid, iters=iters, sampling=sampling)
+        features.append(anchors.irt_features(item_params).withColumn("sampling", F.lit("anchor-irt")))
+    both = features[0]
+    for f in features[1:]:
+        both = both.unionByName(f)
+    return anchors.kmeans_anchors(both, ctx.items, grid, iters=iters)
 
 
 def run_selections(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID, iters: int = ITERS,
@@ -57,14 +65,16 @@ def run_selections(ctx: EvalContext, samplings=SAMPLINGS, grid=GRID, iters: int
         if ctx.materialize:
             # one row per item x variant x split, read by several selections
             dis = cut_lineage(dis)
+    clustered = [s for s in samplings if s in ANCHORS]
+    if clustered:
+        parts.append(anchor_selections(ctx, clustered, grid, iters, item_params))
     for s in samplings:
+        if s in ANCHORS:
+            continue
         if s == "random":
             parts.append(select.select_random(ctx.items, grid, iters,
                                               split_ids=["iid", "noniid"], seed=seed))
             continue
-        if s in ("anchor", "anchor-irt"):
-            parts.append(anchor_selections(ctx, s, grid, iters, item_params))
-            continue
         if "disagreement" not in s:
             raise ValueError(f"unknown sampling {s!r}")
         high = s.startswith("high")
@@ -108,7 +118,11 @@ def full_selections(ctx: EvalContext, samplings=FULL_SAMPLINGS, grid=GRID, iters
                     dims=DIMS) -> tuple[IrtStage, DataFrame]:
     """The IRT stage of the run and the selections of all its samplings."""
     stage = irt_stage(ctx, grid, dims)
-    return stage, written_table(run_selections(ctx, samplings, grid, iters, item_params=stage.items))
+    # what a session has already built for this input is read again (C4)
+    root = f"{checkpoint_dir(ctx.spark)}/stages"
+    return stage, cached_stage(ctx.spark, root, "selections", lambda: run_selections(
+        ctx, samplings, grid, iters, item_params=stage.items), sf=ctx.sf_dir, samplings=list(samplings),
+        grid=list(grid), iters=iters, dims=list(dims))
 
 
 def irt_estimates(ctx: EvalContext, stage: IrtStage, selections: DataFrame, naive_est: DataFrame) -> DataFrame:
@@ -134,7 +148,13 @@ def irt_estimates(ctx: EvalContext, stage: IrtStage, selections: DataFrame, naiv
 def full_estimates(ctx: EvalContext, samplings=FULL_SAMPLINGS, grid=GRID, iters: int = ITERS, dims=DIMS,
                    fits=FULL_FITS, components: int = 16) -> DataFrame:
     """One table with every estimator: naive, KNN, pirt, cirt, gpirt, the regressors on
-    signatures of ``components`` principal components, and both constants."""
+    signatures of ``components`` principal components, and both constants.  Built once a session and input (C4)."""
+    return cached_stage(ctx.spark, f"{checkpoint_dir(ctx.spark)}/stages", "estimates",
+                        lambda: _full_estimates(ctx, samplings, grid, iters, dims, fits, components), sf=ctx.sf_dir,
+                        samplings=list(samplings), grid=list(grid), iters=iters, dims=list(dims), fits=fits, components=components)
+
+
+def _full_estimates(ctx, samplings, grid, iters, dims, fits, components) -> DataFrame:
     stage, sel = full_selections(ctx, samplings, grid, iters, dims)
     naive = written_table(estimate.naive(ctx.test(ctx.scores), sel))
     logits = ctx.predictions.select("model_id", "item_id", "logits")
@@ -152,7 +172,7 @@ def full_estimates(ctx: EvalContext, samplings=FULL_SAMPLINGS, grid=GRID, iters:
         parts.append(regress.expand_to_cells(fitted, dedup))
     parts.append(estimate.expand_constant(estimate.perfect_knn(test_truth, train_truth), sel, "perfect_knn"))
     parts.append(estimate.expand_constant(estimate.mean_train_score_est(ctx.train(ctx.scores), test_truth), sel, "mean_train_score"))
-    return written_table(estimate.estimator_union(*parts))
+    return estimate.estimator_union(*parts)
 
 
 def full_tables(ctx: EvalContext, estimates: DataFrame, candidates=tuple(FULL_FITS), n_items: int = max(GRID)) -> DataFrame:

@@ -1,6 +1,7 @@
 """The IRT stage of a run on its own responses: thresholds, binarised answers, choice of D, final fit.
 
-T3 and T4 turn the train models' soft scores into right and wrong; I5 fits every candidate D on
+T3 and T4 turn the models' scores (the ones that the truth is taken from, 0 / 1 or continuous) into
+right and wrong; I5 fits every candidate D on
 the train models without each fifth of them, takes the held-out models' abilities from the items
 at even positions and their error at the odd ones; I4 fits the chosen D on all train models.
 """
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from itemscope.operators import irt, irt_fit, stats
 from itemscope.plans.context import EvalContext
-from itemscope.session import written_table
+from itemscope.session import checkpoint_dir, written_table
+from itemscope.sources.io import cached_stage
 
 #: Candidate dimensions and every how manieth train model validates.
 DIMS = (2, 5, 10, 15)
@@ -34,7 +36,7 @@ class IrtStage:
 
 
 def binary_responses(ctx: EvalContext, role: str, thresholds: DataFrame) -> DataFrame:
-    rows = ctx.train(ctx.soft_scores) if role == "train" else ctx.test(ctx.soft_scores)
+    rows = ctx.train(ctx.scores) if role == "train" else ctx.test(ctx.scores)
     return stats.binarize(rows, thresholds).select("split_id", "model_id", "item_id", "resp")
 
 
@@ -64,21 +66,27 @@ def dimension_errors(responses: DataFrame, held_out: DataFrame, items: DataFrame
 
 
 def irt_stage(ctx: EvalContext, grid, dims=DIMS, tol: float = TOLERANCE) -> IrtStage:
-    thresholds = written_table(stats.threshold_search(ctx.train(ctx.soft_scores)))
-    train = written_table(binary_responses(ctx, "train", thresholds))
-    errors = written_table(dimension_errors(train, validation_models(ctx), ctx.items, dims, tol))
-    chosen = written_table(irt.choose_dims(errors))
-    wanted = {r.split_id: r.dims for r in chosen.collect()}     # one row a split
-    parts = []
-    for d in sorted(set(wanted.values())):
-        splits = [s for s, x in wanted.items() if x == d]
-        params, _ = irt.fit_irt(train.where(F.col("split_id").isin(splits)), d, tol=tol)
-        parts.append(params)
-    items = parts[0]
-    for p in parts[1:]:
-        items = items.unionByName(p)
+    """The stage's tables; a session builds them once for an input and reads them again (C4)."""
+    root, key = f"{checkpoint_dir(ctx.spark)}/stages", {"sf": ctx.sf_dir, "dims": list(dims), "tol": tol}
+
+    def kept(name: str, build) -> DataFrame:
+        return cached_stage(ctx.spark, root, f"irt-{name}", build, **key)
+    thresholds = kept("thresholds", lambda: stats.threshold_search(ctx.train(ctx.scores)))
+    train = kept("train", lambda: binary_responses(ctx, "train", thresholds))
+    errors = kept("errors", lambda: dimension_errors(train, validation_models(ctx), ctx.items, dims, tol))
+    chosen = kept("chosen", lambda: irt.choose_dims(errors))
+
+    def final() -> DataFrame:
+        wanted = {r.split_id: r.dims for r in chosen.collect()}     # one row a split
+        out = None
+        for d in sorted(set(wanted.values())):
+            splits = [s for s, x in wanted.items() if x == d]
+            params, _ = irt.fit_irt(train.where(F.col("split_id").isin(splits)), d, tol=tol)
+            out = params if out is None else out.unionByName(params)
+        return out
+    items = kept("items", final)
     bias = errors.join(chosen.select("split_id", "dims"), ["split_id", "dims"]).select("split_id", "scenario", "b")
     scored = train.join(ctx.items.select("item_id", "scenario"), "item_id").withColumn("score", F.col("resp").cast("double"))
-    lambdas = stats.shrinkage_lambda(stats.score_variance(scored), bias, grid)
-    test = written_table(binary_responses(ctx, "test", thresholds))
-    return IrtStage(thresholds, errors, chosen, written_table(items), written_table(lambdas), test)
+    lambdas = written_table(stats.shrinkage_lambda(stats.score_variance(scored), bias, grid))
+    test = kept("test", lambda: binary_responses(ctx, "test", thresholds))
+    return IrtStage(thresholds, errors, chosen, items, lambdas, test)

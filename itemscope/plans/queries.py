@@ -720,11 +720,8 @@ def q_dims(spark, sf_dir):
 @query("irt_stage_dims")
 def q_stage_dims(spark, sf_dir):
     """T3, T4, I4, I3, I6 on the run's own responses: the error of every candidate D, per split."""
-    from itemscope.plans.irt import binary_responses, dimension_errors, validation_models
-    from itemscope.session import written_table
-    ctx = _ctx(spark, sf_dir)
-    t = written_table(stats.threshold_search(ctx.train(ctx.soft_scores)))
-    errs = dimension_errors(binary_responses(ctx, "train", t), validation_models(ctx), ctx.items)
+    from itemscope.plans.irt import irt_stage
+    errs = irt_stage(_ctx(spark, sf_dir), GRID).errors
     return errs.select("split_id", F.col("dims").cast("int").alias("dims"), "scenario", r6("b").alias("b"))
 
 
@@ -732,8 +729,8 @@ def q_stage_dims(spark, sf_dir):
 def q_anchor_selections(spark, sf_dir):
     """L17 with L8-L10: correctness and IRT anchors of both splits, every size and iteration."""
     from itemscope.plans.evaluate import full_selections
-    _, sel = full_selections(_ctx(spark, sf_dir), ("anchor", "anchor-irt"))
-    return _sel_out(sel)
+    _, sel = full_selections(_ctx(spark, sf_dir))
+    return _sel_out(sel.filter(F.col("sampling").startswith("anchor")))
 
 
 @query("full_estimates")

@@ -141,6 +141,9 @@ def cached_stage(spark: SparkSession, root: str, name: str, build, **params) ->
         target = jvm.org.apache.hadoop.fs.Path(path)
         if fs.exists(target) and not fs.exists(done):
             fs.delete(target, True)  # the remains of a write that never ended
+        own = jvm.org.apache.hadoop.fs.Path(fresh)
+        if fs.exists(done) or not fs.rename(own, target):
+            fs.delete(own, True)  # another writer was first
         if not fs.exists(done):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target)
+            raise OSError(f"could not move {fresh} to {path}")
     return spark.read.parquet(path)
