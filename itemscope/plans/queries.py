@@ -990,6 +990,24 @@ def q_adaptive(spark, sf_dir):
     return sel.select("model_id", "n_items", "scenario", "item_id", "item_pos", r6("weight").alias("weight"))
 
 
+@query("adaptive_selection_own")
+def q_adaptive_own(spark, sf_dir):
+    """L12-L14, L18 on the run's own responses and its fitted dimensions (iid split): start, then one
+    item a step for every test model, snapshots at 2 and 5 items a scenario."""
+    from itemscope.operators import adaptive_nd, irt_fit
+    from itemscope.plans.irt import binary_responses, irt_stage
+    ctx = _ctx(spark, sf_dir)
+    stage = irt_stage(ctx, GRID)
+    iid = F.col("split_id") == "iid"
+    params = stage.items.filter(iid).drop("split_id")
+    train = binary_responses(ctx, "train", stage.thresholds).filter(iid).drop("split_id")
+    dims = stage.chosen.filter(iid).select("dims").first()[0]
+    abilities = irt_fit.abilities_grid(train, params.withColumn("dims", F.lit(dims))).drop("dims")
+    start = adaptive_nd.initial_subset(ctx.items, params, abilities, n_init=6, try_size=200)
+    sel = adaptive_nd.adaptive_sequences(stage.test.filter(iid).drop("split_id"), ctx.items, params, start, [2, 5])
+    return sel.select("model_id", "n_items", "scenario", "item_id", "item_pos", r6("weight").alias("weight"))
+
+
 # ------------------------------------------------------------ splits, persistence, catalogue
 @query("validation_split")
 def q_validation(spark, sf_dir):
