@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemscope.functions import avg_rank
+from itemscope.session import written_table
 
 METHOD = ["split_id", "sampling", "estimator", "n_items"]
 STD_EPS = 1e-9
@@ -95,6 +96,36 @@ def spearman(estimates: DataFrame, truth: DataFrame, per_scenario: bool = False,
     return per_seed.groupBy(*outer).agg(stat.alias("rank_corr"))
 
 
+#: Scenario of the leaderboard rows of ``metric_levels``.
+ALL = "(all)"
+
+
+def metric_levels(estimates: DataFrame, truth: DataFrame) -> DataFrame:
+    """M2, M3, M4, M6-M8 of both levels from one scan of the estimates.
+
+    Grouping sets give each (method, model, seed) its scenario rows and its mean over scenarios (scenario
+    ``ALL``); from there both levels share every aggregate and window.  Columns: METHOD, scenario, ``mae``
+    (M3 of one scenario; M2 at ``ALL``), ``spread`` over models, ``mae_scenarios`` (M3 over all scenarios, at
+    ``ALL`` only) and ``rank_corr`` (null when a side is constant).  The leaderboard truth is the mean over the
+    scenarios that have an estimate; rows without truth take no part."""
+    t = truth.select("split_id", "model_id", "scenario", "acc")
+    base = estimates.select(*METHOD, "model_id", "iter", "scenario", "acc_hat").join(t, ["split_id", "model_id", "scenario"])
+    one = [*METHOD, "model_id", "iter"]
+    levels = base.groupingSets([[*one, "scenario"], one], *one, "scenario").agg(
+        F.avg("acc_hat").alias("est"), F.avg("acc").alias("truth"),
+        F.avg(F.abs(F.col("acc_hat") - F.col("acc"))).alias("err_scenarios"), F.grouping("scenario").alias("whole"))
+    levels = written_table(levels.select(
+        *one, F.when(F.col("whole") == 1, F.lit(ALL)).otherwise(F.col("scenario")).alias("scenario"), "est", "truth",
+        F.when(F.col("whole") == 1, F.col("err_scenarios")).alias("err_scenarios"),
+        F.abs(F.col("est") - F.col("truth")).alias("err")))
+    keys = [*METHOD, "scenario"]
+    errors = levels.groupBy(*keys, "model_id").agg(F.avg("err").alias("e"), F.avg("err_scenarios").alias("s")) \
+        .groupBy(*keys).agg(F.avg("e").alias("mae"), F.stddev_pop("e").alias("spread"), F.avg("s").alias("mae_scenarios"))
+    rho = _spearman(levels, [*keys, "iter"], "est", "truth").groupBy(*keys).agg(
+        nan_to_null(F.avg("rho")).alias("rank_corr"))
+    return errors.join(rho, keys)
+
+
 def win_rate(df: DataFrame, keys: list, value: str, order_keys=("model_id",)) -> DataFrame:
     """M9: ordinal rank / n within each group (0-based; ties by model order)."""
     w = Window.partitionBy(*keys).orderBy(F.col(value), *order_keys)

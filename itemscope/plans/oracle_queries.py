@@ -158,6 +158,21 @@ sql("spearman_scenarios", ("estimates", "truth"), f"""
 SELECT {METHOD}, scenario, {_nan_null('avg(rho)')} AS rank_corr
 FROM ({_spearman(SC_PAIRS, METHOD + ', scenario, iter')}) GROUP BY {METHOD}, scenario""")
 
+sql("metric_levels", ("estimates", "truth"), f"""
+SELECT m.split_id, m.sampling, m.estimator, m.n_items, m.scenario, m.mae, m.spread, m.mae_scenarios, r.rank_corr FROM (
+  SELECT a.*, b.mae AS mae_scenarios FROM (SELECT *, '(all)' AS scenario FROM ({_mae(LB_PER)})) a
+  JOIN ({_mae(SC_PER)}) b USING ({METHOD})
+  UNION ALL BY NAME
+  SELECT {METHOD}, scenario, round(avg(e), 6) AS mae, round(stddev_pop(e), 6) AS spread, NULL::DOUBLE AS mae_scenarios
+  FROM (SELECT {METHOD}, scenario, model_id, avg(abs(est - truth)) AS e FROM ({SC_PAIRS}) GROUP BY {METHOD}, scenario, model_id)
+  GROUP BY {METHOD}, scenario) m
+JOIN (SELECT {METHOD}, '(all)' AS scenario, {_nan_null('avg(rho)')} AS rank_corr
+      FROM ({_spearman(LB_PER, METHOD + ', iter')}) GROUP BY {METHOD}
+      UNION ALL
+      SELECT {METHOD}, scenario, {_nan_null('avg(rho)')} AS rank_corr
+      FROM ({_spearman(SC_PAIRS, METHOD + ', scenario, iter')}) GROUP BY {METHOD}, scenario) r
+  USING ({METHOD}, scenario)""")
+
 WR_PER = f"""
 SELECT e.*, t.truth FROM
  (SELECT {METHOD}, iter, model_id, avg(wr) AS est FROM (

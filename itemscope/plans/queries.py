@@ -227,6 +227,14 @@ def q_spearman_sc(spark, sf_dir):
                     r6(metrics.nan_to_null("rank_corr")).alias("rank_corr"))
 
 
+@query("metric_levels")
+def q_metric_levels(spark, sf_dir):
+    """M2-M4, M6-M8: scenario and leaderboard level of every method in one plan."""
+    ctx, est = _estimates(spark, sf_dir)
+    m = metrics.metric_levels(est, ctx.truth("test"))
+    return m.select(*metrics.METHOD, "scenario", *[r6(c).alias(c) for c in ("mae", "spread", "mae_scenarios", "rank_corr")])
+
+
 @query("win_rate")
 def q_win_rate(spark, sf_dir):
     ctx, est = _estimates(spark, sf_dir)
@@ -1068,33 +1076,26 @@ def q_saved_anchors(spark, sf_dir):
 
 @query("run_catalog_results")
 def q_run_catalog(spark, sf_dir):
-    """S8 + S11: estimates written partitioned by (split, family); a JSON run
-    catalogue names each (bench, split, family); results are read back with a
-    partition filter per entry and summarised."""
+    """S8 + S11: estimates written by (bench, split, family), each family by a write of its own that leaves
+    the other's folders alone; a JSON run catalogue names the runs; one pruned read brings them back."""
     import json
     import uuid
     from itemscope.plans.evaluate import fixture_estimates
     from itemscope.session import checkpoint_dir
     from itemscope.sources import io as sio
     ctx = _ctx(spark, sf_dir)
-    est = fixture_estimates(ctx).withColumn(
-        "family", F.when(F.col("estimator").isin("naive", "KNN"), "ours").otherwise("constants"))
+    est = fixture_estimates(ctx).withColumns({
+        "family": F.when(F.col("estimator").isin("naive", "KNN"), "ours").otherwise("constants"), "bench": F.lit("f1")})
     root = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
-    sio.write_table(est, f"{root}/results", partition_by=["split_id", "family"])
+    families = ("ours", "constants")
+    for family in families:
+        sio.write_runs(est.where(F.col("family") == family), f"{root}/results")
     splits = [r.split_id for r in ctx.splits.select("split_id").distinct().collect()]
-    cat = {"f1": {s: {"ours": f"{root}/results", "constants": f"{root}/results"} for s in splits}}
+    cat = {"f1": {s: {f: f"{root}/results" for f in families} for s in splits}}
     # the catalogue is written through Spark, so it lands on the shared store
     spark.createDataFrame([(json.dumps(cat),)], "value string").coalesce(1) \
          .write.mode("overwrite").text(f"{root}/catalog.json")
-    entries = sio.read_run_catalog(spark, f"{root}/catalog.json").collect()
-    parts = []
-    for e in entries:
-        r = sio.read_table(spark, e.suffix).filter(
-            (F.col("split_id") == e.split) & (F.col("family") == e.family))
-        parts.append(r.withColumn("bench", F.lit(e.bench)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = sio.read_runs(spark, f"{root}/results", sio.read_run_catalog(spark, f"{root}/catalog.json"))
     return out.groupBy("bench", "split_id", "family", "estimator").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("acc_hat")).alias("mean_acc_hat"))
 

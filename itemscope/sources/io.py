@@ -105,16 +105,29 @@ def write_irt_params(item_params: DataFrame, abilities: DataFrame, items: DataFr
 
 
 # ------------------------------------------------------------------ S11, C4
+def write_runs(df: DataFrame, root: str, keys=("bench", "split_id", "family")) -> None:
+    """Results of some runs, one folder a run.  Runs that ``df`` holds replace their former results,
+    all others stay (dynamic partition overwrite); an empty table changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(root)
+
+
 def read_run_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """JSON run catalogue bench -> split -> family -> suffix, as rows."""
-    raw = spark.read.option("multiLine", True).json(path)
-    out = None
-    for bench in raw.columns:
-        b = raw.select(F.explode(F.from_json(F.to_json(F.col(bench)),
-                                             "map<string, map<string, string>>")).alias("split", "fam"))
-        b = b.select(F.lit(bench).alias("bench"), "split", F.explode("fam").alias("family", "suffix"))
-        out = b if out is None else out.unionByName(b)
-    return out
+    """JSON run catalogue bench -> split -> family -> suffix, as rows (bench, split, family, suffix)."""
+    level = "map<string, map<string, map<string, string>>>"
+    df = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", level)).alias("bench", "s"))
+    df = df.select("bench", F.explode("s").alias("split", "f"))
+    return df.select("bench", "split", F.explode("f").alias("family", "suffix"))
+
+
+def read_runs(spark: SparkSession, root: str, catalog: DataFrame) -> DataFrame:
+    """S8 + S11: results of the catalogue's runs under ``root``, in one read.
+
+    The catalogue meets the partition columns in a join, so Spark prunes the folders at run time
+    (dynamic partition pruning); entries of other roots do not count, entries without results give no rows,
+    an entry named twice counts once."""
+    runs = catalog.where(F.col("suffix") == root).select("bench", F.col("split").alias("split_id"), "family").distinct()
+    # one row a run: Spark broadcasts it from its measured size, which is what lets the scan prune
+    return spark.read.parquet(root).join(runs, ["bench", "split_id", "family"])
 
 
 def stage_key(**params) -> str:
