@@ -12,10 +12,13 @@ down map-side.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemscope.functions import md5_key, r12
+from itemscope.session import drop_table, written_table
 
 
 def _grid_col(n_items_grid) -> F.Column:
@@ -130,33 +133,87 @@ def unseen_items(items: DataFrame, selections: DataFrame) -> DataFrame:
     return per_cell.join(sel, [*cell, "item_id"], "left_anti")
 
 
+def _widest(params: DataFrame) -> list[int]:
+    """The (at most) two dimensions of ``vec`` with the largest range; one row a dimension reaches the driver."""
+    spans = params.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg((F.max("x") - F.min("x")).alias("span"))
+    return [r.d for r in spans.orderBy(F.col("span").desc(), "d").limit(2).collect()]
+
+
+def nearest_anchors(items: DataFrame, anchors: DataFrame, params: DataFrame, cell: list) -> DataFrame:
+    """The nearest anchor of every item in every cell: (cell..., scenario, item_id, anchor_id, dist).
+
+    items(scenario, item_id, vec); anchors(cell..., scenario, anchor_id, anchor_pos, avec).  Euclidean distance
+    (12 places), lowest ``anchor_pos`` on ties, parameters finite.
+
+    The two widest dimensions are cut into squares, about one an anchor.  An anchor is entered in its own square
+    and the eight around it, an item looks into its own only.  What is not entered there lies further away than a
+    square is wide, so a nearest one within that width is final.  The other items go on with squares four times as
+    wide, until a square spans the whole scenario and so holds every anchor.  Items meet the anchors near them;
+    no item meets all anchors unless it lies as far from them as they are spread."""
+    dims = _widest(params)
+    key = [*cell, "scenario"]
+    if not dims:  # no parameters, no anchors
+        return anchors.limit(0).select(*key, F.col("anchor_id").alias("item_id"), "anchor_id", F.lit(0.0).alias("dist"))
+
+    def span(col):
+        return [f(F.col(col)[d]).alias(f"{col}_{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    grid = anchors.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *span("avec")).join(
+        items.groupBy("scenario").agg(*span("vec")), "scenario")
+
+    def greatest(cols):
+        return F.greatest(*cols) if len(cols) > 1 else cols[0]
+    spread = greatest([F.col(f"avec_hi{i}") - F.col(f"avec_lo{i}") for i in range(len(dims))])
+    whole = greatest([F.greatest(F.col(f"avec_hi{i}"), F.col(f"vec_hi{i}")) - F.least(F.col(f"avec_lo{i}"), F.col(f"vec_lo{i}"))
+                      for i in range(len(dims))])
+    start = F.when(spread > 0, spread / F.sqrt("n")).when(whole > 0, whole).otherwise(F.lit(1.0))
+    grid = written_table(grid.select(*key, start.alias("width"), whole.alias("whole")))
+    place = written_table(anchors.join(grid, key))
+    left = written_table(items.join(grid, "scenario"))
+    shifts = F.array(*[F.array(*[F.lit(v) for v in near]) for near in itertools.product((-1, 0, 1), repeat=len(dims))])
+    found, step = None, 1.0
+    while not left.isEmpty():
+        width = F.col("width") * F.lit(step)
+        squares = [f"g{i}" for i in range(len(dims))]
+        entered = place.select(*key, "anchor_id", "anchor_pos", "avec", "width", F.explode(shifts).alias("near")).select(
+            *key, "anchor_id", "anchor_pos", "avec",
+            *[(F.floor(F.col("avec")[d] / width) + F.col("near")[i]).alias(f"g{i}") for i, d in enumerate(dims)])
+        looked = left.select("*", *[F.floor(F.col("vec")[d] / width).alias(f"g{i}") for i, d in enumerate(dims)])
+        d2 = F.aggregate(F.zip_with("vec", "avec", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
+        met = looked.join(entered, [*key, *squares]).select(
+            *key, "item_id", F.struct(r12(F.sqrt(d2)).alias("dist"), "anchor_pos", "anchor_id").alias("c"), width.alias("w"),
+            (F.col("whole") <= width).alias("all"))
+        best = met.groupBy(*key, "item_id").agg(F.min("c").alias("c"), F.first("w").alias("w"), F.first("all").alias("all"))
+        done = written_table(best.where(F.col("all") | (F.col("c.dist") < F.col("w") * (1 - 1e-9))).select(
+            *key, "item_id", "c.anchor_id", "c.dist"))
+        found = done if found is None else found.unionByName(done)
+        before, left = left, written_table(left.join(done.select(*key, "item_id"), [*key, "item_id"], "left_anti"))
+        drop_table(before)
+        step *= 4.0
+    if found is None:
+        found = place.limit(0).select(*key, F.col("anchor_id").alias("item_id"), "anchor_id", F.lit(0.0).alias("dist"))
+    return found
+
+
 def nearest_anchor_weights(params: DataFrame, selections: DataFrame, items: DataFrame) -> DataFrame:
     """Each item of a scenario goes to its nearest selected item (Euclidean
     distance in parameter space, lowest position on ties); an anchor's weight
     is the sum of the normalised balance weights of the items it attracts.
 
-    params(item_id, vec ARRAY<DOUBLE>).  The anchors of one cell are few
-    (<= n_items), so they are broadcast against all items of the scenario."""
+    params(item_id, vec ARRAY<DOUBLE>), one row an item.  A repeated item counts once a row."""
     it = items.select("item_id", "scenario", "bal_w").join(params, "item_id")
     # per-scenario totals: one row per scenario, aggregated then broadcast
     # (a window partitioned by scenario would put a hot scenario in one task)
     tot = items.groupBy("scenario").agg(F.sum("bal_w").alias("_tot"))
     it = it.join(F.broadcast(tot), "scenario").withColumn("nbw", F.col("bal_w") / F.col("_tot"))
+    weight = it.groupBy("scenario", "item_id").agg(F.sum("nbw").alias("nbw"))
     sk = ["split_id"] if "split_id" in selections.columns else []
-    anchors = selections.select(*sk, "sampling", "n_items", "iter", "scenario",
-                                F.col("item_id").alias("anchor_id"),
-                                F.col("item_pos").alias("anchor_pos")) \
-        .join(params.select(F.col("item_id").alias("anchor_id"), F.col("vec").alias("avec")),
-              "anchor_id")
-    pairs = it.join(F.broadcast(anchors), "scenario")
-    d2 = F.aggregate(F.zip_with("vec", "avec", lambda x, y: (x - y) * (x - y)),
-                     F.lit(0.0), lambda acc, v: acc + v)
-    pairs = pairs.withColumn("dist", r12(F.sqrt(d2)))
-    nearest = pairs.groupBy(*sk, "sampling", "n_items", "iter", "scenario", "item_id", "nbw").agg(
-        F.min_by("anchor_id", F.struct("dist", "anchor_pos")).alias("anchor_id"))
-    cell = [*sk, "sampling", "n_items", "iter", "scenario"]
-    sums = nearest.groupBy(*cell, "anchor_id").agg(F.sum("nbw").alias("weight"))
+    cell = [*sk, "sampling", "n_items", "iter"]
+    anchors = written_table(selections.select(*cell, "scenario", F.col("item_id").alias("anchor_id"),
+                                              F.col("item_pos").alias("anchor_pos"))
+                            .join(params.select(F.col("item_id").alias("anchor_id"), F.col("vec").alias("avec")), "anchor_id"))
+    nearest = nearest_anchors(it.select("scenario", "item_id", "vec").dropDuplicates(["scenario", "item_id"]), anchors, params, cell)
+    sums = nearest.join(weight, ["scenario", "item_id"]).groupBy(*cell, "scenario", "anchor_id").agg(F.sum("nbw").alias("weight"))
     # an anchor that attracts no item (a tie lost to a lower position) weighs 0
-    return (anchors.select(*cell, "anchor_id").join(sums, [*cell, "anchor_id"], "left")
+    return (anchors.select(*cell, "scenario", "anchor_id").join(sums, [*cell, "scenario", "anchor_id"], "left")
                    .fillna(0.0, ["weight"])
                    .withColumnRenamed("anchor_id", "item_id"))
