@@ -44,8 +44,8 @@ COVER = 80
 #: Bits of a bitmap: so many per frequent fingerprint, and at most (16 MB).
 BITS_EACH, MIN_BITS, MAX_BITS = 32, 1 << 16, 1 << 27
 #: Text that is hashed at once, fingerprints and phrases that a task holds before it passes them on.
-SLICE = 4 << 20
-HELD, HELD_PHRASES = 3_000_000, 400_000
+SLICE = 2 << 20
+HELD, HELD_PHRASES = 1_500_000, 400_000
 BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 
 ENDS_PIECE = np.zeros(256, bool)
