@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,8 @@ from itemscope.llm.common import (LOWER, Words, clean_names, lists, signed, slic
 EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 15, 64
 #: Terms in at least one of so many examples are columns and come first.
 FIRST = 16
+#: Example terms that are weighed at once.
+WEIGHED = 1 << 19
 #: Weight of the prior against a neighbour of similarity 1.
 PRIOR = 0.5
 _CUT = np.ones(256, bool)
@@ -87,6 +90,23 @@ def _example_terms(chosen):
     return run
 
 
+def _distinct_terms(batches):
+    for batch in batches:
+        h = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(h))], names=["term"])
+
+
+def _placed_terms(terms):
+    """Terms as places in ``terms`` (4 bytes each), so that the driver holds no hash of every example's term."""
+    def run(batches):
+        for batch in batches:
+            at = [np.searchsorted(terms.value, np.frombuffer(h, np.int64)).astype(np.int32).tobytes()
+                  for h in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(at, pa.binary()), batch.column("tf")],
+                                             names=["doc_id", "at", "tf"])
+    return run
+
+
 def _frequencies(terms):
     """Documents of each of ``terms`` (no key), and every text's other terms."""
     def run(batches):
@@ -117,17 +137,29 @@ class Index:
                    np.array([v for d in ids for v in vectors[d].values()], np.float64), toxic, base)
 
     @classmethod
-    def of_examples(cls, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, idf: np.ndarray,
+    def of_examples(cls, ids: np.ndarray, size: np.ndarray, at: np.ndarray, tf: np.ndarray, terms: np.ndarray, idf: np.ndarray,
                     toxic: dict[int, int], base: float) -> Index:
-        """``found`` are the (terms, times) of the examples ``ids``, all of them in sorted ``terms``."""
+        """The examples ``ids`` have ``size`` terms each: the places ``at`` in sorted ``terms``, ``tf`` times.
+        Weights are made where they are used, so that neither the driver nor a broadcast holds them."""
         index = cls.__new__(cls)
-        size = np.array([len(h) for h, _ in found], np.int64)
-        at = np.concatenate([np.searchsorted(terms, h).astype(np.int32) for h, _ in found])
-        v = np.log1p(np.concatenate([tf for _, tf in found])) * idf[at]
-        length = np.sqrt(np.add.reduceat(v * v, np.cumsum(size) - size))
-        index._hold(terms, idf, ids, size, at, v / np.repeat(length, size), toxic, base)
+        index.tf = tf.astype(np.min_scalar_type(int(tf.max(initial=0))))
+        index._hold(terms, idf, ids, size, at, None, toxic, base)
         return index
 
+    def _weigh(self):
+        """Unit weights of all examples, some examples at a time."""
+        self.weight = np.empty(len(self.at))
+        n = len(self.ids)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(self.off, self.off[lo] + WEIGHED, "right")) - 1)
+            a, b = self.off[lo], self.off[hi]
+            v = np.log1p(self.tf[a:b].astype(np.int32)) * self.idf[self.at[a:b]]
+            length = np.sqrt(np.add.reduceat(v * v, self.off[lo:hi] - a))
+            self.weight[a:b] = v / np.repeat(length, np.diff(self.off[lo:hi + 1]))
+            lo = hi
+        del self.tf
+
     def _hold(self, terms, idf, ids, size, at, weight, toxic, base):
         self.terms, self.idf, self.ids, self.base = terms, idf, ids, base
         self.off, self.at, self.weight = np.r_[0, np.cumsum(size)], at, weight
@@ -136,20 +168,32 @@ class Index:
 
     def _invert(self):
         """Columns and inverted lists; made where they are used, so that only the vectors are sent."""
-        n = len(self.ids)
-        example = np.repeat(np.arange(n), np.diff(self.off))
-        size = np.bincount(self.at, minlength=len(self.terms))
-        self.column = np.full(len(self.terms), -1)
+        if self.weight is None:
+            self._weigh()
+        n, places = len(self.ids), len(self.at)
+        size = np.zeros(len(self.terms), np.int64)
+        for a in range(0, places, WEIGHED):  # some places at a time: only the results are as large as the index
+            size += np.bincount(self.at[a:a + WEIGHED], minlength=len(size))
+        self.column = np.full(len(self.terms), -1, np.int32)
         first = np.flatnonzero(size * FIRST >= max(n, 1))
         self.column[first] = np.arange(len(first))
         self.columns = np.zeros((len(first), n), np.float32)
-        here = self.column[self.at] >= 0
-        self.columns[self.column[self.at[here]], example[here]] = self.weight[here]
-        order = np.flatnonzero(~here)
-        order = order[np.argsort(self.at[order], kind="stable")]
-        self.example, self.light = example[order], self.weight[order].astype(np.float32)
+        for a in range(0, places, WEIGHED):
+            column = self.column[self.at[a:a + WEIGHED]]
+            here = np.flatnonzero(column >= 0)
+            self.columns[column[here], np.searchsorted(self.off, a + here, "right") - 1] = self.weight[a + here]
         size[first] = 0
         self.start = np.r_[0, np.cumsum(size)]
+        self.example, self.light = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(self.start, self.start[lo] + WEIGHED, "right")) - 1)
+            own = slice(self.start[lo], self.start[hi])
+            here = np.flatnonzero((self.at >= lo) & (self.at < hi))
+            here = here[self.column[self.at[here]] < 0]
+            here = here[np.argsort(self.at[here], kind="stable")]
+            self.example[own], self.light[own] = np.searchsorted(self.off, here, "right") - 1, self.weight[here]
+            lo = hi
         self.text = np.zeros(len(self.terms))
         self.cache: dict[bytes, tuple] = {}
 
@@ -219,17 +263,24 @@ def build_index(docs: DataFrame, labels: DataFrame, train, examples: int = EXAMP
               .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(examples).collect())
     label = {r.doc_id: int(r.toxic) for r in picked}
     chosen = spark.sparkContext.broadcast(np.array(sorted(label), np.int64))
-    found = (docs.select("doc_id", "text").mapInArrow(_example_terms(chosen), "doc_id bigint, terms binary, tf binary")
-             .where("length(terms) > 0").distinct().toArrow().sort_by([(c, "ascending") for c in ("doc_id", "terms", "tf")]))
-    if not found.num_rows:
+    held = stash(docs.select("doc_id", "text").mapInArrow(_example_terms(chosen), "doc_id bigint, terms binary, tf binary")
+                 .where("length(terms) > 0").distinct())
+    chosen.destroy()
+    terms = np.sort(held.select("terms").mapInArrow(_distinct_terms, "term bigint").distinct().toArrow().column(0).to_numpy())
+    if not len(terms):
+        unstash(held)
         return None, None
+    sent = spark.sparkContext.broadcast(terms)
+    found = (held.mapInArrow(_placed_terms(sent), "doc_id bigint, at binary, tf binary").toArrow()
+             .sort_by([(c, "ascending") for c in ("doc_id", "at", "tf")]))
+    unstash(held)
     ids = found.column("doc_id").to_numpy()
-    found = [(np.frombuffer(h.as_buffer(), np.int64), np.frombuffer(tf.as_buffer(), np.int32))
-             for h, tf in zip(found.column("terms"), found.column("tf"))]
-    terms = np.unique(np.concatenate([h for h, _ in found]))
+    at, tf = (np.frombuffer(b"".join(x.as_buffer() for x in found.column(c)), np.int32) for c in ("at", "tf"))
+    size = pc.binary_length(found.column("at")).to_numpy().astype(np.int64) // 4
+    del found
     total = docs.count()
-    held = stash(docs.select("text", "key").mapInArrow(_frequencies(spark.sparkContext.broadcast(terms)),
-                                                       "key bigint, term bigint, tf bigint, many bigint"))
+    held = stash(docs.select("text", "key").mapInArrow(_frequencies(sent), "key bigint, term bigint, tf bigint, many bigint"))
+    sent.destroy()
     known = held.where("key is null").groupBy("term").agg(F.sum("tf").alias("n")).toArrow()
     df = np.zeros(len(terms))
     df[np.searchsorted(terms, known.column("term").to_numpy())] = known.column("n").to_numpy()
@@ -240,7 +291,7 @@ def build_index(docs: DataFrame, labels: DataFrame, train, examples: int = EXAMP
     beyond = stash(other.join(other.groupBy("term").agg(F.count("*").alias("n")), "term")
                    .groupBy("key").agg((F.avg(weight * weight) * F.max("many")).alias("beyond")))
     unstash(held)
-    return Index.of_examples(ids, found, terms, idf, label, sum(label.values()) / len(label)), beyond
+    return Index.of_examples(ids, size, at, tf, terms, idf, label, sum(label.values()) / len(label)), beyond
 
 
 def _make(index, k: int):
