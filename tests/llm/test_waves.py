@@ -67,3 +67,28 @@ def test_rows_of_contexts_by_index():
         asked = np.concatenate([known, r.integers(0, 2**56, 500, dtype=np.uint64) << np.uint64(8), known[-1:] + np.uint64(256)])
         at = dict(zip(known.tolist(), range(1, len(known) + 1)))
         assert lm.Model.row(asked, 0, known, lm.Model.index(known)).tolist() == [at.get(k, 0) for k in asked.tolist()]
+
+
+def test_costs_are_summed_some_tokens_at_a_time(monkeypatch):
+    """One sum over all bits copies them at twice their size, which an executor could not hold."""
+    r = np.random.default_rng(2)
+    texts = lm.words(lm.pa.array([" ".join("ab" * int(n) for n in r.integers(1, 9, 40)) for _ in range(30)] + [None, ""]))
+    whole = lm.canonical(texts)
+    data, off, token, _ = whole
+    keys = lm._numbers(np.concatenate([c | data.astype(np.uint64) for c in lm.contexts(data, off)]))
+    model = lm.Model(keys, lm.Tree(np.bincount(data, minlength=256)))
+    want, longest, reduceat = model.cost(data, off, token), [], np.add.reduceat
+    monkeypatch.setattr(lm, "SUMMED", 50)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, lm.canonical(texts)))
+
+    class Add:
+        def __call__(self, *args):
+            return add(*args)
+
+        def reduceat(self, x, at, dtype):
+            longest.append(len(at))
+            return reduceat(x, at, dtype=dtype)
+    add = np.add
+    monkeypatch.setattr(lm.np, "add", Add())
+    got = model.cost(data, off, token)
+    assert np.array_equal(got, want) and max(longest) == 50
