@@ -1,11 +1,11 @@
-"""Rounds of an IRT fit on kept blocks: same fits as by tables, no table a round, splits of different D at once."""
+"""Rounds of fits on kept blocks: same results, no table a round, splits of different D at once, one job a round."""
 
 import os
 
 import numpy as np
 import pytest
 
-from itemscope.operators import irt, irt_fit
+from itemscope.operators import anchors, irt, irt_fit
 from itemscope.session import checkpoint_dir
 
 
@@ -69,3 +69,26 @@ def test_rows_without_a_split_or_item_leave_a_fit(spark, answers):
     got = values(irt_fit.fit_grid(more.where("split_id is null or item_id is not null"), [1], rounds=5, tol=1e-9))
     want = values(irt_fit.fit_grid(answers, [1], rounds=5, tol=1e-9))
     assert {k for k in got[0] if k[0]} == set(want[0])
+
+
+def test_kmeans_rounds_are_one_job_over_kept_blocks(spark, monkeypatch):
+    r = np.random.default_rng(17)
+    x = np.concatenate([r.normal(c, 1.0, (40, 3)) for c in (0, 3, 6)])
+    points = spark.createDataFrame([(s, "a", 1000 + i, i, 1 / 120, x[i].tolist()) for s in ("p", "q") for i in range(120)],
+                                   "split_id string, scenario string, item_id long, item_pos long, nbw double, vec array<double>")
+    monkeypatch.setattr(anchors, "BLOCK_ITEMS", 16)
+    blocks = anchors._dealt(anchors._blocks(points))
+    starts = {(s, "a", n, 0, t): x[t:t + n] for s in ("p", "q") for n in (3, 5) for t in range(2)}
+    want = anchors.lloyd(blocks, starts)
+    tracker, group = spark.sparkContext.statusTracker(), "kmeans-rounds"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        anchors.lloyd(blocks, starts, 4)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = tracker.getJobIdsForGroup(group)
+    assert len(jobs) == 4 and all(len(tracker.getJobInfo(j).stageIds) == 1 for j in jobs)
+    monkeypatch.setattr(anchors, "WAVE_BYTES", 1)       # sums added by cell, in two steps
+    monkeypatch.setattr(anchors, "FAN_IN", 2)
+    got = anchors.lloyd(blocks, starts)
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
